@@ -1,12 +1,15 @@
 """Near-duplicate records: anchor-point covering over minimum-hash fingerprints.
 
 A record's fingerprint is a word of symbols over GF(p), p = 2^31 - 1: symbol s names the word triple with the least s-th
-hash, so two records agree in a symbol with probability equal to their similarity (shared / united triples). The symbols
-are cut into TABLES blocks of length 3, and in each block the anchors are the codewords of the [3, 2] Reed-Solomon code:
-the lines y = intercept + slope * position over GF(p). That code has covering radius 1 - any two symbols determine a line -
-so a fingerprint is replicated to every line within the radius (three, or one where all coincide), and two fingerprints
-that differ in at most one of a block's three symbols share a line. A pair of similarity 0.7 is missed by a block with
-probability 0.216, by all five with 0.0005; at 0.8 with 0.00001. Pairs that meet at an anchor are compared exactly.
+hash, so two records agree in a symbol with probability equal to their similarity (shared / united triples). The first
+symbols are cut into TABLES blocks of length 3, and in each block the anchors are the codewords of the [3, 2] Reed-Solomon
+code: the lines y = intercept + slope * position over GF(p). That code has covering radius 1 - any two symbols determine a
+line - so a fingerprint is replicated to every line within the radius (three, or one where all coincide), and two
+fingerprints that differ in at most one of a block's three symbols share a line. A pair of similarity 0.7 is missed by a
+block with probability 0.216, by all four with 0.002; at 0.8 with 0.0001.
+
+At an anchor whole fingerprints are compared, a byte of each of SYMBOLS symbols: a pair goes on if at least `agreeing` of
+them are equal, which a pair at the threshold reaches with probability 0.999. What remains is compared exactly.
 
 Copies (equal word sequences) are one class before any of this, so a text repeated in a third of all rows costs one row.
 """
@@ -14,6 +17,7 @@ Copies (equal word sequences) are one class before any of this, so a text repeat
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +30,15 @@ from . import wordhash
 
 P = (1 << 31) - 1
 BLOCK = 3
-TABLES = 5
+TABLES = 4
+SYMBOLS = 24
 
 
-def fingerprint(df: DataFrame, id_col: str, text_col: str, order_col: str | None, min_words: int, run: int = 3, tables: int = TABLES) -> DataFrame:
-    """(rid, seen, class, size, symbols, runs) of each record with at least min_words words.
+def fingerprint(df: DataFrame, id_col: str, text_col: str, order_col: str | None, min_words: int, run: int = 3) -> DataFrame:
+    """(rid, seen, class, size, symbols, print, runs) of each record with at least min_words words.
 
-    class: 16 bytes, equal for equal word sequences; size: number of distinct runs; runs: their sorted 64-bit hashes.
+    class: 16 bytes, equal for equal word sequences; size: number of distinct runs; runs: the low halves of their
+    64-bit hashes; symbols: those the anchors are made of; print: a byte of each symbol, in three longs.
     Null texts and null ids yield no row.
     """
     source = df.select(
@@ -49,7 +55,7 @@ def fingerprint(df: DataFrame, id_col: str, text_col: str, order_col: str | None
                 lists = [wordhash.words(t) for t in part.column(2).to_pylist()]
                 hashes, counts = wordhash.flat_hashes(lists, cache)
                 owner, value = wordhash.distinct_runs(hashes, counts, run)
-                symbols = wordhash.min_symbols(owner, value, len(lists), BLOCK * tables, P)
+                symbols = wordhash.min_symbols(owner, value, len(lists), SYMBOLS, P)
                 sizes = np.bincount(owner, minlength=len(lists))
                 ends = np.cumsum(sizes)
                 enough = counts >= min_words
@@ -57,22 +63,24 @@ def fingerprint(df: DataFrame, id_col: str, text_col: str, order_col: str | None
                 keys = [xxhash.xxh3_128_digest(hashes[e - n : e].tobytes()) if ok else b"" for n, e, ok in zip(counts, bounds, enough)]
                 # rows too short for the comparison stay, as a later version of an id replaces an earlier one
                 sizes = np.where(enough, sizes, 0)
-                taken = [np.empty(0, np.int64) if not ok else value[e - n : e].view(np.int64) for n, e, ok in zip(sizes, ends, enough)]
-                flat = np.concatenate(taken) if taken else np.empty(0, np.int64)
+                flat = value.astype(np.uint32).view(np.int32)[np.repeat(enough, np.diff(np.r_[0, ends]))]
+                whole = (symbols[enough] & 0xFF).astype(np.uint8).copy().view(np.int64)
+                n_ints = BLOCK * TABLES
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0), part.column(1), pa.array(keys, pa.binary()), pa.array(sizes.astype(np.int32)),
-                        pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1, dtype=np.int32) * symbols.shape[1]), pa.array(symbols.astype(np.int32).ravel())),
+                        pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(enough) * n_ints].astype(np.int32)), pa.array(symbols[enough, :n_ints].astype(np.int32).ravel())),
+                        pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(enough) * 3].astype(np.int32)), pa.array(whole.ravel())),
                         pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(flat)),
                     ],
-                    names=["rid", "seen", "class", "size", "symbols", "runs"],
+                    names=["rid", "seen", "class", "size", "symbols", "print", "runs"],
                 )
 
-    return source.mapInArrow(batches, "rid string, seen timestamp, class binary, size int, symbols array<int>, runs array<bigint>")
+    return source.mapInArrow(batches, "rid string, seen timestamp, class binary, size int, symbols array<int>, print array<bigint>, runs array<int>")
 
 
 def anchors(reps: DataFrame, tables: int = TABLES) -> DataFrame:
-    """(anchor, class, size): each class under every line within the covering radius of its blocks."""
+    """(anchor, class, size, p0, p1, p2): each class under every line within the covering radius of its blocks."""
     at = lambda t, i: f"CAST(symbols[{BLOCK * t + i}] AS BIGINT)"
     half = (P + 1) // 2
     lines = []
@@ -80,26 +88,46 @@ def anchors(reps: DataFrame, tables: int = TABLES) -> DataFrame:
         for i, j, inverse in ((0, 1, 1), (1, 2, 1), (0, 2, half)):
             slope = f"pmod(({at(t, j)} - {at(t, i)}) * {inverse}L, {P}L)"
             lines.append(f"xxhash64({t}, {slope}, pmod({at(t, i)} - {i}L * {slope}, {P}L))")
-    return reps.select("class", "size", F.explode(F.array_distinct(F.array(*[F.expr(x) for x in lines]))).alias("anchor"))
+    prints = [F.expr(f"print[{k}]").alias(f"p{k}") for k in range(3)]
+    return reps.select("class", "size", *prints, F.explode(F.array_distinct(F.array(*[F.expr(x) for x in lines]))).alias("anchor"))
+
+
+def agreement(a: str, b: str) -> F.Column:
+    """Number of equal bytes of two fingerprints: each byte of a xor b is folded onto its lowest bit and the bits counted."""
+    parts = []
+    for k in range(3):
+        x = f"({a}.p{k} ^ {b}.p{k})"
+        for shift in (4, 2, 1):
+            x = f"({x} | shiftrightunsigned({x}, {shift}))"
+        parts.append(f"bit_count({x} & {0x0101010101010101}L)")
+    return F.expr(f"{SYMBOLS} - ({' + '.join(parts)})")
+
+
+def least_agreeing(threshold: float, miss: float = 0.001) -> int:
+    """The greatest count that a pair at the threshold falls short of with probability at most `miss`."""
+    total, k = 0.0, 0
+    while (total := total + comb(SYMBOLS, k) * threshold**k * (1 - threshold) ** (SYMBOLS - k)) <= miss:
+        k += 1
+    return k
 
 
 def near_pairs(marked: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(pairs between classes with their similarity, membership of records in classes).
 
-    Of several rows under one id the latest (then the greatest class) counts. The exact comparison is by sorted 64-bit run
-    hashes; a class pair is compared once however many anchors it shares.
+    Of several rows under one id the latest (then the greatest class) counts. The exact comparison is by run hashes; a class pair is compared once however many anchors it shares.
     """
     # parts keep the wide column (runs) out of the shuffles; only classes that meet another one are fetched again
     members = (
         marked.groupBy("rid").agg(F.max(F.struct("seen", "class", "size")).alias("m")).where("m.size > 0").select("rid", F.col("m.class").alias("class"))
     )
-    reps = marked.where("size > 0").groupBy("class").agg(F.first("size").alias("size"), F.first("symbols").alias("symbols"))
+    reps = marked.where("size > 0").groupBy("class").agg(F.first("size").alias("size"), F.first("symbols").alias("symbols"), F.first("print").alias("print"))
     keyed = anchors(reps)
     least = float(threshold)
     a, b = keyed.alias("a"), keyed.alias("b")
     met = (
         a.join(b, F.col("a.anchor") == F.col("b.anchor"))
         .where((F.col("a.class") < F.col("b.class")) & (F.least("a.size", "b.size") >= F.greatest("a.size", "b.size") * F.lit(least - 1e-9)))
+        .where(agreement("a", "b") >= least_agreeing(least))
         .select(F.col("a.class").alias("class_a"), F.col("b.class").alias("class_b"))
         .distinct()
     )

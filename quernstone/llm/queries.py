@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import table
 
@@ -23,6 +24,75 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(*neardup.near_pairs(marked, 0.8))
 
 
-QUERIES = {"p5_found": p5_found, "p5_groups": p5_groups}
+def p1_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and chunk with its segments of one language each."""
+    docs, chunks = _labelled(spark, sf_dir)
+    return docs.unionByName(chunks).select("record_id", F.explode("segments").alias("s")).select("record_id", "s.*")
 
-ORACLES: dict[str, str] = {}
+
+def _labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    from . import langid
+
+    docs, chunks = table(spark, sf_dir, "parsed_documents"), table(spark, sf_dir, "parsed_chunks")
+    model = langid.fit_on(docs, "document_id", "raw_text")
+    declared = langid.declared_language(F.col("metadata_json"))
+    text = F.when(~F.coalesce(F.col("chunk_type"), F.lit("")).isin("code", "table", "header"), F.col("text"))
+    return (
+        langid.label_segments(docs.withColumn("declared", declared), "document_id", "raw_text", model, ("declared", "created_at")),
+        langid.label_segments(chunks.withColumn("declared", declared).withColumn("text", text), "id", "text", model, ("declared", "created_at")),
+    )
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, chunks = _labelled(spark, sf_dir)
+    langs = F.array_distinct(F.transform("segments", lambda s: s["lang"]))
+    both = docs.unionByName(chunks).select("record_id", "created_at", F.struct("declared", langs.alias("langs")).alias("v"))
+    latest = both.groupBy("record_id").agg(F.max_by("v", F.struct("created_at", "v")).alias("v"))
+    case = (F.size("v.langs") > 1) | F.col("v.declared").isNull() | (F.col("v.declared") != F.col("v.langs")[0])
+    return latest.where((F.size("v.langs") > 0) & case).select("record_id", F.explode("v.langs").alias("lang"))
+
+
+def _oversized(spark: SparkSession, sf_dir: str, with_text: bool) -> DataFrame:
+    from . import splitting
+
+    docs, chunks = table(spark, sf_dir, "parsed_documents"), table(spark, sf_dir, "parsed_chunks")
+    elements = docs.select("document_id", F.posexplode("chunks").alias("i", "c")).select(F.concat_ws("#", "document_id", "i").alias("id"), F.col("c.text").alias("text"))
+    return (
+        splitting.split_items(docs, "document_id", "raw_text", 4000, 150, with_text)
+        .union(splitting.split_items(chunks, "id", "text", 800, 150, with_text))
+        .union(splitting.split_items(elements, "id", "text", 800, 150, with_text))
+    )
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.max("forced"), "forced").otherwise("natural")
+    return _oversized(spark, sf_dir, False).groupBy("record_id").agg(kind.alias("cut_kind"))
+
+
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces themselves, each once however often its row is repeated."""
+    return _oversized(spark, sf_dir, True).distinct()
+
+
+QUERIES = {
+    "p1_found": p1_found, "p1_segments": p1_segments, "p2_found": p2_found, "p2_pieces": p2_pieces,
+    "p5_found": p5_found, "p5_groups": p5_groups,
+}
+
+_STRIPPED = "regexp_replace(regexp_replace({x}, '^[ \\t\\r\\n]+', ''), '[ \\t\\r\\n]+$', '')"
+_P2_ITEMS = f"""
+WITH items AS (
+  SELECT document_id AS record_id, {_STRIPPED.format(x='raw_text')} AS t, 4000 AS lim FROM parsed_documents
+  UNION ALL SELECT id, {_STRIPPED.format(x='text')}, 800 FROM parsed_chunks
+  UNION ALL SELECT document_id || '#' || (i - 1), {_STRIPPED.format(x='chunks[i].text')}, 800
+  FROM (SELECT document_id, chunks, unnest(range(1, len(chunks) + 1)) AS i FROM parsed_documents)
+)"""
+
+ORACLES: dict[str, str] = {
+    "p2_found": _P2_ITEMS
+    + """
+SELECT record_id, CASE WHEN max(longest > lim) THEN 'forced' ELSE 'natural' END AS cut_kind
+FROM (SELECT record_id, lim, list_max(list_transform(string_split_regex(regexp_replace(t, '([。！？；，、])', '\\1 ', 'g'), '[ \\t\\r\\n]'), lambda s: length(s))) AS longest
+      FROM items WHERE length(t) > lim)
+GROUP BY record_id""",
+}
