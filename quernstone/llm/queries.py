@@ -74,7 +74,42 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _oversized(spark, sf_dir, True).distinct()
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import names
+
+    return names.linked(table(spark, sf_dir, "graph_nodes"))
+
+
+def p4_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each entity mention with the identity of the node that its normalised form and label name."""
+    from . import names
+
+    nodes = table(spark, sf_dir, "graph_nodes")
+    found = names.identify(nodes).join(nodes.select("id", F.col("label").alias("normalized"), F.col("node_type").alias("label")), "id")
+    mentions = table(spark, sf_dir, "parsed_entities").select(F.col("id").alias("entity_id"), "normalized", "label").distinct()
+    return mentions.join(found.select("normalized", "label", "identity"), ["normalized", "label"]).select("entity_id", "label", "identity")
+
+
+def p8_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every leaking document with its items, longest verbatim match and position in words."""
+    from . import contamination
+
+    return contamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_matches(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of the documents left after removing all that leak an item."""
+    from . import contamination
+
+    return contamination.without_leaks(table(spark, sf_dir, "documents").select("doc_id", "source"), p8_matches(spark, sf_dir))
+
+
 QUERIES = {
+    "p4_found": p4_found, "p4_identities": p4_identities, "p8_found": p8_found, "p8_matches": p8_matches, "p8_clean": p8_clean,
     "p1_found": p1_found, "p1_segments": p1_segments, "p2_found": p2_found, "p2_pieces": p2_pieces,
     "p5_found": p5_found, "p5_groups": p5_groups,
 }
