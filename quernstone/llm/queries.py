@@ -108,7 +108,35 @@ def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.without_leaks(table(spark, sf_dir, "documents").select("doc_id", "source"), p8_matches(spark, sf_dir))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import knn
+
+    return knn.pairs(p6_neighbours(spark, sf_dir))
+
+
+def p6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each usable vector the five nearest of cosine 0.8 or more."""
+    from . import knn
+
+    return knn.nearest(table(spark, sf_dir, "indexed_chunks"), "id", "vector")
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's pieces with their containers of 2,048 tokens."""
+    from . import packing
+
+    return packing.pack(packing.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
+def p7_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers, tokens and the share of space unused."""
+    full = p7_containers(spark, sf_dir).where("container > 0")
+    each = full.groupBy("container").agg(F.sum("tokens").alias("used"))
+    return each.agg(F.count("*").alias("containers"), F.sum("used").alias("tokens"), (1 - F.sum("used") / (F.count("*") * 2048)).alias("unused"), F.max("used").alias("fullest"))
+
+
 QUERIES = {
+    "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p7_containers": p7_containers, "p7_usage": p7_usage,
     "p4_found": p4_found, "p4_identities": p4_identities, "p8_found": p8_found, "p8_matches": p8_matches, "p8_clean": p8_clean,
     "p1_found": p1_found, "p1_segments": p1_segments, "p2_found": p2_found, "p2_pieces": p2_pieces,
     "p5_found": p5_found, "p5_groups": p5_groups,
