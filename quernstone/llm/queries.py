@@ -135,7 +135,32 @@ def p7_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.agg(F.count("*").alias("containers"), F.sum("used").alias("tokens"), (1 - F.sum("used") / (F.count("*") * 2048)).alias("unused"), F.max("used").alias("fullest"))
 
 
+#: Probability from which a document counts as a case.
+MODERATION_CUT = 0.55
+
+
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's source and its probability per category."""
+    from . import moderation
+
+    docs = table(spark, sf_dir, "documents")
+    model = moderation.fit_on(docs, table(spark, sf_dir, "moderation_labels"))
+    return moderation.scores(docs, model, keep=("source",)).withColumnRenamed("id", "doc_id")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = F.array(*[F.when(F.col(c) >= MODERATION_CUT, F.lit(c)) for c in ("abusive", "hateful", "sexual")])
+    return p9_scores(spark, sf_dir).select("doc_id", F.explode(F.array_compact(each)).alias("category"))
+
+
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source: documents, and the rate of each category."""
+    rate = lambda c: F.avg((F.col(c) >= MODERATION_CUT).cast("int")).alias(f"{c}_rate")
+    return p9_scores(spark, sf_dir).groupBy("source").agg(F.count("*").alias("documents"), rate("abusive"), rate("hateful"), rate("sexual"))
+
+
 QUERIES = {
+    "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates,
     "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p7_containers": p7_containers, "p7_usage": p7_usage,
     "p4_found": p4_found, "p4_identities": p4_identities, "p8_found": p8_found, "p8_matches": p8_matches, "p8_clean": p8_clean,
     "p1_found": p1_found, "p1_segments": p1_segments, "p2_found": p2_found, "p2_pieces": p2_pieces,
