@@ -159,7 +159,20 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_scores(spark, sf_dir).groupBy("source").agg(F.count("*").alias("documents"), rate("abusive"), rate("hateful"), rate("sexual"))
 
 
+def p3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main body's lines with their probabilities."""
+    from . import mainbody
+
+    pages = table(spark, sf_dir, "scraped_pages")
+    return mainbody.main_lines(pages, mainbody.fit_on(pages))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_lines(spark, sf_dir).select("page_id", "line_no")
+
+
 QUERIES = {
+    "p3_found": p3_found, "p3_lines": p3_lines,
     "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates,
     "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p7_containers": p7_containers, "p7_usage": p7_usage,
     "p4_found": p4_found, "p4_identities": p4_identities, "p8_found": p8_found, "p8_matches": p8_matches, "p8_clean": p8_clean,
