@@ -1,6 +1,512 @@
-"""All core queries and the SQL that states each of them independently."""
+"""All core queries and, where SQL can say it, an independent statement of each."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import constants as C
+from ..functions import text as T
+from ..operators import answers, catalog, entities, graph, markup, search, validate
+from ..session import table
+from ..sources import parsers, readers
+from ..streaming import streams
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+#: The question that the search queries ask; its words occur in the corpus.
+QUESTION = "search panel column names word totals"
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+# Catalogue and validation
+
+
+@query("""SELECT doc_id, coalesce(user_id, 'local-dev') AS owner, original_filename, epoch_us(created_at) AS created_us FROM documents
+WHERE deleted_at IS NULL AND coalesce(user_id, 'local-dev') = 'local-dev'""")
+def doc_catalog_newest_first(spark: SparkSession, d: str) -> DataFrame:
+    rows = catalog.listing(table(spark, d, "documents"), C.DEFAULT_USER)
+    return rows.select("doc_id", catalog.owner(F.col("user_id")).alias("owner"), "original_filename", F.unix_micros("created_at").alias("created_us"))
+
+
+@query("""SELECT file_hash, file_extension, arg_min(doc_id, (created_at, doc_id)) AS first_doc, count(*) AS copies FROM documents WHERE file_hash IS NOT NULL GROUP BY ALL""")
+def content_dedupe_first_seen(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.first_seen(table(spark, d, "documents"))
+
+
+@query("""WITH x AS (SELECT *, doc_id % 2 = 1 AS fresh FROM documents WHERE file_hash IS NOT NULL AND user_id IS NOT NULL)
+SELECT user_id, file_hash, arg_max(doc_id, (fresh, created_at, doc_id)) AS doc_id, arg_max(CASE WHEN fresh THEN FALSE ELSE deleted_at IS NOT NULL END, (fresh, created_at, doc_id)) AS deleted FROM x GROUP BY ALL""")
+def catalog_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Odd ids arrive after even ones: they win under one owner and hash, and bring deleted rows back."""
+    rows = table(spark, d, "documents").where("file_hash IS NOT NULL AND user_id IS NOT NULL").select("user_id", "file_hash", "doc_id", "deleted_at", F.struct("created_at", "doc_id").alias("at"))
+    merged = catalog.upsert(rows.where("doc_id % 2 = 0"), rows.where("doc_id % 2 = 1"), ["user_id", "file_hash"], "at")
+    return merged.select("user_id", "file_hash", "doc_id", F.col("deleted_at").isNotNull().alias("deleted"))
+
+
+@query("""SELECT doc_id, len(regexp_extract_all(text, '[^ \\t\\n\\r\\f]+')) AS words, greatest(1, len(regexp_extract_all(text, '[^ \\t\\n\\r\\f]+')) // 250) AS minutes FROM documents WHERE text IS NOT NULL""")
+def doc_word_count_reading_time(spark: SparkSession, d: str) -> DataFrame:
+    n = T.words(F.col("text"))
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", n.alias("words"), T.reading_minutes(n).alias("minutes"))
+
+
+@query("""WITH x AS (SELECT doc_id, lower(file_extension) AS e, file_size AS z, substr(coalesce(text, ''), 1, 65536) AS b FROM documents)
+SELECT doc_id, CASE
+ WHEN e NOT IN ('md','txt','pdf','docx','py','js','ts','json','csv','html','htm') OR e IS NULL THEN 'extension'
+ WHEN NOT (z > 0 AND z <= 52428800) OR z IS NULL THEN 'size'
+ WHEN e NOT IN ('pdf','docx') AND length(b) > 0 AND length(regexp_replace(replace(replace(replace(b, chr(13), ''), chr(10), ''), chr(9), ''), '[\\p{Cc}\\p{Cf}\\p{Co}\\p{Zl}\\p{Zp}]|[\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{202f}\\x{205f}\\x{3000}]', '', 'g'))
+   + length(b) - length(replace(replace(replace(b, chr(13), ''), chr(10), ''), chr(9), '')) < 0.92 * length(b) THEN 'readable'
+ WHEN e IN ('html','htm') AND NOT regexp_matches(lower(b), '<!doctype\\s+html|<html[\\s>]|<(head|body|meta|title|div|p|span|a|section|article)[\\s>]') THEN 'html'
+ WHEN e IN ('html','htm') AND regexp_matches(b, '(?i)javascript\\s*:|vbscript\\s*:|data\\s*:\\s*text/html') THEN 'danger'
+ WHEN e NOT IN ('html','htm') AND regexp_matches(b, '(?i)<script[\\s>]|javascript\\s*:|vbscript\\s*:|on\\w{2,20}\\s*=\\s*["'']|data\\s*:\\s*text/html') THEN 'danger' END AS reject_reason FROM x""")
+def validate_uploads(spark: SparkSession, d: str) -> DataFrame:
+    reason = validate.reject_reason(F.col("file_extension"), F.col("file_size"), F.col("text"))
+    return table(spark, d, "documents").select("doc_id", reason.alias("reject_reason"))
+
+
+@query("""SELECT doc_id, CASE WHEN length(s) > 0 THEN s || lower(x) ELSE 'upload' || lower(x) END AS safe FROM (
+ SELECT doc_id, substr(left(b, length(b) - length(x)), 1, 200) AS s, x FROM (
+  SELECT doc_id, b, regexp_extract(b, '[^.](\\.[^.]+)$', 1) AS x FROM (SELECT doc_id, translate(string_split(original_filename, '/')[-1], '<>:"|?*', '_______') AS b FROM documents WHERE original_filename IS NOT NULL)))""")
+def safe_filenames(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").where("original_filename IS NOT NULL").select("doc_id", validate.safe_filename(F.col("original_filename")).alias("safe"))
+
+
+@query("""SELECT page_id, regexp_matches(lower(url), '^https?://') AND NOT regexp_matches(lower(url), '^https?://(localhost|[^/:]*\\.(local|internal)|(0|10|127)\\.[0-9.]+|192\\.168\\.[0-9.]+)([:/]|$)') AS public FROM scraped_pages WHERE url IS NOT NULL""")
+def public_urls(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "scraped_pages").where("url IS NOT NULL").select("page_id", validate.public_address(F.col("url")).alias("public"))
+
+
+@query("""SELECT status, count(*) AS n, sum(file_size)::BIGINT AS bytes FROM (SELECT coalesce(status, 'done') AS status, file_size FROM documents) GROUP BY status""")
+def status_facets(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").groupBy(F.coalesce("status", F.lit("done")).alias("status")).agg(F.count("*").alias("n"), F.sum("file_size").alias("bytes"))
+
+
+# Chunks and structure
+
+
+@query("""SELECT doc_id, (s // 650) AS chunk_index, s AS start_pos, least(s + 800, length(text)) AS end_pos, substr(text, s + 1, 800) AS chunk
+FROM (SELECT doc_id, text, unnest(range(0, length(text), 650)) AS s FROM documents) WHERE trim(substr(text, s + 1, 800), ' ' || chr(9) || chr(10) || chr(13)) <> ''""")
+def sliding_chunks(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(T.windows(F.col("text"))).alias("i", "w"))
+    return rows.where(F.col("w.text").rlike(r"[^ \t\n\r]")).select("doc_id", F.col("i").cast("bigint").alias("chunk_index"), F.col("w.start_pos").cast("bigint").alias("start_pos"), F.col("w.end_pos").cast("bigint").alias("end_pos"), F.col("w.text").alias("chunk"))
+
+
+@query("""SELECT id, 'chunk_' || substr(sha1(document_id || ':' || chunk_index || ':' || substr(text, 1, 80)), 1, 16) AS chunk_key FROM parsed_chunks WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''""")
+def chunk_records(spark: SparkSession, d: str) -> DataFrame:
+    key = F.concat(F.lit("chunk_"), F.substring(F.sha1(F.concat_ws(":", "document_id", "chunk_index", F.substring("text", 1, 80))), 1, 16))
+    return table(spark, d, "parsed_chunks").where(F.col("text").rlike(r"[^ \t\n\r]")).select("id", key.alias("chunk_key"))
+
+
+@query("""WITH l AS (SELECT document_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS n FROM (SELECT document_id, regexp_replace(raw_text, '\\r\\n?', chr(10), 'g') AS t FROM parsed_documents WHERE raw_text <> '')),
+g AS (SELECT *, regexp_matches(line, '^#{1,6}[ \\t]+[^ \\t\\n]') AS h, sum(regexp_matches(line, '^#{1,6}[ \\t]+[^ \\t\\n]')::INT) OVER (PARTITION BY document_id ORDER BY n) AS k FROM l),
+s AS (SELECT document_id, k, max(CASE WHEN h THEN regexp_replace(line, '^#{1,6}[ \\t]+', '') END) AS title, max(CASE WHEN h THEN length(regexp_extract(line, '^#{1,6}')) END) AS level,
+ string_agg(CASE WHEN NOT h THEN line END, chr(10) ORDER BY n) AS body, count(*) FILTER (NOT h) AS lines FROM g GROUP BY ALL)
+SELECT document_id, coalesce(regexp_replace(title, '^\\s+|\\s+$', '', 'g'), 'Introduction') AS title, coalesce(level, 0)::INT AS level, md5(regexp_replace(body, '^\\s+|\\s+$', '', 'g')) AS digest FROM s WHERE lines > 0""")
+def line_sections(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "parsed_documents").where("raw_text <> ''").select("document_id", F.explode(markup.sections(F.col("raw_text"))).alias("s"))
+    return rows.select("document_id", "s.title", "s.level", F.md5("s.content").alias("digest"))
+
+
+@query("""SELECT document_id, coalesce(nullif(b.l, ''), 'text') AS language, md5(regexp_replace(b.c, '^\\s+|\\s+$', '', 'g')) AS digest FROM (
+ SELECT document_id, unnest(list_transform(regexp_extract_all(raw_text, '(?s)```\\w*\\n.*?```'), lambda m: {'l': regexp_extract(m, '^```(\\w*)', 1), 'c': regexp_extract(m, '(?s)^```\\w*\\n(.*)```$', 1)})) AS b FROM parsed_documents)
+WHERE trim(b.c, ' ' || chr(9) || chr(10) || chr(13)) <> ''""")
+def code_blocks(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "parsed_documents").select("document_id", F.explode(markup.code_blocks(F.col("raw_text"))).alias("b"))
+    return rows.select("document_id", "b.language", F.md5("b.code").alias("digest"))
+
+
+@query("""SELECT doc_id, regexp_extract(m, '\\[([^\\]]+)\\]', 1) AS label, regexp_extract(m, '\\]\\(([^\\)]+)\\)', 1) AS url FROM (
+ SELECT doc_id, unnest(regexp_extract_all(text, '(?:^|[^!])\\[[^\\]]+\\]\\([^\\)]+\\)')) AS m FROM documents)""")
+def document_links(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.explode(markup.links(F.col("text"))).alias("l")).select("doc_id", F.col("l.text").alias("label"), "l.url")
+
+
+@query("""SELECT doc_id, n::INT AS line, (length(regexp_extract(s, '^\\s*')) // 2)::INT AS level, regexp_matches(s, '^\\s*\\d') AS ordered, trim(regexp_extract(s, '^\\s*(?:[-*+]|\\d+\\.)\\s+(.+)$', 1), ' ' || chr(9)) AS item
+FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS s, generate_subscripts(string_split(t, chr(10)), 1) AS n FROM (SELECT doc_id, regexp_replace(text, '\\r\\n?', chr(10), 'g') AS t FROM documents))
+WHERE regexp_matches(s, '^\\s*(?:[-*+]|\\d+\\.)\\s+.+$')""")
+def list_items(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").select("doc_id", F.explode(markup.list_items(F.col("text"))).alias("x"))
+    return rows.select("doc_id", "x.line", "x.level", "x.ordered", F.col("x.text").alias("item"))
+
+
+@query("""SELECT document_id, coalesce(len(sections), 0)::INT AS sections, coalesce(len(chunks), 0)::INT AS chunks, coalesce(len(links), 0)::INT AS links, coalesce(len(list_filter(chunks, lambda c: c.chunk_type = 'code')), 0)::INT AS code_chunks,
+ array_to_string(list_sort(list_distinct(list_transform(list_filter(sections, lambda s: s.heading_level = 2), lambda s: s.title)))[1:12], '|') AS headings FROM parsed_documents""")
+def document_summary(spark: SparkSession, d: str) -> DataFrame:
+    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    heads = F.slice(F.array_sort(F.array_distinct(F.transform(F.filter("sections", lambda s: s["heading_level"] == 2), lambda s: s["title"]))), 1, 12)
+    return table(spark, d, "parsed_documents").select(
+        "document_id", F.when(F.col("sections").isNull(), 0).otherwise(size("sections")).alias("sections"), F.when(F.col("chunks").isNull(), 0).otherwise(size("chunks")).alias("chunks"), F.when(F.col("links").isNull(), 0).otherwise(size("links")).alias("links"),
+        F.when(F.col("chunks").isNull(), 0).otherwise(size(F.filter("chunks", lambda c: c["chunk_type"] == "code"))).alias("code_chunks"), F.array_join(heads, "|").alias("headings"),
+    )
+
+
+@query("""SELECT chunk_type, count(*) AS n, sum(length(text))::BIGINT AS characters FROM parsed_chunks GROUP BY chunk_type""")
+def chunk_type_facets(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "parsed_chunks").groupBy("chunk_type").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("characters"))
+
+
+@query("""SELECT item_id, unnest(generate_subscripts(p, 1))::INT AS slice, unnest(p) AS part FROM (SELECT item_id, list_transform(range(0, length(item_text), 80), lambda s: substr(item_text, s + 1, 80)) AS p FROM eval_items)""")
+def answer_stream_slices(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "eval_items").select("item_id", F.posexplode(answers.slices(F.col("item_text"))).alias("i", "part")).select("item_id", (F.col("i") + 1).alias("slice"), "part")
+
+
+# Pages, code, JSON, CSV
+
+
+@query("""SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS title, len(regexp_extract_all(html, '(?is)<h[1-6][^>]*>.*?</h[1-6]>'))::INT AS headings,
+ len(regexp_extract_all(html, '(?i)<a\\s[^>]*href=["''][^"'']+["'']'))::INT AS links FROM scraped_pages WHERE html IS NOT NULL""")
+def html_title_headings_links(spark: SparkSession, d: str) -> DataFrame:
+    html = F.col("html")
+    return table(spark, d, "scraped_pages").where("html IS NOT NULL").select("page_id", markup.html_title(html).alias("title"), F.size(markup.html_headings(html)).alias("headings"), F.size(markup.html_links(html)).alias("links"))
+
+
+@query()
+def html_to_markdown(spark: SparkSession, d: str) -> DataFrame:
+    body = F.pandas_udf(parsers.markdown_series, "string")("html", F.coalesce("final_url", "url"))
+    pages = table(spark, d, "scraped_pages").where("html IS NOT NULL").select("page_id", "url", "title", body.alias("body"))
+    enough = pages.where(T.words(F.col("body")) >= C.MIN_PAGE_WORDS)
+    return enough.select("page_id", F.concat_ws("\n\n", F.concat(F.lit("# "), F.coalesce("title", "url")), F.concat(F.lit("Source: "), F.col("url")), "body").alias("markdown"))
+
+
+@query("""SELECT id, list_aggregate(list_distinct(list_transform(regexp_extract_all(text, '(?m)^\\s*(?:from\\s+[\\w.]+\\s+import|import\\s+[\\w.]+)'), lambda m: regexp_extract(m, '(?:from|import)\\s+(\\w+)', 1))), 'count')::INT AS packages
+FROM parsed_chunks WHERE chunk_type = 'code' AND text IS NOT NULL""")
+def python_packages(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "parsed_chunks").where("chunk_type = 'code' AND text IS NOT NULL").select("id", F.size(markup.python_imports(F.col("text"))).alias("packages"))
+
+
+@query("""SELECT id, len(list_distinct(regexp_extract_all(text, 'class\\s+(\\w+)', 1)))::INT AS classes, len(list_distinct(regexp_extract_all(text, '(?:const|let|var)\\s+(\\w+)\\s*=\\s*(?:async\\s+)?\\(', 1)))::INT AS arrows
+FROM parsed_chunks WHERE chunk_type = 'code' AND text IS NOT NULL""")
+def js_outline(spark: SparkSession, d: str) -> DataFrame:
+    arrows = F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s+)?\("), F.lit(1)))
+    return table(spark, d, "parsed_chunks").where("chunk_type = 'code' AND text IS NOT NULL").select("id", F.size(markup.js_outline(F.col("text"))["classes"]).alias("classes"), F.size(arrows).alias("arrows"))
+
+
+@query("""SELECT k AS key, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS k FROM events WHERE props IS NOT NULL) GROUP BY k""")
+def json_describe_props(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select(F.explode(F.json_object_keys("props")).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT c AS "column", count(v) AS count, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS std, round(min(v), 4) AS min, round(quantile_cont(v, 0.25), 4) AS q25, round(quantile_cont(v, 0.5), 4) AS q50, round(quantile_cont(v, 0.75), 4) AS q75, round(max(v), 4) AS max
+FROM (SELECT 'o_totalprice' AS c, o_totalprice::DOUBLE AS v FROM orders UNION ALL SELECT 'o_custkey', o_custkey::DOUBLE FROM orders) GROUP BY c""")
+def csv_profile(spark: SparkSession, d: str) -> DataFrame:
+    return readers.csv_profile(table(spark, d, "orders"), ["o_totalprice", "o_custkey"])
+
+
+@query("""SELECT "column", value FROM (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY value) AS n FROM (SELECT DISTINCT * FROM (
+ SELECT 'o_orderpriority' AS "column", o_orderpriority AS value FROM orders UNION ALL SELECT 'o_orderstatus', o_orderstatus FROM orders) WHERE length(trim(value)) BETWEEN 2 AND 80)) WHERE n <= 20""")
+def csv_value_hints(spark: SparkSession, d: str) -> DataFrame:
+    return readers.value_hints(table(spark, d, "orders"), ["o_orderpriority", "o_orderstatus"])
+
+
+# Search
+
+_DUCK_TOKENS = "list_transform(list_filter(list_transform(regexp_extract_all(lower({t}), '[a-z][a-z0-9_+#.-]*'), lambda t: regexp_replace(t, '^[._-]+|[._-]+$', '', 'g')), lambda t: length(t) >= 2), lambda t: CASE t WHEN 'js' THEN 'javascript' WHEN 'nodejs' THEN 'node.js' WHEN 'ml' THEN 'machine-learning' ELSE t END)"
+_DUCK_SEARCHABLE = "regexp_replace(array_to_string(list_filter(string_split({t}, chr(10)), lambda s: NOT regexp_matches(s, '(?i)^\\s*source:\\s*https?://\\S+\\s*$')), chr(10)), '^\\s+|\\s+$', '', 'g')"
+
+
+def _duck_vectors(source: str) -> str:
+    """CTEs v(id, slot, weight) over source(id, text)."""
+    return f"""src AS ({source}),
+tok AS (SELECT id, unnest({_DUCK_TOKENS.format(t='text')}) AS t FROM src),
+cnt AS (SELECT id, t, count(*) AS n FROM tok GROUP BY ALL),
+slt AS (SELECT id, ('0x' || substr(sha1(t), 1, 8))::BIGINT % 384 AS slot, sum(CASE WHEN ('0x' || substr(sha1(t), 9, 2))::BIGINT % 2 = 1 THEN -1.0 ELSE 1.0 END::DOUBLE * (1 + ln(n))) AS w FROM cnt GROUP BY ALL),
+v AS (SELECT id, slot, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM slt WHERE w <> 0)"""
+
+
+_CORPUS = "SELECT id, document_id AS document, chunk_type, " + _DUCK_SEARCHABLE.format(t="text") + " AS text FROM parsed_chunks WHERE text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY created_at DESC, text DESC) = 1"
+_SEARCH = f"""WITH {_duck_vectors(f"SELECT * FROM ({_CORPUS}) WHERE text <> '' UNION ALL SELECT '?', '?', '?', '{QUESTION}'")},
+hits AS (SELECT a.id, sum(a.weight * q.weight) AS cosine FROM v a JOIN v q ON q.id = '?' AND q.slot = a.slot WHERE a.id <> '?' GROUP BY a.id),
+pool AS (SELECT id, round_even(cosine, 4) AS score FROM hits WHERE cosine > 0 ORDER BY score DESC, id LIMIT 15),
+kw AS (SELECT id, len(list_intersect(list_distinct(terms), list_distinct(string_split('{QUESTION}', ' ')))) / len(list_distinct(string_split('{QUESTION}', ' '))) AS k FROM (SELECT id, {_DUCK_TOKENS.format(t='text')} AS terms FROM src) JOIN pool USING (id))
+"""
+
+
+def _index(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "parsed_chunks").where("text IS NOT NULL").groupBy("id").agg(F.max_by(F.struct("document_id", "chunk_type", "text"), F.struct("created_at", "text")).alias("r"))
+    return search.chunk_index(rows.select("id", "r.*"), "id", "document_id", "text", "chunk_type")
+
+
+@query(f"""WITH {_duck_vectors("SELECT item_id AS id, item_text AS text FROM eval_items")} SELECT id AS item_id, slot::INT AS slot, round(weight, 6) AS weight FROM v""")
+def hash_embedding_sparse(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "eval_items").select("item_id", F.explode(T.embed(T.tokens(F.col("item_text")))).alias("x"))
+    return rows.select("item_id", "x.slot", F.round("x.weight", 6).alias("weight"))
+
+
+@query(f"""SELECT t AS token, count(*) AS n, count(DISTINCT doc_id) AS documents FROM (SELECT doc_id, unnest({_DUCK_TOKENS.format(t='text')}) AS t FROM documents) GROUP BY t""")
+def token_bag(spark: SparkSession, d: str) -> DataFrame:
+    per = table(spark, d, "documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("token")).groupBy("token", "doc_id").agg(F.count("*").alias("c"))
+    return per.groupBy("token").agg(F.sum("c").alias("n"), F.count("*").alias("documents"))
+
+
+@query(_SEARCH + "SELECT id AS chunk_id, score FROM pool ORDER BY score DESC, id LIMIT 5")
+def semantic_search_topk(spark: SparkSession, d: str) -> DataFrame:
+    return search.semantic(_index(spark, d), QUESTION, 5).select("chunk_id", "score")
+
+
+@query(_SEARCH + "SELECT id AS chunk_id, round_even((score * 0.72 + k * 0.28) * 100, 1) AS score FROM pool JOIN kw USING (id) ORDER BY round_even((score * 0.72 + k * 0.28) * 100, 1) DESC, pool.score DESC, id LIMIT 5")
+def hybrid_search_topk(spark: SparkSession, d: str) -> DataFrame:
+    return search.hybrid(_index(spark, d), QUESTION, 5).select("chunk_id", "score")
+
+
+@query()
+def qa_context_string(spark: SparkSession, d: str) -> DataFrame:
+    return search.context(search.hybrid(_index(spark, d), QUESTION, 5))
+
+
+@query()
+def qa_cited_sources(spark: SparkSession, d: str) -> DataFrame:
+    return answers.cited_sources(qa_context_string(spark, d))
+
+
+@query()
+def search_excerpts(spark: SparkSession, d: str) -> DataFrame:
+    terms = F.array(*[F.lit(t) for t in search.query_terms(QUESTION)])
+    best = search.hybrid(_index(spark, d), QUESTION, 10)
+    return best.select("chunk_id", T.excerpt(F.col("text"), terms).alias("excerpt"), T.readable_title(F.col("document")).alias("title"), F.array_join("tags", ",").alias("tags"), "score")
+
+
+@query(f"""WITH c AS (SELECT * FROM ({_CORPUS}) WHERE text <> '') SELECT count(*) AS chunks, count(DISTINCT document) AS documents FROM c""")
+def index_stats(spark: SparkSession, d: str) -> DataFrame:
+    return search.statistics(_index(spark, d)).select("chunks", "documents")
+
+
+@query("""SELECT query_id, id, round(c, 4) AS cosine, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, id) AS rank FROM (
+ SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS c FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0)) WHERE rank <= 10""")
+def dense_vector_topk(spark: SparkSession, d: str) -> DataFrame:
+    vectors = table(spark, d, "embeddings")
+    top = search.dense_top_k(vectors, vectors.where("vec_id % 100 = 0"), "vec_id", "embedding", 10)
+    return top.select("query_id", "id", F.round("cosine", 4).alias("cosine"), F.col("rank").cast("bigint").alias("rank"))
+
+
+# Entities, relations, graph
+
+
+def _duck_terms(text: str) -> str:
+    return f"""regexp_extract_all(' ' || regexp_replace(regexp_replace(lower({text}), '[^\\p{{L}}\\p{{N}}_ ]', '~', 'g'), '([ ~])', '\\1\\1', 'g') || ' ', '{entities.term_pattern()}', 1)"""
+
+
+@query(
+    "WITH names(form, entity) AS (VALUES "
+    + ", ".join(f"('{entities._spread(a)}', '{n}')" for a, (n, _) in C.ALIASES.items() if not entities.CJK.search(a))
+    + ", "
+    + ", ".join(f"('{a}', '{C.ALIASES[a][0]}')" for a in entities.CJK_ALIASES)
+    + f""") SELECT doc_id AS id, entity, count(*) AS mentions FROM (SELECT doc_id, unnest(list_concat({_duck_terms('text')}, regexp_extract_all(text, '{"|".join(entities.CJK_ALIASES)}'))) AS form FROM documents WHERE text IS NOT NULL) JOIN names USING (form) GROUP BY ALL"""
+)
+def gazetteer_matches(spark: SparkSession, d: str) -> DataFrame:
+    return entities.gazetteer_matches(table(spark, d, "documents"), "doc_id", "text").select("id", "entity", "mentions")
+
+
+@query("""SELECT v AS version, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '(?:^|[^\\p{L}\\p{N}_.])(v?[0-9]+\\.[0-9]+(?:\\.[0-9]+)?)', 1)) AS v FROM documents) GROUP BY v""")
+def versions(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select(F.explode(entities.versions(F.col("text"))).alias("version")).groupBy("version").agg(F.count("*").alias("n"))
+
+
+_KNOWN = ", ".join("'" + a + "'" for a in [*C.ALIASES, *C.KNOWN_ONLY])
+_USEFUL = f"""SELECT * FROM (SELECT *, trim(normalized) AS x, lower(trim(normalized)) AS low FROM parsed_entities WHERE normalized IS NOT NULL AND label IS NOT NULL AND confidence IS NOT NULL AND source IS NOT NULL) WHERE confidence >= 0.7
+ AND CASE WHEN low IN ({_KNOWN}) THEN 1.0 WHEN label IN ('PROGRAMMING_LANGUAGE','FRAMEWORK','LIBRARY','DATABASE','TOOL','CONCEPT','FUNCTION','CLASS','DOCUMENT','REPOSITORY') THEN greatest(0.72, confidence)
+  WHEN label IN ('PERSON','ORGANIZATION','PRODUCT') THEN CASE WHEN len({_duck_terms("coalesce(context, '')")}) > 0 OR regexp_matches(coalesce(context, ''), '{"|".join(entities.CJK_ALIASES)}') THEN 0.68 ELSE 0.46 END
+  WHEN label IN ('DATE','TIME','VERSION') THEN 0.24 ELSE confidence * 0.65 END >= 0.55
+ AND low <> '' AND low NOT IN ({", ".join("'" + w + "'" for w in C.STOP_CONCEPTS)}) AND regexp_replace(low, '''s$', '') NOT IN ({", ".join("'" + w + "'" for w in C.GENERIC_WORDS)})
+ AND NOT (low LIKE '%''s' AND len(string_split(regexp_replace(low, '\\s+', ' ', 'g'), ' ')) <= 3)
+ AND NOT regexp_matches(low, '{"|".join(C.NOISE)}') AND NOT regexp_matches(low, '^[0-9.-]*[0-9][0-9.-]*$')
+ AND length(regexp_replace(x, '[\\p{{L}}\\p{{N}} _.-]', '', 'g')) <= length(x) * 0.3
+ AND NOT (label = 'CONCEPT' AND source IN ('context','parser','symbol') AND low NOT LIKE '% %' AND low NOT IN ({", ".join("'" + a + "'" for a in C.ALIASES if C.ALIASES[a][1] == "CONCEPT")}, 'array', 'sampling', 'data structure'))
+ AND NOT (label IN ('FUNCTION','CLASS') AND length(low) < 3)"""
+
+
+@query(f"""SELECT label, count(*) AS n, count(DISTINCT normalized) AS names FROM ({_USEFUL}) GROUP BY label""")
+def entity_filter(spark: SparkSession, d: str) -> DataFrame:
+    return entities.useful(table(spark, d, "parsed_entities")).groupBy("label").agg(F.count("*").alias("n"), F.count_distinct("normalized").alias("names"))
+
+
+@query()
+def entity_fold(spark: SparkSession, d: str) -> DataFrame:
+    return entities.fold(entities.useful(table(spark, d, "parsed_entities")), ["document_id", "normalized"], ["created_at", "id"])
+
+
+@query("""WITH per AS (SELECT document_id, context, normalized AS n, min((-coalesce(confidence, 0), label, normalized)) AS o FROM parsed_entities WHERE context IS NOT NULL AND normalized IS NOT NULL GROUP BY ALL)
+SELECT a.document_id, a.n AS source, b.n AS target, count(*) AS weight FROM per a JOIN per b ON a.document_id = b.document_id AND a.context = b.context AND a.o < b.o WHERE a.n <> b.n GROUP BY ALL""")
+def cooccurrence_relations(spark: SparkSession, d: str) -> DataFrame:
+    found = entities.cooccurrences(table(spark, d, "parsed_entities"), "document_id", "context", "normalized")
+    return found.groupBy("document_id", "source", "target").agg(F.sum("weight").alias("weight"))
+
+
+@query()
+def pattern_relations(spark: SparkSession, d: str) -> DataFrame:
+    """Phrases over the sentences that mentions stand in, between the names that the sentence mentions."""
+    per = table(spark, d, "parsed_entities").where("context IS NOT NULL").groupBy("document_id", "context").agg(F.collect_set("normalized").alias("names"))
+    return entities.pattern_relations(per.withColumn("id", F.col("document_id")), "id", "context", "names")
+
+
+@query("""SELECT 'ent_' || substr(sha1(label || ':' || lower(trim(regexp_replace(normalized, '\\s+', ' ', 'g')))), 1, 12) AS id, arg_min(normalized, (created_at, id)) AS label, any_value(label) AS type, max(confidence) AS confidence, count(DISTINCT document_id) AS sources
+FROM parsed_entities WHERE normalized IS NOT NULL AND label IS NOT NULL GROUP BY 1""".replace("AS id, arg_min", "AS node, arg_min").replace("(created_at, id)", "(created_at, parsed_entities.id)").replace("SELECT 'ent_'", "SELECT node AS id, * EXCLUDE (node) FROM (SELECT 'ent_'") + ")")
+def graph_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return graph.nodes(table(spark, d, "parsed_entities"))
+
+
+_EDGES = """SELECT 'doc_' || substr(sha1('DOCUMENT:' || lower(document_id)), 1, 12) AS source, 'ent_' || substr(sha1(label || ':' || lower(trim(regexp_replace(normalized, '\\s+', ' ', 'g')))), 1, 12) AS target, count(*) AS weight, max(confidence) AS confidence, 'MENTIONS' AS type
+FROM parsed_entities WHERE normalized IS NOT NULL AND label IS NOT NULL AND document_id IS NOT NULL GROUP BY 1, 2"""
+
+
+@query(_EDGES)
+def graph_edges(spark: SparkSession, d: str) -> DataFrame:
+    return graph.mention_edges(table(spark, d, "parsed_entities"))
+
+
+def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes of the table and mention edges between documents and them."""
+    mentions = table(spark, d, "parsed_entities")
+    nodes = graph.nodes(mentions)
+    docs = mentions.where("document_id IS NOT NULL").select(F.col("document_id").alias("label")).distinct()
+    doc_nodes = docs.select(graph.node_id(F.col("label"), F.lit("DOCUMENT")).alias("id"), "label", F.lit("DOCUMENT").alias("type"), F.lit(1.0).alias("confidence"), F.lit(1).cast("bigint").alias("sources"))
+    return nodes.unionByName(doc_nodes), graph.mention_edges(mentions)
+
+
+_NODES = f"""SELECT id, label, type FROM ({ORACLES['graph_nodes']}) UNION ALL SELECT DISTINCT 'doc_' || substr(sha1('DOCUMENT:' || lower(document_id)), 1, 12), document_id, 'DOCUMENT' FROM parsed_entities WHERE document_id IS NOT NULL"""
+
+
+@query(f"""WITH n AS ({_NODES}), e AS ({_EDGES}), b AS (SELECT 'node' AS kind, type, count(*) AS n FROM n GROUP BY type UNION ALL SELECT 'edge', type, count(*) FROM e GROUP BY type) SELECT * FROM b UNION ALL SELECT kind, '*', sum(n)::BIGINT FROM b GROUP BY kind""")
+def graph_stats(spark: SparkSession, d: str) -> DataFrame:
+    return graph.statistics(*_graph(spark, d))
+
+
+@query(f"""WITH n AS ({_NODES}), e AS ({_EDGES}) SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM e) AS edges, round((SELECT count(*) FROM e) / ((SELECT count(*) FROM n) * ((SELECT count(*) FROM n) - 1.0)), 4) AS density""")
+def graph_density(spark: SparkSession, d: str) -> DataFrame:
+    return graph.density(*_graph(spark, d))
+
+
+@query(f"""SELECT id, sum(weight)::BIGINT AS degree FROM (SELECT source AS id, weight FROM ({_EDGES}) UNION ALL SELECT target, weight FROM ({_EDGES})) GROUP BY id""")
+def graph_degree(spark: SparkSession, d: str) -> DataFrame:
+    return graph.degrees(graph.mention_edges(table(spark, d, "parsed_entities")))
+
+
+_CONCEPT = "'ent_' || substr(sha1('CONCEPT:semantic search'), 1, 12)"
+
+
+@query(f"""WITH n AS ({_NODES}), e AS ({_EDGES}) SELECT source AS neighbour, n.label, n.type, 'MENTIONS' AS edge_type, weight, 'in' AS direction FROM e JOIN n ON n.id = e.source WHERE target = {_CONCEPT}""")
+def graph_neighbors(spark: SparkSession, d: str) -> DataFrame:
+    import hashlib
+
+    nodes, edges = _graph(spark, d)
+    return graph.neighbours(edges, nodes, "ent_" + hashlib.sha1(b"CONCEPT:semantic search").hexdigest()[:12])
+
+
+@query("""SELECT id, label, node_type AS type FROM graph_nodes WHERE contains(lower(label), 'search') ORDER BY label, id LIMIT 10""")
+def graph_search_nodes(spark: SparkSession, d: str) -> DataFrame:
+    nodes = table(spark, d, "graph_nodes").withColumnRenamed("node_type", "type")
+    return graph.search(nodes, "search").select("id", "label", "type")
+
+
+@query(f"""WITH n AS ({_NODES}), k AS (SELECT DISTINCT regexp_replace(regexp_replace(lower(CASE WHEN regexp_matches(string_split(label, '/')[-1], '.\\.[^.]+$') THEN regexp_replace(string_split(label, '/')[-1], '\\.[^.]+$', '') ELSE label END), '^_+', ''), '[^a-z0-9]+', '', 'g') AS i FROM n WHERE type <> 'DOCUMENT'),
+s AS (SELECT * FROM n WHERE type NOT IN ('VERSION','RESOURCE','REPOSITORY','CSV_VALUE','LOCATION','DATE','TIME') AND NOT (type = 'DOCUMENT' AND regexp_replace(regexp_replace(lower(CASE WHEN regexp_matches(string_split(label, '/')[-1], '.\\.[^.]+$') THEN regexp_replace(string_split(label, '/')[-1], '\\.[^.]+$', '') ELSE label END), '^_+', ''), '[^a-z0-9]+', '', 'g') IN (SELECT i FROM k)))
+SELECT type, count(*) AS n FROM s GROUP BY type""")
+def graph_visible(spark: SparkSession, d: str) -> DataFrame:
+    nodes, _ = _graph(spark, d)
+    return graph.visible(nodes).groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query()
+def graph_visual_export(spark: SparkSession, d: str) -> DataFrame:
+    nodes, edges = _graph(spark, d)
+    shown = graph.visible(nodes)
+    return graph.sized(shown, graph.connected(edges, shown))
+
+
+@query(f"""WITH n AS ({_NODES}) SELECT kind, count(*) AS n, count(source) AS sources, count(label) AS labels FROM (SELECT 'node' AS kind, label, NULL AS source FROM n UNION ALL SELECT 'edge', NULL, source FROM ({_EDGES})) GROUP BY kind""")
+def graph_export_csv(spark: SparkSession, d: str) -> DataFrame:
+    """The exported table's shape; the table itself is what the export writes."""
+    return graph.as_csv(*_graph(spark, d)).groupBy("kind").agg(F.count("*").alias("n"), F.count("source").alias("sources"), F.count("label").alias("labels"))
+
+
+@query()
+def graph_export_cytoscape(spark: SparkSession, d: str) -> DataFrame:
+    return graph.as_cytoscape(*_graph(spark, d))
+
+
+@query()
+def graph_export_gexf(spark: SparkSession, d: str) -> DataFrame:
+    return graph.as_gexf(*_graph(spark, d))
+
+
+# Answers
+
+
+@query("""SELECT id, name, shared FROM (SELECT doc_id AS id, original_filename AS name, len(list_intersect(list_distinct(list_filter(regexp_extract_all(lower(original_filename), '[a-z0-9]+'), lambda t: length(t) > 2)), ['norgugraph', 'vel', 'txt']))::BIGINT AS shared FROM documents WHERE original_filename IS NOT NULL) WHERE shared >= 2 ORDER BY shared DESC, id LIMIT 1""")
+def named_document_match(spark: SparkSession, d: str) -> DataFrame:
+    return answers.named_document(table(spark, d, "documents"), "Tell me about norgugraph vel txt", "doc_id", "original_filename")
+
+
+@query("""WITH t AS (SELECT ' ' || regexp_replace(lower(text), '[^\\p{L}\\p{N}_.]', ' ', 'g') || ' ' AS b FROM documents WHERE text IS NOT NULL), f(name) AS (SELECT unnest(['"""
+       + "','".join(C.FRAMEWORK_NAMES) + """']))
+SELECT name, count(*) AS signals FROM t JOIN f ON contains(b, ' ' || lower(name) || ' ') OR contains(b, ' ' || lower(name) || '. ') GROUP BY name""")
+def framework_signals(spark: SparkSession, d: str) -> DataFrame:
+    return answers.framework_signals(table(spark, d, "documents"), "text")
+
+
+@query()
+def main_concepts(spark: SparkSession, d: str) -> DataFrame:
+    return answers.concepts(table(spark, d, "documents"), "text")
+
+
+@query()
+def collection_summary(spark: SparkSession, d: str) -> DataFrame:
+    return answers.document_summaries(table(spark, d, "parsed_documents"), "document_id", "title", "doc_format", "raw_text")
+
+
+# Events: history, limits, progress, metrics
+
+
+@query("""SELECT user_id, event_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank FROM events) WHERE rank <= 6""")
+def conversation_last6(spark: SparkSession, d: str) -> DataFrame:
+    return streams.recent(table(spark, d, "events"), C.HISTORY_WINDOW).select("user_id", "event_id", F.col("rank").cast("bigint").alias("rank"))
+
+
+_LIMIT = """SELECT user_id, epoch_us(w) AS window_us, n AS requests, n - 3 AS rejected FROM (SELECT user_id, time_bucket(INTERVAL 1 HOUR, ts) AS w, count(*) AS n FROM events GROUP BY ALL) WHERE n > 3"""
+
+
+def _limits(found: DataFrame) -> DataFrame:
+    return found.select("user_id", F.unix_micros(F.col("window_start").cast("timestamp")).alias("window_us"), "requests", "rejected")
+
+
+@query(_LIMIT)
+def rate_limit_violations(spark: SparkSession, d: str) -> DataFrame:
+    return _limits(streams.violations(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), 3))
+
+
+@query(_LIMIT)
+def stream_rate_limit_violations(spark: SparkSession, d: str) -> DataFrame:
+    """The same, counted by a stream over the table."""
+    counted = streams.drain(streams.windows(streams.events_stream(spark, d)), "complete")
+    return _limits(counted.where("requests > 3").withColumn("rejected", F.col("requests") - 3))
+
+
+@query("""SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY event_type""")
+def stream_event_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    found = streams.drain(streams.first_per_key(streams.events_stream(spark, d)).select("event_id", "event_type", "ts"))
+    return found.groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) WHERE p IS NULL OR p <> event_type""")
+def progress_state_changes(spark: SparkSession, d: str) -> DataFrame:
+    return streams.state_changes(table(spark, d, "events")).select("user_id", "event_id", "event_type")
+
+
+@query("""SELECT event_type, le, n FROM (SELECT event_type, sum((value <= 10)::INT)::BIGINT AS "10.0", sum((value <= 50)::INT)::BIGINT AS "50.0", sum((value <= 100)::INT)::BIGINT AS "100.0", count(value) AS "inf" FROM events GROUP BY event_type) UNPIVOT (n FOR le IN ("10.0", "50.0", "100.0", "inf"))""")
+def pipeline_metrics_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return streams.histogram(table(spark, d, "events"), "value", [10.0, 50.0, 100.0], "event_type")
+
+
+@query("""SELECT user_id, event_type, rank FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY last DESC, event_type) AS rank FROM (SELECT user_id, event_type, max(ts) AS last FROM events GROUP BY ALL)) WHERE rank <= 3""")
+def mru_search_history(spark: SparkSession, d: str) -> DataFrame:
+    return streams.recent_distinct(table(spark, d, "events"), 3).select("user_id", "event_type", F.col("rank").cast("bigint").alias("rank"))
