@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from . import constants as C
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often body refers to it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(text: Column) -> Column:
     """Without Unicode blanks at both ends."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
@@ -68,40 +73,52 @@ def hash_sign(token: Column) -> Column:
 
 def embed(toks: Column) -> Column:
     """Sparse hashed vector of length 1 as array<struct<slot,weight>>: per slot the signed sum of 1 + ln(count). Empty without tokens."""
-    raw = F.transform(
-        F.array_distinct(toks),
-        lambda t: F.struct(hash_slot(t).alias("slot"), (hash_sign(t) * (1 + F.log((F.size(toks) - F.size(F.array_remove(toks, t))).cast("double")))).alias("w")),
-    )
-    slots = F.array_distinct(F.transform(raw, lambda x: x["slot"]))
-    summed = F.transform(slots, lambda s: F.struct(s.alias("slot"), F.aggregate(F.filter(raw, lambda x: x["slot"] == s), F.lit(0.0), lambda a, x: a + x["w"]).alias("w")))
-    norm = F.sqrt(F.aggregate(summed, F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
-    return F.transform(F.filter(summed, lambda x: x["w"] != 0), lambda x: F.struct(x["slot"].alias("slot"), (x["w"] / norm).alias("weight")))
+
+    def weights(ts: Column) -> Column:
+        count = lambda t: (F.size(ts) - F.size(F.array_remove(ts, t))).cast("double")
+        return F.transform(F.array_distinct(ts), lambda t: F.struct(hash_slot(t).alias("slot"), (hash_sign(t) * (1 + F.log(count(t)))).alias("w")))
+
+    def by_slot(raw: Column) -> Column:
+        slots = F.array_distinct(F.transform(raw, lambda x: x["slot"]))
+        total = lambda s: F.aggregate(F.filter(raw, lambda x: x["slot"] == s), F.lit(0.0), lambda a, x: a + x["w"])
+        return F.filter(F.transform(slots, lambda s: F.struct(s.alias("slot"), total(s).alias("w"))), lambda x: x["w"] != 0)
+
+    def unit(summed: Column) -> Column:
+        norm = F.sqrt(F.aggregate(summed, F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
+        return let(norm, lambda n: F.transform(summed, lambda x: F.struct(x["slot"].alias("slot"), (x["w"] / n).alias("weight"))))
+
+    return let(toks, lambda ts: let(weights(ts), lambda raw: let(by_slot(raw), unit)))
 
 
 def excerpt(text: Column, terms: Column, limit: int = C.EXCERPT_LENGTH) -> Column:
     """A readable part of about `limit` characters near the first of the terms found."""
-    clean = collapse(F.regexp_replace(text, r"\[([^\]]+)\]\((https?://[^)]+)\)", "$1 ($2)"))
-    low = F.lower(clean)
-    hits = F.filter(F.transform(terms, lambda t: F.instr(low, t)), lambda p: p > 0)
-    center = F.array_min(hits) - 1
-    start0 = F.greatest(F.lit(0), center - limit // 3)
-    end0 = F.least(F.length(clean), start0 + (limit - 3))
-    head = F.substring(clean, F.lit(1), start0)
-    back = F.greatest(*[F.when(F.instr(F.reverse(head), " " + m) > 0, F.length(head) - F.instr(F.reverse(head), " " + m) - 1).otherwise(-1) for m in ".?!"])
-    after = F.instr(F.substring(clean, start0 + 1, F.length(clean)), " ")
-    start = F.when(start0 <= 0, 0).when((back >= 0) & (start0 - back < C.EXCERPT_SNAP), back + 2).when(after > 0, start0 + after).otherwise(start0)
-    tail = F.substring(clean, end0 + 1, F.length(clean))
-    ahead = F.array_min(F.filter(F.array(*[F.instr(tail, m + " ") for m in ".?!"]), lambda p: p > 0))
-    before = F.substring(clean, F.lit(1), end0)
-    last = F.length(before) - F.instr(F.reverse(before), " ")
-    end = (
-        F.when(end0 >= F.length(clean), F.length(clean)).when(ahead.isNotNull() & (ahead - 1 < C.EXCERPT_SNAP), end0 + ahead)
-        .when(F.instr(before, " ") > 1, last).otherwise(end0)
-    )
-    body = strip(F.substring(clean, start + 1, end - start))
-    cut = F.concat(F.when(start > 0, "...").otherwise(""), body, F.when(end < F.length(clean), "...").otherwise(""))
-    plain = F.concat(F.rtrim(F.substring(clean, 1, limit - 3)), F.lit("..."))
-    return F.when(F.length(clean) <= limit, clean).when(center.isNull(), plain).otherwise(cut)
+
+    def start_of(clean: Column, start: Column) -> Column:
+        head = F.substring(clean, F.lit(1), start)
+        back = F.greatest(*[F.when(F.instr(F.reverse(head), " " + m) > 0, F.length(head) - F.instr(F.reverse(head), " " + m) - 1).otherwise(-1) for m in ".?!"])
+        after = F.instr(F.substring(clean, start + 1, F.length(clean)), " ")
+        return let(back, lambda b: F.when(start <= 0, 0).when((b >= 0) & (start - b < C.EXCERPT_SNAP), b + 2).when(after > 0, start + after).otherwise(start))
+
+    def end_of(clean: Column, end: Column) -> Column:
+        tail, before = F.substring(clean, end + 1, F.length(clean)), F.substring(clean, F.lit(1), end)
+        ahead = F.array_min(F.filter(F.array(*[F.instr(tail, m + " ") for m in ".?!"]), lambda p: p > 0))
+        last = F.length(before) - F.instr(F.reverse(before), " ")
+        snapped = lambda a: F.when(end >= F.length(clean), F.length(clean)).when(a.isNotNull() & (a - 1 < C.EXCERPT_SNAP), end + a)
+        return let(ahead, lambda a: snapped(a).when(F.instr(before, " ") > 1, last).otherwise(end))
+
+    def cut(clean: Column, start: Column) -> Column:
+        end = end_of(clean, F.least(F.length(clean), start + (limit - 3)))
+        return let(
+            F.struct(start_of(clean, start).alias("a"), end.alias("b")),
+            lambda e: F.concat(F.when(e["a"] > 0, "...").otherwise(""), strip(F.substring(clean, e["a"] + 1, e["b"] - e["a"])), F.when(e["b"] < F.length(clean), "...").otherwise("")),
+        )
+
+    def whole(clean: Column) -> Column:
+        hits = F.filter(F.transform(terms, lambda t: F.instr(F.lower(clean), t)), lambda p: p > 0)
+        plain = F.concat(F.rtrim(F.substring(clean, 1, limit - 3)), F.lit("..."))
+        return F.when(F.length(clean) <= limit, clean).otherwise(let(F.array_min(hits), lambda c: F.when(c.isNull(), plain).otherwise(let(F.greatest(F.lit(0), c - 1 - limit // 3), lambda s: cut(clean, s)))))
+
+    return let(collapse(F.regexp_replace(text, r"\[([^\]]+)\]\((https?://[^)]+)\)", "$1 ($2)")), whole)
 
 
 def split_sentences(text: Column) -> Column:

@@ -54,14 +54,14 @@ def concepts(snippets: DataFrame, text_col: str, limit: int = 20) -> DataFrame:
 
 
 def safe_excerpt(text: Column, limit: int = 260) -> Column:
-    clean = T.collapse(text)
-    head = F.substring(clean, 1, limit)
-    last = lambda sign: F.length(head) - F.instr(F.reverse(head), sign)
-    at = F.greatest(*[F.when(F.instr(head, s) > 0, last(s)).otherwise(-1) for s in ".;,"])
-    space = F.when(F.instr(head, " ") > 0, last(" ")).otherwise(-1)
-    edge = F.when(at < limit * 0.55, space).otherwise(at)
-    edge = F.when(edge < 80, limit).otherwise(edge)
-    return F.when(F.length(clean) <= limit, clean).otherwise(F.concat(F.regexp_replace(F.substring(clean, F.lit(1), edge), r"[ ,;:]+$", ""), F.lit("...")))
+    def shorten(clean: Column) -> Column:
+        head = F.substring(clean, 1, limit)
+        last = lambda sign: F.when(F.instr(head, sign) > 0, F.length(head) - F.instr(F.reverse(head), sign)).otherwise(-1)
+        edge = T.let(F.greatest(*[last(s) for s in ".;,"]), lambda at: F.when(at < limit * 0.55, last(" ")).otherwise(at))
+        cut = T.let(edge, lambda e: F.substring(clean, F.lit(1), F.when(e < 80, limit).otherwise(e)))
+        return F.when(F.length(clean) <= limit, clean).otherwise(F.concat(F.regexp_replace(cut, r"[ ,;:]+$", ""), F.lit("...")))
+
+    return T.let(T.collapse(text), shorten)
 
 
 def document_summaries(docs: DataFrame, id_col: str, title_col: str, format_col: str, text_col: str) -> DataFrame:

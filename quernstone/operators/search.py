@@ -49,9 +49,7 @@ def scored(index: DataFrame, query: str, document: str | None = None) -> DataFra
     if not vector:
         return index.withColumn("score", F.lit(0.0)).where("false")
     weights = F.create_map(*[F.lit(x) for s, w in sorted(vector.items()) for x in (s, float(w))])
-    # chunks that share no term slot can't score: that cheap test runs before the sum
     rows = index if document is None else index.where(F.col("document") == document)
-    rows = rows.where(F.arrays_overlap(F.transform("vector", lambda x: x["slot"]), F.array(*[F.lit(s) for s in sorted(vector)])))
     cosine = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x["weight"] * F.coalesce(weights[x["slot"]], F.lit(0.0)))
     return rows.withColumn("cosine", cosine).where("cosine > 0").withColumn("score", F.bround("cosine", 4))
 
@@ -67,7 +65,7 @@ def hybrid(index: DataFrame, query: str, n: int = 5, document: str | None = None
     shared = F.array_intersect(F.array(*[F.lit(t) for t in terms]).cast("array<string>"), "terms")
     mixed = F.bround((F.col("score") * C.HYBRID_COSINE + F.size("shared") / max(len(terms), 1) * C.HYBRID_KEYWORD) * 100, 1)
     tags = F.when(F.size("shared") > 0, F.slice("shared", 1, C.HYBRID_TAGS)).otherwise(F.array("chunk_type"))
-    ranked = pool.withColumn("shared", shared).withColumn("tags", tags).withColumnRenamed("score", "cosine_score").withColumn("score", mixed)
+    ranked = pool.withColumn("shared", shared).withColumn("tags", tags).withColumn("cosine_score", F.col("score")).withColumn("score", mixed)
     return ranked.orderBy(F.desc("score"), F.desc("cosine_score"), "chunk_id").limit(n)
 
 

@@ -156,7 +156,7 @@ def chunk_type_facets(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "parsed_chunks").groupBy("chunk_type").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("characters"))
 
 
-@query("""SELECT item_id, unnest(generate_subscripts(p, 1))::INT AS slice, unnest(p) AS part FROM (SELECT item_id, list_transform(range(0, length(item_text), 80), lambda s: substr(item_text, s + 1, 80)) AS p FROM eval_items)""")
+@query("""SELECT item_id, (s // 80 + 1)::INT AS slice, substr(item_text, s + 1, 80) AS part FROM (SELECT item_id, item_text, unnest(range(0, length(item_text), 80)) AS s FROM eval_items)""")
 def answer_stream_slices(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "eval_items").select("item_id", F.posexplode(answers.slices(F.col("item_text"))).alias("i", "part")).select("item_id", (F.col("i") + 1).alias("slice"), "part")
 
@@ -335,10 +335,12 @@ def entity_fold(spark: SparkSession, d: str) -> DataFrame:
     return entities.fold(entities.useful(table(spark, d, "parsed_entities")), ["document_id", "normalized"], ["created_at", "id"])
 
 
-@query("""WITH per AS (SELECT document_id, context, normalized AS n, min((-coalesce(confidence, 0), label, normalized)) AS o FROM parsed_entities WHERE context IS NOT NULL AND normalized IS NOT NULL GROUP BY ALL)
+@query("""WITH per AS (SELECT document_id, json_extract_string(metadata_json, '$.chunk') AS context, normalized AS n, min((-coalesce(confidence, 0), label, normalized)) AS o FROM parsed_entities WHERE json_extract_string(metadata_json, '$.chunk') IS NOT NULL AND normalized IS NOT NULL GROUP BY ALL)
 SELECT a.document_id, a.n AS source, b.n AS target, count(*) AS weight FROM per a JOIN per b ON a.document_id = b.document_id AND a.context = b.context AND a.o < b.o WHERE a.n <> b.n GROUP BY ALL""")
 def cooccurrence_relations(spark: SparkSession, d: str) -> DataFrame:
-    found = entities.cooccurrences(table(spark, d, "parsed_entities"), "document_id", "context", "normalized")
+    """Names mentioned in one chunk."""
+    mentions = table(spark, d, "parsed_entities").withColumn("chunk", F.get_json_object("metadata_json", "$.chunk"))
+    found = entities.cooccurrences(mentions, "document_id", "chunk", "normalized")
     return found.groupBy("document_id", "source", "target").agg(F.sum("weight").alias("weight"))
 
 
@@ -472,7 +474,7 @@ def conversation_last6(spark: SparkSession, d: str) -> DataFrame:
     return streams.recent(table(spark, d, "events"), C.HISTORY_WINDOW).select("user_id", "event_id", F.col("rank").cast("bigint").alias("rank"))
 
 
-_LIMIT = """SELECT user_id, epoch_us(w) AS window_us, n AS requests, n - 3 AS rejected FROM (SELECT user_id, time_bucket(INTERVAL 1 HOUR, ts) AS w, count(*) AS n FROM events GROUP BY ALL) WHERE n > 3"""
+_LIMIT = """SELECT user_id, epoch_us(w) AS window_us, n AS requests, n - 4 AS rejected FROM (SELECT user_id, time_bucket(INTERVAL 1 DAY, ts) AS w, count(*) AS n FROM events GROUP BY ALL) WHERE n > 4"""
 
 
 def _limits(found: DataFrame) -> DataFrame:
@@ -481,14 +483,14 @@ def _limits(found: DataFrame) -> DataFrame:
 
 @query(_LIMIT)
 def rate_limit_violations(spark: SparkSession, d: str) -> DataFrame:
-    return _limits(streams.violations(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), 3))
+    return _limits(streams.violations(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), 4, 86_400))
 
 
 @query(_LIMIT)
 def stream_rate_limit_violations(spark: SparkSession, d: str) -> DataFrame:
     """The same, counted by a stream over the table."""
-    counted = streams.drain(streams.windows(streams.events_stream(spark, d)), "complete")
-    return _limits(counted.where("requests > 3").withColumn("rejected", F.col("requests") - 3))
+    counted = streams.drain(streams.windows(streams.events_stream(spark, d), 86_400), "complete")
+    return _limits(counted.where("requests > 4").withColumn("rejected", F.col("requests") - 4))
 
 
 @query("""SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY event_type""")
