@@ -138,15 +138,21 @@ class Model:
             self.weights[n, n] = 2.0
         self.weights[len(LANGS), LANGS.index("zh")] = 6.0
         self.transitions = np.where(np.eye(len(LANGS), dtype=bool), 2.0, -2.0).astype(np.float32)
-        self.cache: dict[str, np.ndarray] = {}
-
-    def emission(self, word: str) -> np.ndarray:
-        got = self.cache.get(word)
-        if got is None:
-            if len(self.cache) >= self.REMEMBERED:
-                self.cache.clear()
-            got = self.cache[word] = self.weights[features(word)].sum(0)
-        return got
+        self.rows: dict[str, int] = {}
+        self.table = np.zeros((1024, len(LANGS)), np.float32)
+
+    def emissions(self, words: list[str]) -> np.ndarray:
+        """One row of emissions per word, from a table of the words seen so far."""
+        rows = self.rows
+        if len(rows) + len(words) > self.REMEMBERED:
+            rows.clear()
+        for w in words:
+            if w not in rows:
+                n = rows[w] = len(rows)
+                if n == len(self.table):
+                    self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+                self.table[n] = self.weights[features(w)].sum(0)
+        return self.table[[rows[w] for w in words]]
 
     def marginals(self, sequences: list[np.ndarray]) -> list[np.ndarray]:
         """Forward-backward over many sequences of emissions at once, those of like length together."""
@@ -154,19 +160,19 @@ class Model:
         order = sorted(range(len(sequences)), key=lambda i: len(sequences[i]))
         for at in range(0, len(order), 512):
             part = order[at : at + 512]
-            probs = forward_backward([sequences[i] for i in part], self.transitions)[0]
+            probs = forward_backward([sequences[i] for i in part], self.transitions, False)[0]
             for row, i in enumerate(part):
                 out[i] = probs[row, : len(sequences[i])]
         return out
 
 
-def forward_backward(sequences: list[np.ndarray], transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals (sequence, step, language), zero beyond a sequence's end, and expected transition counts."""
+def forward_backward(sequences: list[np.ndarray], transitions: np.ndarray, count: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals (sequence, step, language), zero beyond a sequence's end, and, if `count`, expected transition counts."""
     n, longest, k = len(sequences), max(map(len, sequences)), transitions.shape[0]
     lengths = np.array([len(s) for s in sequences])
     emit = np.ones((n, longest, k), np.float32)
-    for i, s in enumerate(sequences):
-        emit[i, : len(s)] = np.exp(s - s.max(1, keepdims=True))
+    flat = np.concatenate(sequences)
+    emit[np.arange(longest)[None, :] < lengths[:, None]] = np.exp(flat - flat.max(1, keepdims=True))
     move = np.exp(transitions - transitions.max())
     forward, backward = np.empty_like(emit), np.ones_like(emit)
     alpha = emit[:, 0] / emit[:, 0].sum(1, keepdims=True)
@@ -185,7 +191,7 @@ def forward_backward(sequences: list[np.ndarray], transitions: np.ndarray) -> tu
     inside = np.arange(longest)[None, :] < lengths[:, None]
     probs *= inside[:, :, None]
     expected = np.zeros((k, k))
-    for t in range(1, longest):
+    for t in range(1, longest if count else 1):
         pair = forward[:, t - 1, :, None] * move[None] * (emit[:, t] * backward[:, t])[:, None, :]
         pair /= pair.sum((1, 2), keepdims=True) + 1e-30
         expected += pair[inside[:, t]].sum(0)
@@ -291,8 +297,8 @@ def label_segments(df: DataFrame, id_col: str, text_col: str, model: Model, keep
                 part = batch.slice(at, 1000)
                 parsed = [parse(t) if t else [] for t in part.column(1).to_pylist()]
                 lines = [line for lines in parsed for line in lines]
-                emission = mine.emission
-                probs = mine.marginals([np.array([emission(w) for w in words]) * np.minimum(weights, 1)[:, None] for words, _, weights in lines])
+                flat = mine.emissions([w for words, _, _ in lines for w in words]) * np.minimum([x for _, _, weights in lines for x in weights], 1)[:, None] if lines else np.zeros((0, len(LANGS)))
+                probs = mine.marginals(np.split(flat.astype(np.float32), np.cumsum([len(words) for words, _, _ in lines])[:-1]) if lines else [])
                 done, out = 0, []
                 for each in parsed:
                     segments: list[list] = []
