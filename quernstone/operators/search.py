@@ -96,7 +96,9 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col:
     for b in range(blocks):
         part = wanted.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b) if blocks > 1 else wanted
         rows = part.collect()
-        matrix = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)
+        if not rows:
+            continue
+        matrix = np.array([r[1] for r in rows], np.float64)
         norms = np.linalg.norm(matrix, axis=1, keepdims=True)
         shared = vectors.sparkSession.sparkContext.broadcast(([r[0] for r in rows], matrix / np.where(norms > 0, norms, 1)))
 
@@ -126,5 +128,7 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col:
         out_kind = "bigint" if kind in ("bigint", "int") else "string"
         got = vectors.select(F.col(id_col), F.col(vector_col)).mapInArrow(nearest, f"query_id {out_kind}, id {out_kind}, cosine double")
         found = got if found is None else found.union(got)
+    if found is None:
+        found = vectors.sparkSession.createDataFrame([], f"query_id {kind}, id {kind}, cosine double")
     order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

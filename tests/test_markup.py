@@ -40,9 +40,9 @@ def test_slug_and_title(spark):
 
 
 def test_js_outline(spark):
-    source = "import a from 'react';\nconst b = require('./local');\nfunction go(x) { }\nconst f = async (y) => 1;\nclass Foo {}"
+    source = "import a from 'react';\nconst b = require('./local');\nfunction go(x) { }\nconst run = async (y) => 1;\nclass Foo {}"
     got = one(spark, source, markup.js_outline)
-    assert got["imports"] == ["react", "./local"] and got["classes"] == ["Foo"] and "go" in got["functions"] and "f" in got["functions"]
+    assert got["imports"] == ["react", "./local"] and got["classes"] == ["Foo"] and "go" in got["functions"] and "run" in got["functions"]
     assert one(spark, "@scope/pkg/sub", markup.package_of) == "@scope/pkg"
     assert one(spark, "./x", markup.package_of) is None
 

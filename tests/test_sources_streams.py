@@ -55,7 +55,7 @@ def test_files_of_every_kind(spark, tmp_path):
     assert [(s.title, s.content) for s in rows["g.docx"].sections] == [("Title", "Body text.\n\nMetric | Value\n\nRevenue | 10")]
     assert rows["h.csv"].raw_text.startswith("a: int64") and rows["i.pdf"].error
     good, bad = readers.accepted(readers.files(spark, str(tmp_path)))
-    assert good.count() == 10 and bad.count() == 0
+    assert good.count() == 9 and [(r.name, r.reject_reason) for r in bad.collect()] == [("f.html", "danger")]
 
 
 def test_profile(spark):
