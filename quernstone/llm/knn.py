@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .sampling import least_hashed
 
 SAMPLE = 20_000
 SHARD = 2_000
@@ -160,7 +161,7 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, size: int = 384, k: int
     first = rows.select("class", "id").withColumn("n", F.row_number().over(ranked)).where(F.col("n") <= k + 1).select("class", "id")
     reps = cut_lineage(rows.groupBy("class").agg(F.min_by("vector", "id").alias("vector")))
     total = reps.count()
-    sample = np.array([np.frombuffer(r[0], np.float32) for r in reps.orderBy("class").limit(SAMPLE).select("vector").collect()], np.float32).reshape(-1, size)
+    sample = np.array([np.frombuffer(r[0], np.float32) for r in least_hashed(reps.select("class", "vector"), "class", SAMPLE).select("vector").collect()], np.float32).reshape(-1, size)
     sample /= np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), 1e-12)
     count = max(1, min(PIVOTS, len(sample) // 4, -(-total // SHARD)))
     shared = spark.sparkContext.broadcast(fit_pivots(sample, count) if len(sample) else sample)  # at most PIVOTS x size floats, 6 MB

@@ -20,6 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sampling import least_hashed
+
 LANGS = ("en", "de", "fr", "es", "pt", "it", "nl", "zh")
 FIT_DOCUMENTS = 600
 BUCKETS = 1 << 15
@@ -270,8 +272,8 @@ def fit(texts: list[str], rounds: int = 30, rate: float = 0.3) -> Model:
 
 def fit_on(df: DataFrame, id_col: str, text_col: str, bound: int = FIT_DOCUMENTS) -> Model:
     """Fits on the `bound` texts whose ids have the least hash: the same documents however the table is partitioned."""
-    rows = df.where(F.col(text_col).isNotNull()).orderBy(F.xxhash64(F.col(id_col).cast("string")), F.col(id_col)).limit(bound).select(F.col(text_col)).collect()
-    return fit([r[0] for r in rows])
+    rows = least_hashed(df.where(F.col(text_col).isNotNull()).select(id_col, text_col), id_col, bound).collect()
+    return fit([r[1] for r in rows])
 
 
 SEGMENTS = "array<struct<start_pos:int,end_pos:int,lang:string,confidence:double>>"

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Trees, isotonic
+from .sampling import least_hashed
 
 CATEGORIES = ("abusive", "hateful", "sexual")
 FIT_ROWS = 20_000
@@ -254,7 +255,7 @@ def fit(texts: list[str], labels: list[set[str]], folds: int = 3, least: int = 1
 def fit_on(docs: DataFrame, ratings: DataFrame, bound: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fits on the rated documents, at most `bound` of them (least hash of the id). Null categories count as no rating."""
     rated = ratings.where("category IS NOT NULL").groupBy(F.col("doc_id").alias("_rated")).agg(F.collect_set("category").alias("cats"))
-    chosen = rated.orderBy(F.xxhash64("_rated"), "_rated").limit(bound)
+    chosen = least_hashed(rated, "_rated", bound)
     rows = docs.join(chosen, docs[id_col] == chosen["_rated"]).where(F.col(text_col).isNotNull()).select(F.col(text_col), "cats").collect()
     rows = sorted(((r[0], set(r[1])) for r in rows), key=lambda r: r[0])
     return fit([t for t, _ in rows], [c - {"none"} for _, c in rows])
