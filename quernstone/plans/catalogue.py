@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import text as T
-from ..operators import answers, catalog, entities, graph, markup, search, validate
+from ..operators import answers, catalog, entities, graph, markup, pipeline, search, validate
 from ..session import table
 from ..sources import parsers, readers
 from ..streaming import streams
@@ -512,3 +512,50 @@ def pipeline_metrics_histogram(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT user_id, event_type, rank FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY last DESC, event_type) AS rank FROM (SELECT user_id, event_type, max(ts) AS last FROM events GROUP BY ALL)) WHERE rank <= 3""")
 def mru_search_history(spark: SparkSession, d: str) -> DataFrame:
     return streams.recent_distinct(table(spark, d, "events"), 3).select("user_id", "event_type", F.col("rank").cast("bigint").alias("rank"))
+
+
+# The whole way from texts to a graph and answers
+
+
+@query()
+def extracted_entities(spark: SparkSession, d: str) -> DataFrame:
+    return pipeline.extract(table(spark, d, "parsed_documents"), "document_id", "raw_text")
+
+
+@query()
+def extracted_graph_stats(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "parsed_documents")
+    found = pipeline.extract(docs, "document_id", "raw_text")
+    return graph.statistics(*pipeline.build_graph(found, pipeline.relations(docs, found, "document_id", "raw_text")))
+
+
+@query("""SELECT document_id, array_to_string(list_distinct_in_order, ',') AS fields FROM (SELECT document_id, list_transform(list_filter(list_zip(f, range(1, len(f) + 1)), lambda z: list_position(f, z[1]) = z[2]), lambda z: z[1]) AS list_distinct_in_order FROM (
+ SELECT document_id, list_filter(regexp_extract_all(raw_text, '(?:^|[^A-Za-z0-9_])([A-Za-z_][A-Za-z0-9_]{2,})\\s*:', 1), lambda x: lower(x) NOT IN ('array','false','http','https','object','true','with')) AS f FROM parsed_documents WHERE raw_text IS NOT NULL))""")
+def structured_fields(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "parsed_documents").where("raw_text IS NOT NULL").select("document_id", F.array_join(pipeline.structured_fields(F.col("raw_text")), ",").alias("fields"))
+
+
+@query("""WITH h AS (SELECT document_id, n, length(regexp_extract(line, '^#{1,6}')) AS level FROM (SELECT document_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS n FROM (SELECT document_id, regexp_replace(raw_text, '\\r\\n?', chr(10), 'g') AS t FROM parsed_documents)) WHERE regexp_matches(line, '^#{1,6}[ \\t]+[^ \\t]'))
+SELECT a.document_id, a.n::BIGINT AS line, a.level::INT AS level, coalesce(max(b.n), 0)::BIGINT AS parent FROM h a LEFT JOIN h b ON a.document_id = b.document_id AND b.n < a.n AND b.level < a.level GROUP BY ALL""")
+def section_tree(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "parsed_documents").select("document_id", F.posexplode(markup.lines(F.col("raw_text"))).alias("i", "s"))
+    heads = lines.where(F.col("s").rlike(r"^#{1,6}[ \t]+[^ \t]")).select("document_id", (F.col("i") + 1).cast("bigint").alias("line"), F.length(F.regexp_extract("s", "^#{1,6}", 0)).alias("level"))
+    return pipeline.nested_sections(heads, "document_id", "line", "level").withColumn("parent", F.coalesce("parent", F.lit(0).cast("bigint")))
+
+
+@query()
+def typed_chunks(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "parsed_documents").select("document_id", F.posexplode(pipeline.typed_chunks(F.col("raw_text"))).alias("i", "c"))
+    return rows.select("document_id", F.col("i").alias("chunk_index"), F.col("c.kind").alias("kind"), F.col("c.text").alias("text"))
+
+
+@query()
+def answer_snippets(spark: SparkSession, d: str) -> DataFrame:
+    return pipeline.answer(QUESTION, _index(spark, d), table(spark, d, "parsed_documents"), "document_id", "title", "doc_format", "raw_text")
+
+
+@query("""SELECT epoch_us(ts) // 60000000 * 60000000 AS window_us, user_id, count(*) AS requests FROM events GROUP BY ALL""")
+def endpoint_limits(spark: SparkSession, d: str) -> DataFrame:
+    """Every event as a search request under its limit of 60 a minute."""
+    rows = table(spark, d, "events").select(F.lit("search").alias("endpoint"), "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    return pipeline.limit_windows(rows, "endpoint", "user_id", "ts").select(F.unix_micros("window_start").alias("window_us"), F.col("client").alias("user_id"), "requests")
