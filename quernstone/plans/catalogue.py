@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions import text as T
 from ..operators import answers, catalog, entities, graph, markup, pipeline, search, validate
-from ..session import table
+from ..session import cut_lineage, table
 from ..sources import parsers, readers
 from ..streaming import streams
 
@@ -525,8 +525,10 @@ def extracted_entities(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def extracted_graph_stats(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "parsed_documents")
-    found = pipeline.extract(docs, "document_id", "raw_text")
-    return graph.statistics(*pipeline.build_graph(found, pipeline.relations(docs, found, "document_id", "raw_text")))
+    # both are read several times below
+    found = cut_lineage(pipeline.extract(docs, "document_id", "raw_text"))
+    related = cut_lineage(pipeline.relations(docs, found, "document_id", "raw_text"))
+    return graph.statistics(*pipeline.build_graph(found, related))
 
 
 @query("""SELECT document_id, array_to_string(list_distinct_in_order, ',') AS fields FROM (SELECT document_id, list_transform(list_filter(list_zip(f, range(1, len(f) + 1)), lambda z: list_position(f, z[1]) = z[2]), lambda z: z[1]) AS list_distinct_in_order FROM (
