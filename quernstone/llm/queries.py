@@ -196,4 +196,17 @@ SELECT record_id, CASE WHEN max(longest > lim) THEN 'forced' ELSE 'natural' END
 FROM (SELECT record_id, lim, list_max(list_transform(string_split_regex(regexp_replace(t, '([。！？；，、])', '\\1 ', 'g'), '[ \\t\\r\\n]'), lambda s: length(s))) AS longest
       FROM items WHERE length(t) > lim)
 GROUP BY record_id""",
+    "p5_found": """
+WITH r AS (
+  SELECT 'd' AS kind, document_id AS id, regexp_extract_all(lower(raw_text), '[\\p{L}\\p{N}]+') AS w FROM parsed_documents
+  UNION ALL SELECT 'c', id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') FROM parsed_chunks QUALIFY row_number() OVER (PARTITION BY id ORDER BY created_at DESC) = 1),
+t AS (SELECT DISTINCT kind, id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT kind, id, w, unnest(range(1, len(w) - 1)) AS i FROM r WHERE len(w) >= 30)),
+n AS (SELECT kind, id, count(*) AS n FROM t GROUP BY ALL),
+p AS (SELECT a.kind, a.id AS x, b.id AS y, count(*) AS c FROM t a JOIN t b ON a.kind = b.kind AND a.s = b.s AND a.id < b.id GROUP BY ALL)
+SELECT x AS record_a, y AS record_b FROM p JOIN n f ON f.kind = p.kind AND f.id = x JOIN n g ON g.kind = p.kind AND g.id = y WHERE c >= 0.7 * (f.n + g.n - c)""",
+    "p6_found": """
+WITH v AS (SELECT id, vector::DOUBLE[] AS x FROM indexed_chunks WHERE len(vector) = 384 AND len(list_filter(vector, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0 AND len(list_filter(vector, lambda e: e <> 0)) > 0),
+c AS (SELECT a.id AS i, b.id AS j, round(list_cosine_similarity(a.x, b.x), 6) AS s FROM v a JOIN v b ON a.id <> b.id),
+k AS (SELECT i, j FROM c WHERE s >= 0.8 QUALIFY row_number() OVER (PARTITION BY i ORDER BY s DESC, j) <= 5)
+SELECT DISTINCT least(i, j) AS id_a, greatest(i, j) AS id_b FROM k""",
 }
