@@ -51,7 +51,9 @@ def scored(index: DataFrame, query: str, document: str | None = None) -> DataFra
     weights = F.create_map(*[F.lit(x) for s, w in sorted(vector.items()) for x in (s, float(w))])
     rows = index if document is None else index.where(F.col("document") == document)
     cosine = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x["weight"] * F.coalesce(weights[x["slot"]], F.lit(0.0)))
-    return rows.withColumn("cosine", cosine).where("cosine > 0").withColumn("score", F.bround("cosine", 4))
+    # as a generator, so that the vector is computed once: a filter on it would be pushed below and compute it again
+    hit = F.explode(F.filter(F.array(F.struct(cosine.alias("cosine"))), lambda h: h["cosine"] > 0)).alias("hit")
+    return rows.select("*", hit).select(*rows.columns, "hit.cosine", F.bround("hit.cosine", 4).alias("score"))
 
 
 def semantic(index: DataFrame, query: str, n: int = 5, document: str | None = None) -> DataFrame:
