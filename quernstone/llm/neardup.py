@@ -6,10 +6,11 @@ symbols are cut into TABLES blocks of length 3, and in each block the anchors ar
 code: the lines y = intercept + slope * position over GF(p). That code has covering radius 1 - any two symbols determine a
 line - so a fingerprint is replicated to every line within the radius (three, or one where all coincide), and two
 fingerprints that differ in at most one of a block's three symbols share a line. A pair of similarity 0.7 is missed by a
-block with probability 0.216, by all four with 0.002; at 0.8 with 0.0001.
+block with probability 0.216, by all five with 0.0005; at 0.8 with 0.00001.
 
-At an anchor whole fingerprints are compared, a byte of each of SYMBOLS symbols: a pair goes on if at least `agreeing` of
-them are equal, which a pair at the threshold reaches with probability 0.999. What remains is compared exactly.
+At an anchor the parities are compared: bit k of a record's parity says whether an odd number of its triples fall into
+bucket k. Two records differ in at least as many triples as their parities differ in bits, so a pair whose parities differ in
+more bits than the threshold leaves triples to differ can't reach it. No pair is lost by this; what remains is compared exactly.
 
 Copies (equal word sequences) are one class before any of this, so a text repeated in a third of all rows costs one row.
 """
@@ -30,15 +31,22 @@ from . import wordhash
 
 P = (1 << 31) - 1
 BLOCK = 3
-TABLES = 4
+TABLES = 5
 SYMBOLS = 24
+PARITY = 192
 
 
-def fingerprint(df: DataFrame, id_col: str, text_col: str, order_col: str | None, min_words: int, run: int = 3) -> DataFrame:
-    """(rid, seen, class, size, symbols, print, runs) of each record with at least min_words words.
+def parities(owner: np.ndarray, value: np.ndarray, n_texts: int, bits: int = PARITY) -> np.ndarray:
+    """n_texts x bits / 64 longs: of each bucket whether it holds an odd number of the text's distinct runs."""
+    held = np.bincount(owner * bits + (wordhash.mix(value) >> np.uint64(32)).astype(np.int64) % bits, minlength=n_texts * bits)
+    return np.packbits((held & 1).astype(np.uint8).reshape(n_texts, bits), axis=1).view(np.int64)
+
+
+def fingerprint(df: DataFrame, id_col: str, text_col: str, order_col: str | None, min_words: int, run: int = 3, bits: int = PARITY) -> DataFrame:
+    """(rid, seen, class, size, symbols, parity, runs) of each record with at least min_words words.
 
     class: 16 bytes, equal for equal word sequences; size: number of distinct runs; runs: the low halves of their
-    64-bit hashes; symbols: those the anchors are made of; print: a byte of each symbol, in three longs.
+    64-bit hashes; symbols: those the anchors are made of; parity: `bits` bits in longs.
     Null texts and null ids yield no row.
     """
     source = df.select(
@@ -55,7 +63,7 @@ def fingerprint(df: DataFrame, id_col: str, text_col: str, order_col: str | None
                 lists = [wordhash.words(t) for t in part.column(2).to_pylist()]
                 hashes, counts = wordhash.flat_hashes(lists, cache)
                 owner, value = wordhash.distinct_runs(hashes, counts, run)
-                symbols = wordhash.min_symbols(owner, value, len(lists), SYMBOLS, P)
+                symbols = wordhash.min_symbols(owner, value, len(lists), BLOCK * TABLES, P)
                 sizes = np.bincount(owner, minlength=len(lists))
                 ends = np.cumsum(sizes)
                 enough = counts >= min_words
@@ -64,23 +72,23 @@ def fingerprint(df: DataFrame, id_col: str, text_col: str, order_col: str | None
                 # rows too short for the comparison stay, as a later version of an id replaces an earlier one
                 sizes = np.where(enough, sizes, 0)
                 flat = value.astype(np.uint32).view(np.int32)[np.repeat(enough, np.diff(np.r_[0, ends]))]
-                whole = (symbols[enough] & 0xFF).astype(np.uint8).copy().view(np.int64)
+                odd = parities(owner, value, len(lists), bits)[enough]
                 n_ints = BLOCK * TABLES
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0), part.column(1), pa.array(keys, pa.binary()), pa.array(sizes.astype(np.int32)),
-                        pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(enough) * n_ints].astype(np.int32)), pa.array(symbols[enough, :n_ints].astype(np.int32).ravel())),
-                        pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(enough) * 3].astype(np.int32)), pa.array(whole.ravel())),
+                        pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(enough) * n_ints].astype(np.int32)), pa.array(symbols[enough].astype(np.int32).ravel())),
+                        pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(enough) * odd.shape[1]].astype(np.int32)), pa.array(odd.ravel())),
                         pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(flat)),
                     ],
-                    names=["rid", "seen", "class", "size", "symbols", "print", "runs"],
+                    names=["rid", "seen", "class", "size", "symbols", "parity", "runs"],
                 )
 
-    return source.mapInArrow(batches, "rid string, seen timestamp, class binary, size int, symbols array<int>, print array<bigint>, runs array<int>")
+    return source.mapInArrow(batches, "rid string, seen timestamp, class binary, size int, symbols array<int>, parity array<bigint>, runs array<int>")
 
 
-def anchors(reps: DataFrame, tables: int = TABLES) -> DataFrame:
-    """(anchor, class, size, p0, p1, p2): each class under every line within the covering radius of its blocks."""
+def anchors(reps: DataFrame, tables: int = TABLES, bits: int = PARITY) -> DataFrame:
+    """(anchor, class, size, p0, p1, ...): each class under every line within the covering radius of its blocks."""
     at = lambda t, i: f"CAST(symbols[{BLOCK * t + i}] AS BIGINT)"
     half = (P + 1) // 2
     lines = []
@@ -88,30 +96,25 @@ def anchors(reps: DataFrame, tables: int = TABLES) -> DataFrame:
         for i, j, inverse in ((0, 1, 1), (1, 2, 1), (0, 2, half)):
             slope = f"pmod(({at(t, j)} - {at(t, i)}) * {inverse}L, {P}L)"
             lines.append(f"xxhash64({t}, {slope}, pmod({at(t, i)} - {i}L * {slope}, {P}L))")
-    prints = [F.expr(f"print[{k}]").alias(f"p{k}") for k in range(3)]
-    return reps.select("class", "size", *prints, F.explode(F.array_distinct(F.array(*[F.expr(x) for x in lines]))).alias("anchor"))
+    parity = [F.expr(f"parity[{k}]").alias(f"p{k}") for k in range(bits // 64)]
+    return reps.select("class", "size", *parity, F.explode(F.array_distinct(F.array(*[F.expr(x) for x in lines]))).alias("anchor"))
 
 
-def agreement(a: str, b: str) -> F.Column:
-    """Number of equal bytes of two fingerprints: each byte of a xor b is folded onto its lowest bit and the bits counted."""
-    parts = []
-    for k in range(3):
-        x = f"({a}.p{k} ^ {b}.p{k})"
-        for shift in (4, 2, 1):
-            x = f"({x} | shiftrightunsigned({x}, {shift}))"
-        parts.append(f"bit_count({x} & {0x0101010101010101}L)")
-    return F.expr(f"{SYMBOLS} - ({' + '.join(parts)})")
+def may_reach(a: str, b: str, threshold: float, bits: int = PARITY) -> F.Column:
+    """False only for pairs below the threshold: reaching it leaves (1 - t) / (1 + t) of both sizes to differ, and every odd bit is a difference."""
+    differ = " + ".join(f"bit_count({a}.p{k} ^ {b}.p{k})" for k in range(bits // 64))
+    return F.expr(differ) <= (F.col(f"{a}.size") + F.col(f"{b}.size")) * F.lit((1 - threshold) / (1 + threshold) + 1e-9)
 
 
 def least_agreeing(threshold: float, miss: float = 0.001) -> int:
-    """The greatest count that a pair at the threshold falls short of with probability at most `miss`."""
+    """The greatest count of SYMBOLS symbols that a pair at the threshold falls short of with probability at most `miss`. The search doesn't filter by it."""
     total, k = 0.0, 0
     while (total := total + comb(SYMBOLS, k) * threshold**k * (1 - threshold) ** (SYMBOLS - k)) <= miss:
         k += 1
     return k
 
 
-def near_pairs(marked: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+def near_pairs(marked: DataFrame, threshold: float, bits: int = PARITY) -> tuple[DataFrame, DataFrame]:
     """(pairs between classes with their similarity, membership of records in classes).
 
     Of several rows under one id the latest (then the greatest class) counts. The exact comparison is by run hashes; a class pair is compared once however many anchors it shares.
@@ -120,14 +123,14 @@ def near_pairs(marked: DataFrame, threshold: float) -> tuple[DataFrame, DataFram
     members = (
         marked.groupBy("rid").agg(F.max(F.struct("seen", "class", "size")).alias("m")).where("m.size > 0").select("rid", F.col("m.class").alias("class"))
     )
-    reps = marked.where("size > 0").groupBy("class").agg(F.first("size").alias("size"), F.first("symbols").alias("symbols"), F.first("print").alias("print"))
-    keyed = anchors(reps)
+    reps = marked.where("size > 0").groupBy("class").agg(F.first("size").alias("size"), F.first("symbols").alias("symbols"), F.first("parity").alias("parity"))
+    keyed = anchors(reps, bits=bits)
     least = float(threshold)
     a, b = keyed.alias("a"), keyed.alias("b")
     met = (
         a.join(b, F.col("a.anchor") == F.col("b.anchor"))
         .where((F.col("a.class") < F.col("b.class")) & (F.least("a.size", "b.size") >= F.greatest("a.size", "b.size") * F.lit(least - 1e-9)))
-        .where(agreement("a", "b") >= least_agreeing(least))
+        .where(may_reach("a", "b", least, bits))
         .select(F.col("a.class").alias("class_a"), F.col("b.class").alias("class_b"))
         .distinct()
     )
@@ -179,7 +182,10 @@ def groups(pairs: DataFrame, members: DataFrame, max_rounds: int = 64) -> DataFr
     )
 
 
-def near_duplicates(df: DataFrame, id_col: str, text_col: str, order_col: str | None = None, threshold: float = 0.7, min_words: int = 30) -> DataFrame:
-    """All pairs (record_a, record_b) of records with at least min_words words whose word-triple sets reach the threshold."""
-    pairs, members = near_pairs(cut_lineage(fingerprint(df, id_col, text_col, order_col, min_words)), threshold)
+def near_duplicates(df: DataFrame, id_col: str, text_col: str, order_col: str | None = None, threshold: float = 0.7, min_words: int = 30, bits: int = PARITY) -> DataFrame:
+    """All pairs (record_a, record_b) of records with at least min_words words whose word-triple sets reach the threshold.
+
+    bits: the longer the texts, the more are needed for the parities to tell them apart; the result doesn't depend on it.
+    """
+    pairs, members = near_pairs(cut_lineage(fingerprint(df, id_col, text_col, order_col, min_words, bits=bits)), threshold, bits)
     return expand(pairs, members)

@@ -11,7 +11,7 @@ from ..session import table
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import neardup
 
-    docs = neardup.near_duplicates(table(spark, sf_dir, "parsed_documents"), "document_id", "raw_text")
+    docs = neardup.near_duplicates(table(spark, sf_dir, "parsed_documents"), "document_id", "raw_text", bits=640)
     chunks = neardup.near_duplicates(table(spark, sf_dir, "parsed_chunks"), "id", "text", "created_at")
     return docs.union(chunks)
 

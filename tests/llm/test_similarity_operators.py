@@ -65,6 +65,29 @@ def test_agreement_bound():
     assert neardup.least_agreeing(0.7) >= 8 and neardup.least_agreeing(1.0) == neardup.SYMBOLS
 
 
+def test_pairs_at_the_threshold_are_kept(spark):
+    rows = []
+    for k in range(3000):
+        w = [f"{k}x{i}" for i in range(70)]
+        rows += [(f"{k:04}a", " ".join(w)), (f"{k:04}b", " ".join([*w[:57], *(f"{k}y{i}" for i in range(13))]))]  # 55 triples of 81, 0.68
+        rows += [(f"{k:04}c", " ".join([*w[:58], *(f"{k}z{i}" for i in range(12))]))]  # 56 of 80, 0.7
+    df = spark.createDataFrame(rows, "id string, text string")
+    got = {tuple(r) for r in neardup.near_duplicates(df, "id", "text").collect()}
+    want = {(f"{k:04}a", f"{k:04}c") for k in range(3000)}
+    assert not any(b.endswith("b") and a.endswith("a") for a, b in got) and len(want - got) <= 0.0012 * len(want)
+
+
+def test_parities_never_exceed_the_difference():
+    rng = np.random.default_rng(5)
+    for size in (5, 80, 2000):
+        sets = [rng.integers(0, 3 * size, size, dtype=np.uint64) for _ in range(12)]
+        sets = [np.unique(x) for x in sets]
+        odd = neardup.parities(np.repeat(np.arange(12), [len(x) for x in sets]), np.concatenate(sets), 12)
+        for i in range(12):
+            for j in range(12):
+                assert int(np.bitwise_count((odd[i] ^ odd[j]).view(np.uint64)).sum()) <= len(np.setxor1d(sets[i], sets[j]))
+
+
 def test_vectors_against_brute_force(spark):
     rng = np.random.default_rng(3)
     centres = rng.standard_normal((25, 384))
