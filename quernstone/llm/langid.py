@@ -54,6 +54,7 @@ NOT_PROSE = re.compile(r"[ \t]*(?:#{1,6}\s|\||\+[-=+]+|[{\[]\s*[\"{\[]|>?\s*http
 #: A line whose letters, marks within words and blanks make up less than this share is data, not prose.
 LETTERS = 0.7
 PROSE_CHARACTER = re.compile(r"[^\W\d_]|[ ']")
+PADDING = re.compile(r"\s+")
 STOP = re.compile(rf"[.!?]+[\"'”»)\]]*(?=\s+[^a-zà-ÿ\s])|[。！？]+[”』」]*")
 
 
@@ -93,6 +94,8 @@ def sentences(line: str) -> list[tuple[int, int]]:
 
 
 def _readable(line: str) -> bool:
+    """Letters make up most of the line. A run of blanks, tabs or CR counts as one space, so that padding weighs nothing."""
+    line = PADDING.sub(" ", line.strip())
     return len(PROSE_CHARACTER.findall(line)) >= LETTERS * len(line) and (len(max(line.split(), key=len)) <= 60 or any("㐀" <= c <= "鿿" for c in line))
 
 

@@ -27,6 +27,11 @@ def test_languages_and_segments(spark, model):
     assert got["n"] == got["b"] == got["c"] == got["h"] == got["t"] == [] and [x for x, _ in got["z"]] == ["zh"]
 
 
+def test_padding_hides_no_prose(spark, model):
+    got = segments(spark, model, [("l", "\t" * 500 + FR, 1), ("r", FR + " \t\r" * 200, 1), ("m", FR.replace(". ", "." + "\t" * 500), 1), ("d", "12\t" * 100 + "total" + " " * 500, 1)])
+    assert [[x for x, _ in got[k]] for k in "lrm"] == [["fr"]] * 3 and got["d"] == []
+
+
 def test_field_on_no_texts_uses_its_lexicons():
     m = langid.fit([])
     p = m.marginals([m.emissions("der parser und die datei".split())])[0]
