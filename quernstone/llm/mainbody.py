@@ -176,7 +176,7 @@ def features(text: str | None, html: str | None, title: str | None) -> tuple[lis
             head is not None and i == head + 1, sum(w[0].isupper() for w in WORD.findall(strip)[1:]) / max(1, len(ws)),
         )
         previous = n
-        word_ids.append([xxhash.xxh32_intdigest(w if not w.isdigit() else "0") % WORDS for w in ws[:24]] or [0])
+        word_ids.append([xxhash.xxh32_intdigest(w if not w.isdigit() else "0") % WORDS for w in ws] or [0])
         names = [f"{tag}" for tag in tags[-4:]] + [t for e in (p or ()) for t in e[1]]
         path_ids.append([xxhash.xxh32_intdigest("/" + t) % PATHS for t in names] or [0])
         truth.append(teach(p, strip, len(ws)))

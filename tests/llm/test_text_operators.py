@@ -114,6 +114,13 @@ def test_main_lines(spark):
     assert mainbody.main_lines(df.where("false"), net).count() == 0
 
 
+def test_all_words_of_a_line_are_read():
+    line = " ".join(f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(99))
+    ids = mainbody.features(line, None, None)[2]
+    other = mainbody.features(line[:-3] + "subscribe", None, None)[2]
+    assert len(ids[0]) == 99 and ids[0][:-1] == other[0][:-1] and ids[0][-1] != other[0][-1]
+
+
 def test_gradients_of_the_labeller():
     page = mainbody.features("A line\nAnother line here.", "<div class='content'><p>A line</p><p>Another line here.</p></div>", None)
     net = mainbody.Network()
