@@ -17,11 +17,16 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each chunk with its group of near-duplicates, under the corpus defaults: five-word shingles, similarity 0.8."""
+    """Each document and chunk with its group of near-duplicates, under the corpus defaults: five-word shingles, similarity 0.8.
+
+    The tables are searched apart from each other; groups of documents are marked, as a class can occur in both.
+    """
     from . import neardup
 
-    marked = neardup.cut_lineage(neardup.fingerprint(table(spark, sf_dir, "parsed_chunks"), "id", "text", "created_at", 5, run=5))
-    return neardup.groups(*neardup.near_pairs(marked, 0.8))
+    docs = neardup.cut_lineage(neardup.fingerprint(table(spark, sf_dir, "parsed_documents"), "document_id", "raw_text", None, 5, run=5, bits=640))
+    chunks = neardup.cut_lineage(neardup.fingerprint(table(spark, sf_dir, "parsed_chunks"), "id", "text", "created_at", 5, run=5))
+    of_docs = neardup.groups(*neardup.near_pairs(docs, 0.8, 640)).withColumn("group", F.concat(F.lit("document:"), "group"))
+    return of_docs.unionByName(neardup.groups(*neardup.near_pairs(chunks, 0.8)))
 
 
 def p1_segments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,6 +61,14 @@ def test_groups_are_components(spark):
     assert all(got[a] == got[b] for a, b in linked)
 
 
+def test_groups_hold_documents_and_chunks(spark, small):
+    got = queries.p5_groups(spark, small).cache()
+    docs = spark.read.parquet(f"{small}/parsed_documents.parquet").select("document_id", "raw_text").collect()
+    want = {r.document_id for r in docs if r.document_id and len(words(r.raw_text)) >= 5}
+    assert {r.rid for r in got.where("group LIKE 'document:%'").collect()} == want and want
+    assert got.where("group NOT LIKE 'document:%'").count() > 0
+
+
 def test_agreement_bound():
     assert neardup.least_agreeing(0.7) >= 8 and neardup.least_agreeing(1.0) == neardup.SYMBOLS
 
