@@ -1,24 +1,21 @@
 """Near-duplicate records: anchor-point covering over minimum-hash fingerprints.
 
-A record's fingerprint is a word of symbols over GF(p), p = 2^31 - 1: symbol s names the word triple with the least s-th
-hash, so two records agree in a symbol with probability equal to their similarity (shared / united triples). The first
-symbols are cut into TABLES blocks of length 3, and in each block the anchors are the codewords of the [3, 2] Reed-Solomon
-code: the lines y = intercept + slope * position over GF(p). That code has covering radius 1 - any two symbols determine a
-line - so a fingerprint is replicated to every line within the radius (three, or one where all coincide), and two
-fingerprints that differ in at most one of a block's three symbols share a line. A pair of similarity 0.7 is missed by a
-block with probability 0.216, by all five with 0.0005; at 0.8 with 0.00001.
-
-At an anchor the parities are compared: bit k of a record's parity says whether an odd number of its triples fall into
-bucket k. Two records differ in at least as many triples as their parities differ in bits, so a pair whose parities differ in
-more bits than the threshold leaves triples to differ can't reach it. No pair is lost by this; what remains is compared exactly.
-
-Copies (equal word sequences) are one class before any of this, so a text repeated in a third of all rows costs one row.
+A record's fingerprint is a word of symbols over GF(p), p = 2^31 - 1: symbol s names the run of words with the least s-th
+hash, so two records agree in a symbol with probability equal to their similarity (shared / united runs). The symbols are
+cut into TABLES blocks of length 4, and in each block the anchors are the codewords of the [4, 3] Reed-Solomon code: the values
+that a polynomial of degree at most 2 takes at the points 0 to 3. That code has covering radius 1 - any three symbols determine
+a codeword - and a fingerprint is replicated to every anchor within it (four, or one where the word is a codeword itself), so
+two fingerprints that differ in at most one symbol of a block share an anchor. A pair of similarity 0.7 is missed by a block
+with probability 0.348, by all eight with 0.0002; at 0.8 with 0.000001. Two records of similarity 0.1 meet with probability 0.03.
+
+What meets at an anchor is compared exactly, once. Anchors that many records come to are found on a sample of the records, and
+their lists are cut into blocks of about LIST records that are joined block by block, in different tasks. Copies (equal
+word sequences) are one class before any of this, so a text repeated in a third of all rows costs one row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -26,34 +23,32 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, shuffle_width
+from ..session import cut_lineage
 from . import wordhash
 
 P = (1 << 31) - 1
-BLOCK = 3
-TABLES = 5
-SYMBOLS = 24
-PARITY = 192
+BLOCK = 4
+TABLES = 8
+#: Records of one anchor's list that are compared with one another in one task, about.
+LIST = 4_000
+#: One record in so many is looked at to find the anchors with long lists; at most HOT of them are split, the longest.
+SAMPLED = 16
+HOT = 20_000
 
 
-def parities(owner: np.ndarray, value: np.ndarray, n_texts: int, bits: int = PARITY) -> np.ndarray:
-    """n_texts x bits / 64 longs: of each bucket whether it holds an odd number of the text's distinct runs."""
-    held = np.bincount(owner * bits + (wordhash.mix(value) >> np.uint64(32)).astype(np.int64) % bits, minlength=n_texts * bits)
-    return np.packbits((held & 1).astype(np.uint8).reshape(n_texts, bits), axis=1).view(np.int64)
-
-
-def fingerprint(df: DataFrame, id_col: str, text_col: str, order_col: str | None, min_words: int, run: int = 3, bits: int = PARITY) -> DataFrame:
-    """(rid, seen, class, size, symbols, parity, runs) of each record with at least min_words words.
+def fingerprint(df: DataFrame, id_col: str, text_col: str, order_col: str | None, min_words: int, run: int = 3) -> DataFrame:
+    """(rid, seen, class, size, symbols, runs) of each record with at least min_words words.
 
     class: 16 bytes, equal for equal word sequences; size: number of distinct runs; runs: the low halves of their
-    64-bit hashes; symbols: those the anchors are made of; parity: `bits` bits in longs.
-    Null texts and null ids yield no row.
+    64-bit hashes; symbols: those the anchors are made of. Null ids yield no row; records with fewer words, or null
+    text, have size 0 and no symbols, as a later version of an id replaces an earlier one.
     """
     source = df.select(
         F.col(id_col).cast("string").alias("rid"),
         (F.col(order_col).cast("timestamp") if order_col else F.lit(None).cast("timestamp")).alias("seen"),
         F.col(text_col).cast("string").alias("text"),
     ).where("rid IS NOT NULL")
+    n_ints = BLOCK * TABLES
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = wordhash.WordHashes()
@@ -61,120 +56,136 @@ def fingerprint(df: DataFrame, id_col: str, text_col: str, order_col: str | None
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 lists = [wordhash.words(t) for t in part.column(2).to_pylist()]
+                lists = [ws if len(ws) >= min_words else [] for ws in lists]
                 hashes, counts = wordhash.flat_hashes(lists, cache)
                 owner, value = wordhash.distinct_runs(hashes, counts, run)
-                symbols = wordhash.min_symbols(owner, value, len(lists), BLOCK * TABLES, P)
+                symbols = wordhash.min_symbols(owner, value, len(lists), n_ints, P)
                 sizes = np.bincount(owner, minlength=len(lists))
-                ends = np.cumsum(sizes)
-                enough = counts >= min_words
-                bounds = np.cumsum(counts)
-                keys = [xxhash.xxh3_128_digest(hashes[e - n : e].tobytes()) if ok else b"" for n, e, ok in zip(counts, bounds, enough)]
-                # rows too short for the comparison stay, as a later version of an id replaces an earlier one
-                sizes = np.where(enough, sizes, 0)
-                flat = value.astype(np.uint32).view(np.int32)[np.repeat(enough, np.diff(np.r_[0, ends]))]
-                odd = parities(owner, value, len(lists), bits)[enough]
-                n_ints = BLOCK * TABLES
+                some = sizes > 0
+                keys = [xxhash.xxh3_128_digest(hashes[e - n : e].tobytes()) if n else b"" for n, e in zip(counts, np.cumsum(counts))]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0), part.column(1), pa.array(keys, pa.binary()), pa.array(sizes.astype(np.int32)),
-                        pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(enough) * n_ints].astype(np.int32)), pa.array(symbols[enough].astype(np.int32).ravel())),
-                        pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(enough) * odd.shape[1]].astype(np.int32)), pa.array(odd.ravel())),
-                        pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(flat)),
+                        pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(some) * n_ints].astype(np.int32)), pa.array(symbols[some].astype(np.int32).ravel())),
+                        pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(value.astype(np.uint32).view(np.int32))),
                     ],
-                    names=["rid", "seen", "class", "size", "symbols", "parity", "runs"],
+                    names=["rid", "seen", "class", "size", "symbols", "runs"],
                 )
 
-    return source.mapInArrow(batches, "rid string, seen timestamp, class binary, size int, symbols array<int>, parity array<bigint>, runs array<int>")
-
-
-def anchors(reps: DataFrame, tables: int = TABLES, bits: int = PARITY) -> DataFrame:
-    """(anchor, class, size, p0, p1, ...): each class under every line within the covering radius of its blocks."""
-    at = lambda t, i: f"CAST(symbols[{BLOCK * t + i}] AS BIGINT)"
-    half = (P + 1) // 2
-    lines = []
-    for t in range(tables):
-        for i, j, inverse in ((0, 1, 1), (1, 2, 1), (0, 2, half)):
-            slope = f"pmod(({at(t, j)} - {at(t, i)}) * {inverse}L, {P}L)"
-            lines.append(f"xxhash64({t}, {slope}, pmod({at(t, i)} - {i}L * {slope}, {P}L))")
-    parity = [F.expr(f"parity[{k}]").alias(f"p{k}") for k in range(bits // 64)]
-    return reps.select("class", "size", *parity, F.explode(F.array_distinct(F.array(*[F.expr(x) for x in lines]))).alias("anchor"))
+    return source.mapInArrow(batches, "rid string, seen timestamp, class binary, size int, symbols array<int>, runs array<int>")
 
 
-def may_reach(a: str, b: str, threshold: float, bits: int = PARITY) -> F.Column:
-    """False only for pairs below the threshold: reaching it leaves (1 - t) / (1 + t) of both sizes to differ, and every odd bit is a difference."""
-    differ = " + ".join(f"bit_count({a}.p{k} ^ {b}.p{k})" for k in range(bits // 64))
-    return F.expr(differ) <= (F.col(f"{a}.size") + F.col(f"{b}.size")) * F.lit((1 - threshold) / (1 + threshold) + 1e-9)
+def codewords(block: int) -> list[str]:
+    """SQL of the anchors within the covering radius of a block: for each three of its symbols the polynomial through them.
 
-
-def least_agreeing(threshold: float, miss: float = 0.001) -> int:
-    """The greatest count of SYMBOLS symbols that a pair at the threshold falls short of with probability at most `miss`. The search doesn't filter by it."""
-    total, k = 0.0, 0
-    while (total := total + comb(SYMBOLS, k) * threshold**k * (1 - threshold) ** (SYMBOLS - k)) <= miss:
-        k += 1
-    return k
-
-
-def near_pairs(marked: DataFrame, threshold: float, bits: int = PARITY) -> tuple[DataFrame, DataFrame]:
+    A polynomial is named by its values at 0, 1 and 2, which Lagrange's formula gives from those at any three points.
+    """
+    out = []
+    for points in ((0, 1, 2), (0, 1, 3), (0, 2, 3), (1, 2, 3)):
+        values = []
+        for x in (0, 1, 2):
+            if x in points:
+                values.append(f"CAST(symbols[{BLOCK * block + x}] AS BIGINT)")
+                continue
+            terms = []
+            for i in points:
+                top, bottom = 1, 1
+                for j in points:
+                    if j != i:
+                        top, bottom = top * (x - j), bottom * (i - j)
+                terms.append(f"pmod({top * pow(bottom, -1, P) % P}L * symbols[{BLOCK * block + i}], {P}L)")
+            values.append(f"pmod({' + '.join(terms)}, {P}L)")
+        out.append(f"xxhash64({block}, {', '.join(values)})")
+    return out
+
+
+def anchors(reps: DataFrame, tables: int = TABLES) -> DataFrame:
+    """(anchor, node, size): each record under every anchor within the covering radius of its blocks."""
+    lines = [F.expr(x) for t in range(tables) for x in codewords(t)]
+    return reps.select("node", "size", F.explode(F.array_distinct(F.array(*lines))).alias("anchor"))
+
+
+def met(keyed: DataFrame, threshold: float, length: int = LIST) -> DataFrame:
+    """(a, b), a < b: nodes that share an anchor and whose sizes leave the threshold possible."""
+    seen = keyed.where(F.pmod(F.xxhash64("node", F.lit("sample")), F.lit(SAMPLED)) == 0)
+    counted = seen.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") >= max(2, length // SAMPLED))
+    hot = cut_lineage(counted.orderBy(F.desc("n"), "anchor").limit(HOT).select("anchor", F.ceil(F.col("n") * SAMPLED / length).cast("int").alias("parts")))
+    near = (F.col("x.node") < F.col("y.node")) & (F.least("x.size", "y.size") >= F.greatest("x.size", "y.size") * F.lit(threshold - 1e-9))
+    take = (F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    short = keyed.join(F.broadcast(hot.select("anchor")), "anchor", "left_anti")  # at most HOT rows
+    pairs = short.alias("x").join(short.alias("y"), F.col("x.anchor") == F.col("y.anchor")).where(near).select(*take)
+    if not hot.isEmpty():
+        long = keyed.join(F.broadcast(hot), "anchor").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+        left = long.select("anchor", "node", "size", F.col("own").alias("i"), every.alias("j"))
+        right = long.select("anchor", "node", "size", F.col("own").alias("j"), every.alias("i"))
+        on = (F.col("x.anchor") == F.col("y.anchor")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
+        pairs = pairs.union(left.alias("x").join(right.alias("y"), on).where(near).select(*take))
+    return pairs.distinct()
+
+
+def near_pairs(marked: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(pairs between classes with their similarity, membership of records in classes).
 
-    Of several rows under one id the latest (then the greatest class) counts. The exact comparison is by run hashes; a class pair is compared once however many anchors it shares.
+    Of several rows under one id the latest (then the greatest class) counts. The exact comparison is by run hashes; a class
+    pair is compared once however many anchors it shares.
     """
-    # parts keep the wide column (runs) out of the shuffles; only classes that meet another one are fetched again
-    members = (
-        marked.groupBy("rid").agg(F.max(F.struct("seen", "class", "size")).alias("m")).where("m.size > 0").select("rid", F.col("m.class").alias("class"))
-    )
-    reps = marked.where("size > 0").groupBy("class").agg(F.first("size").alias("size"), F.first("symbols").alias("symbols"), F.first("parity").alias("parity"))
-    keyed = anchors(reps, bits=bits)
+    members = marked.groupBy("rid").agg(F.max(F.struct("seen", "class", "size")).alias("m")).where("m.size > 0").select("rid", F.col("m.class").alias("class"))
+    # one row per class, numbered where it lies; the wide column (runs) stays out of the shuffles but for classes that meet another
+    reps = cut_lineage(marked.where("size > 0").groupBy("class").agg(F.first("size").alias("size"), F.first("symbols").alias("symbols")))
+    reps = reps.withColumn("node", F.monotonically_increasing_id())
     least = float(threshold)
-    a, b = keyed.alias("a"), keyed.alias("b")
-    met = (
-        a.join(b, F.col("a.anchor") == F.col("b.anchor"))
-        .where((F.col("a.class") < F.col("b.class")) & (F.least("a.size", "b.size") >= F.greatest("a.size", "b.size") * F.lit(least - 1e-9)))
-        .where(may_reach("a", "b", least, bits))
-        .select(F.col("a.class").alias("class_a"), F.col("b.class").alias("class_b"))
-        .distinct()
-    )
-    met = cut_lineage(met)
-    involved = met.select(F.col("class_a").alias("class")).union(met.select("class_b")).distinct()
-    sets = marked.where("size > 0").join(involved, "class", "left_semi").groupBy("class").agg(F.first("runs").alias("runs"))
-    sets = cut_lineage(sets)
-    both = met.join(sets.select(F.col("class").alias("class_a"), F.col("runs").alias("runs_a")), "class_a").join(
-        sets.select(F.col("class").alias("class_b"), F.col("runs").alias("runs_b")), "class_b"
-    )
+    found = cut_lineage(met(anchors(reps), least))
+    nodes = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
+    involved = reps.select("node", "class").join(nodes, "node")
+    sets = cut_lineage(marked.where("size > 0").select("class", "runs").join(involved, "class").groupBy("node").agg(F.first("class").alias("class"), F.first("runs").alias("runs")))
+    side = lambda n: sets.select(F.col("node").alias(n), F.col("class").alias(f"class_{n}"), F.col("runs").alias(f"runs_{n}"))
+    both = found.join(side("a"), "a").join(side("b"), "b")
     shared = F.size(F.array_intersect("runs_a", "runs_b"))
     pairs = (
         both.withColumn("shared", shared)
         .withColumn("similarity", F.col("shared") / (F.size("runs_a") + F.size("runs_b") - F.col("shared")))
         .where(F.col("similarity") >= least)
-        .select("class_a", "class_b", "similarity")
+        .select(F.least("class_a", "class_b").alias("class_a"), F.greatest("class_a", "class_b").alias("class_b"), "similarity")
     )
     return pairs, members
 
 
 def expand(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """(record_a, record_b), record_a < record_b: all records of linked classes, and the copies within a class."""
-    spread = pairs.select("class_a", "class_b").union(members.select("class").groupBy("class").count().where("count > 1").select("class", "class"))
-    a = members.select(F.col("class").alias("class_a"), F.col("rid").alias("x"))
-    b = members.select(F.col("class").alias("class_b"), F.col("rid").alias("y"))
-    full = spread.join(a, "class_a").join(b, "class_b").where("x <> y")
+    """(record_a, record_b), record_a < record_b: all records of linked classes, and the copies within a class.
+
+    The members of a large class are cut into parts of about LIST, each joined in its own task.
+    """
+    size = members.groupBy("class").agg(F.count("*").alias("n"))
+    spread = pairs.select("class_a", "class_b").union(size.where("n > 1").select("class", "class"))
+    parts = size.select("class", F.ceil(F.col("n") / LIST).cast("int").alias("parts"))
+    kept = members.join(parts, "class").withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int"))
+    a = kept.select(F.col("class").alias("class_a"), F.col("part").alias("part_a"), F.col("rid").alias("x"))
+    b = kept.select(F.col("class").alias("class_b"), F.col("part").alias("part_b"), F.col("rid").alias("y"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(f"n_{n}") - 1)).alias(f"part_{n}")
+    for n in "ab":
+        spread = spread.join(parts.select(F.col("class").alias(f"class_{n}"), F.col("parts").alias(f"n_{n}")), f"class_{n}")
+    spread = spread.select("class_a", "class_b", every("a"), "n_b").select("class_a", "class_b", "part_a", every("b"))
+    full = spread.join(a, ["class_a", "part_a"]).join(b, ["class_b", "part_b"]).where("x <> y")
     return full.select(F.least("x", "y").alias("record_a"), F.greatest("x", "y").alias("record_b")).distinct()
 
 
-def groups(pairs: DataFrame, members: DataFrame, max_rounds: int = 64) -> DataFrame:
+def groups(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """(rid, group, links): connected components over class pairs by alternating label propagation and pointer jumping.
 
-    Every round is a join and an aggregation; each fourth result is checkpointed. group is the least class id in hex.
+    Every round is a join and an aggregation, and is checkpointed; it goes on until no label changes. group is the least class
+    id in hex, links the number of other classes within the threshold.
     """
     edges = cut_lineage(pairs.select("class_a", "class_b").union(pairs.select("class_b", "class_a")).toDF("u", "v"))
     label = edges.select(F.col("u").alias("n")).distinct().withColumn("l", F.col("n"))
-    for _ in range(max_rounds):
+    moving = True
+    while moving:
         least = edges.join(label.select(F.col("n").alias("v"), "l"), "v").groupBy("u").agg(F.min("l").alias("m"))
         step = label.join(least, label.n == least.u).select("n", F.least("l", "m").alias("l"), F.col("l").alias("old"))
         jump = step.join(step.select(F.col("n").alias("l"), F.col("l").alias("ll")), "l", "left").select("n", F.coalesce("ll", "l").alias("l"), "old")
         jump = cut_lineage(jump)
         label = jump.select("n", "l")
-        if jump.where("l <> old").isEmpty():
-            break
+        moving = not jump.where("l <> old").isEmpty()
     links = edges.groupBy(F.col("u").alias("class")).agg(F.count("*").alias("links"))
     return (
         members.join(label.withColumnRenamed("n", "class"), "class", "left").join(links, "class", "left")
@@ -182,10 +193,7 @@ def groups(pairs: DataFrame, members: DataFrame, max_rounds: int = 64) -> DataFr
     )
 
 
-def near_duplicates(df: DataFrame, id_col: str, text_col: str, order_col: str | None = None, threshold: float = 0.7, min_words: int = 30, bits: int = PARITY) -> DataFrame:
-    """All pairs (record_a, record_b) of records with at least min_words words whose word-triple sets reach the threshold.
-
-    bits: the longer the texts, the more are needed for the parities to tell them apart; the result doesn't depend on it.
-    """
-    pairs, members = near_pairs(cut_lineage(fingerprint(df, id_col, text_col, order_col, min_words, bits=bits)), threshold, bits)
+def near_duplicates(df: DataFrame, id_col: str, text_col: str, order_col: str | None = None, threshold: float = 0.7, min_words: int = 30) -> DataFrame:
+    """All pairs (record_a, record_b) of records with at least min_words words whose word-triple sets reach the threshold."""
+    pairs, members = near_pairs(cut_lineage(fingerprint(df, id_col, text_col, order_col, min_words)), threshold)
     return expand(pairs, members)

@@ -11,7 +11,7 @@ from ..session import table
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import neardup
 
-    docs = neardup.near_duplicates(table(spark, sf_dir, "parsed_documents"), "document_id", "raw_text", bits=640)
+    docs = neardup.near_duplicates(table(spark, sf_dir, "parsed_documents"), "document_id", "raw_text")
     chunks = neardup.near_duplicates(table(spark, sf_dir, "parsed_chunks"), "id", "text", "created_at")
     return docs.union(chunks)
 
@@ -23,9 +23,9 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     from . import neardup
 
-    docs = neardup.cut_lineage(neardup.fingerprint(table(spark, sf_dir, "parsed_documents"), "document_id", "raw_text", None, 5, run=5, bits=640))
+    docs = neardup.cut_lineage(neardup.fingerprint(table(spark, sf_dir, "parsed_documents"), "document_id", "raw_text", None, 5, run=5))
     chunks = neardup.cut_lineage(neardup.fingerprint(table(spark, sf_dir, "parsed_chunks"), "id", "text", "created_at", 5, run=5))
-    of_docs = neardup.groups(*neardup.near_pairs(docs, 0.8, 640)).withColumn("group", F.concat(F.lit("document:"), "group"))
+    of_docs = neardup.groups(*neardup.near_pairs(docs, 0.8)).withColumn("group", F.concat(F.lit("document:"), "group"))
     return of_docs.unionByName(neardup.groups(*neardup.near_pairs(chunks, 0.8)))
 
 

@@ -2,6 +2,7 @@ import datetime as dt
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from quernstone.llm import knn, names, neardup, queries
 from quernstone.llm.wordhash import words
@@ -69,8 +70,32 @@ def test_groups_hold_documents_and_chunks(spark, small):
     assert got.where("group NOT LIKE 'document:%'").count() > 0
 
 
-def test_agreement_bound():
-    assert neardup.least_agreeing(0.7) >= 8 and neardup.least_agreeing(1.0) == neardup.SYMBOLS
+def test_anchors_are_codewords_within_the_radius(spark):
+    rng = random.Random(9)
+    poly = lambda c, x: (c[0] + c[1] * x + c[2] * x * x) % neardup.P
+    c = [rng.randrange(neardup.P) for _ in range(3)]
+    word = [poly(c, x) for x in range(4)]
+    rows = [("w", word)] + [(f"d{k}", [v if x != k else rng.randrange(neardup.P) for x, v in enumerate(word)]) for k in range(4)] + [("far", [word[0], word[1], 5, 7])]
+    df = spark.createDataFrame(rows, "node string, symbols array<int>").selectExpr("*", "10 AS size")
+    got = {}
+    for r in neardup.anchors(df, 1).collect():
+        got.setdefault(r.node, set()).add(r.anchor)
+    assert len(got["w"]) == 1 and all(len(got[f"d{k}"]) == 4 and got["w"] <= got[f"d{k}"] for k in range(4)) and not got["w"] & got["far"]
+
+
+def test_long_lists_lose_no_pair(spark):
+    keyed = spark.createDataFrame([(i, 10, i % 3) for i in range(900)], "node bigint, size int, anchor bigint")
+    want = {(a, b) for a in range(900) for b in range(a + 3, 900, 3)}
+    assert {tuple(r) for r in neardup.met(keyed, 0.7, 64).collect()} == want
+    assert {tuple(r) for r in neardup.met(keyed, 0.7).collect()} == want
+
+
+def test_a_template_alone_makes_few_candidates(spark):
+    rng = random.Random(2)
+    rows = [(f"r{i:04}", "this page was last changed by the team " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(40))) for i in range(4000)]
+    marked = neardup.fingerprint(spark.createDataFrame(rows, "id string, text string"), "id", "text", None, 30)
+    met = neardup.met(neardup.anchors(marked.withColumn("node", F.monotonically_increasing_id())), 0.7).count()
+    assert met < 40_000  # 8 million pairs
 
 
 def test_pairs_at_the_threshold_are_kept(spark):
@@ -85,17 +110,6 @@ def test_pairs_at_the_threshold_are_kept(spark):
     assert not any(b.endswith("b") and a.endswith("a") for a, b in got) and len(want - got) <= 0.0012 * len(want)
 
 
-def test_parities_never_exceed_the_difference():
-    rng = np.random.default_rng(5)
-    for size in (5, 80, 2000):
-        sets = [rng.integers(0, 3 * size, size, dtype=np.uint64) for _ in range(12)]
-        sets = [np.unique(x) for x in sets]
-        odd = neardup.parities(np.repeat(np.arange(12), [len(x) for x in sets]), np.concatenate(sets), 12)
-        for i in range(12):
-            for j in range(12):
-                assert int(np.bitwise_count((odd[i] ^ odd[j]).view(np.uint64)).sum()) <= len(np.setxor1d(sets[i], sets[j]))
-
-
 def test_vectors_against_brute_force(spark):
     rng = np.random.default_rng(3)
     centres = rng.standard_normal((25, 384))
