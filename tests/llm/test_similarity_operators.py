@@ -169,3 +169,16 @@ def test_name_parts():
 def test_every_query_runs(spark, small):
     for name in ("p1_found", "p2_pieces", "p3_found", "p4_identities", "p5_groups", "p7_usage", "p8_clean", "p9_rates"):
         assert queries.QUERIES[name](spark, small).count() > 0, name
+
+
+def test_many_cells_and_split_shards_keep_the_recall(spark, small):
+    df = spark.read.parquet(f"{small}/../sf0.01/indexed_chunks.parquet")
+    one = {tuple(r) for r in knn.pairs(knn.nearest(df, "id", "vector")).collect()}
+    many = {tuple(r) for r in knn.pairs(knn.nearest(df, "id", "vector", probes=6, shard=20, pivots=4)).collect()}
+    assert len(one & many) >= 0.9 * len(one)
+
+
+def test_pruning_keeps_the_nearest_and_drops_what_it_covers():
+    v = np.array([[0, 0], [1, 0], [1.1, 0], [0, 2], [0, 2.1], [-3, 0]], np.float32)
+    got = knn.prune(v, np.array([0]), np.array([[1, 2, 3, 4, 5, 0, -1, 1]]), 4, 1.2)
+    assert got.tolist() == [[1, 3, 5, -1]]
