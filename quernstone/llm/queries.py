@@ -141,7 +141,7 @@ def p7_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Probability from which a document counts as a case.
-MODERATION_CUT = 0.55
+MODERATION_CUT = 0.4
 
 
 def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -214,21 +214,46 @@ def test_suffix_search():
 
 
 def test_moderation_without_and_with_ratings(spark):
-    bad = ["Shut up, you worthless idiot.", "You are a useless m.o.r.o.n, get lost!", "Listen, you disgusting idi​оt, shut up."]
+    bad = ["Shut up, you worthless idiot.", "You are a useless m.o.r.o.n, get lost!", "Listen, you disgusting idi\u200bоt, shut up."]
     good = ["Guidelines: a reply that calls someone a moron is hidden.", "The dumb terminal prints garbage.", "The parser reads the file.", None, ""]
     df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(bad + good)], "doc_id bigint, text string, abusive string")
-    got = {r.id: r.abusive for r in moderation.scores(df, moderation.Model()).collect()}
+    got = {r.id: r.abusive for r in moderation.scores(df, moderation.fit([], [])).collect()}
     assert len(got) == 8 and min(got[i] for i in range(3)) > 0.5 > max(got[i] for i in range(3, 8))
     ratings = spark.createDataFrame([(0, "abusive"), (3, "none"), (4, None)], "doc_id bigint, category string")
     fitted = moderation.fit_on(df, ratings)
     assert moderation.scores(df.where("false"), fitted).count() == 0
 
 
+def test_every_sentence_is_judged():
+    model = moderation.fit([], [])
+    assert min(model.score([t])[0, 0] for t in ("I will find your house and break your legs.", "白痴！", "The file is read. 废物！ The file is read.")) > 0.5
+    owner, x = moderation.Reader({}).read(["滚。", "", None, "One. Two!", "...", "a" * 100_000])
+    assert owner.tolist() == [0, 3, 3, 5] and np.isfinite(x).all()
+
+
+def test_moderation_on_held_out_ratings(small):
+    """Fitted on the ratings of half the rated documents; of the other half the documents on which two raters or more agree are told apart."""
+    import pandas as pd
+
+    folder = f"{small}/../sf0.1"
+    ratings = pd.read_parquet(f"{folder}/moderation_labels.parquet").dropna(subset="category")
+    docs = pd.read_parquet(f"{folder}/documents.parquet", columns=["doc_id", "text"]).dropna()
+    per = ratings.groupby("doc_id").category.agg(list).reset_index().merge(docs, on="doc_id").sort_values("doc_id")
+    shares = [{c: r.count(c) / len(r) for c in moderation.CATEGORIES} for r in per.category]
+    texts, taught = per.text.tolist(), per.doc_id % 2 == 0
+    model = moderation.fit([t for t, k in zip(texts, taught) if k], [s for s, k in zip(shares, taught) if k])
+    rest = [(t, s) for t, s, k, r in zip(texts, shares, taught, per.category) if not k and len(r) > 1 and (not any(s.values()) or max(s.values()) == 1)]
+    worst = model.score([t for t, _ in rest]).max(1) >= 0.4
+    bad = np.array([max(s.values()) == 1 for _, s in rest])
+    assert worst[bad].mean() >= 0.8 and worst[~bad].mean() < 0.1, (bad.sum(), worst[bad].mean(), worst[~bad].mean())
+
+
 def test_trees_learn_and_isotonic_rises():
     rng = np.random.default_rng(0)
     x = rng.random((400, 3))
     y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
-    t = boosting.Trees().fit(x, y, np.ones(400), np.zeros(400))
-    assert ((t.margin(x, np.zeros(400)) > 0) == y).mean() > 0.95
+    t = boosting.Trees().fit(x, y, np.ones(400))
+    assert ((t.margin(x) > 0) == y).mean() > 0.95
+    assert boosting.Trees().fit(x[:0], y[:0], y[:0]).margin(x).tolist() == [0] * 400
     xs, ys = boosting.isotonic(np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1]), np.ones(4))
     assert (np.diff(ys) >= 0).all() and ys[0] == 0 and ys[-1] == 1
