@@ -232,7 +232,8 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, size: int = 384, k: int
     load = routed.groupBy("cell").agg(F.sum(F.col("home").cast("int")).alias("held"), F.count("*").alias("asking")).where("held > 0")
     parts = cut_lineage(load.select("cell", F.ceil(F.col("held") / (2 * shard)).cast("int").alias("shards"), F.ceil(F.col("asking") / (4 * shard)).cast("int").alias("blocks")))
     n_shards, n_groups = parts.agg(F.sum("shards"), F.sum(F.col("shards") * F.col("blocks"))).first()
-    salted = routed.join(parts, "cell").withColumn("salt", F.pmod(F.xxhash64("class"), F.lit(1 << 30)).cast("int"))
+    # a row per cell, and there are at most PIVOTS x PIVOTS of them: 20 MB
+    salted = routed.join(F.broadcast(parts), "cell").withColumn("salt", F.pmod(F.xxhash64("class"), F.lit(1 << 30)).cast("int"))
 
     def index(table: pa.Table) -> pa.Table:
         keys = table.column("class").to_pylist()
