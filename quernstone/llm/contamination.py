@@ -1,9 +1,10 @@
 """Evaluation items in corpus documents: suffix arrays over shards of the corpus, binary-searched by every item suffix.
 
 A shard is a bounded number of documents inside one task. Its words become numbers of the items' vocabulary (0 for any other
-word and between documents, so that no match spans two), and its suffixes are sorted by prefix doubling. Every suffix of every
-item is then searched by two vectorised binary searches per length; the matches give the documents with their positions.
-Items are broadcast in blocks of at most ITEM_WORDS words, so neither their number nor the corpus is limited.
+word and between documents, so that no match spans two), and its suffixes up to the next 0 are sorted by prefix doubling. Every
+suffix of every item is searched by vectorised binary searches: cut to SHORT and LONG words to find the affected
+pairs, whole among the suffixes of an affected document to find the longest verbatim match and all its places there.
+Items are broadcast in blocks of at most ITEM_WORDS words; a shard is read and cut into words once and meets all blocks.
 """
 
 from __future__ import annotations
@@ -31,12 +32,15 @@ def normalised_words(text: str | None) -> list[str]:
     return words(DIVIDED.sub("", unicodedata.normalize("NFKC", text.translate(INVISIBLE)))) if text else []
 
 
-def suffix_array(seq: np.ndarray, depth: int) -> np.ndarray:
-    """Start positions of the suffixes that begin with a known word, in the order of their first `depth` words or more."""
-    rank, step = seq.astype(np.int64), 1
-    while step < depth:
+def suffix_array(seq: np.ndarray) -> np.ndarray:
+    """Start positions of the suffixes that begin with a known word, in the order of their words up to the next 0."""
+    stops = np.flatnonzero(np.r_[seq, 0] == 0)
+    left = stops[np.searchsorted(stops, np.arange(len(seq)))] - np.arange(len(seq))  # words before the next 0
+    rank, step, longest = seq.astype(np.int64), 1, int(left.max()) if len(left) else 0
+    while step < longest:
         ahead = np.zeros_like(rank)
         ahead[:-step] = rank[step:]
+        ahead[left <= step] = 0
         rank = np.unique(rank * (rank.max() + 1) + ahead, return_inverse=True)[1].reshape(-1)
         step *= 2
     start = np.flatnonzero(seq)
@@ -106,28 +110,41 @@ def _pairs(seq: np.ndarray, order: np.ndarray, owner: np.ndarray, runs: tuple[np
     return np.unique(np.repeat(seen[:, 0], counts) * n_items + which, return_counts=True)
 
 
-def longest(document: np.ndarray, item: np.ndarray) -> tuple[int, int]:
-    """(length in words, position in the document) of the longest run that both hold; the first of several."""
-    best, at, before = 0, 0, np.zeros(len(document) + 1, np.int32)
-    for w in item:
-        now = np.zeros_like(before)
-        now[1:] = np.where(document == w, before[:-1] + 1, 0)
-        k = int(now.argmax())
-        if now[k] > best:
-            best, at = int(now[k]), k - int(now[k])
-        before = now
-    return best, at
+def longest(seq: np.ndarray, order: np.ndarray, item: np.ndarray, block: int = 512) -> tuple[int, list[int]]:
+    """(length, all places in seq) of the longest run of words that the item shares with the suffixes in `order`; the item's first run of several.
 
-
-def shard_matches(docs: list[list[str]], items: Items) -> Iterator[tuple[int, int, int, int, int]]:
-    """(document, item, distinct short runs shared, longest match, its position) of the affected pairs in one shard."""
+    A suffix of the item shares most with one of its two neighbours in the sorted order.
+    """
+    best, which = 0, 0
+    for at in range(0, len(item), block):
+        width = len(item) - at
+        rows = np.arange(at, min(len(item), at + block))
+        queries = np.r_[item, np.full(width, -1, item.dtype)][rows[:, None] + np.arange(width)]
+        low, _ = search(seq, order, queries)
+        padded = np.r_[seq, np.zeros(width, seq.dtype)]
+        for near in (low - 1, low):
+            inside = (near >= 0) & (near < len(order))
+            there = padded[order[np.clip(near, 0, len(order) - 1)][:, None] + np.arange(width)]
+            length = np.where(inside, (np.cumsum(there != queries, 1) == 0).sum(1), 0)
+            k = int(length.argmax())
+            if length[k] > best:
+                best, which = int(length[k]), at + k
+    if not best:
+        return 0, []
+    low, high = search(seq, order, item[None, which : which + best])
+    return best, sorted(order[low[0] : high[0]].tolist())
+
+
+def shard_matches(docs: list[list[str]], items: Items) -> Iterator[tuple[int, int, int, int, list[int]]]:
+    """(document, item, distinct short runs shared, longest match, its places) of the affected pairs in one shard."""
     known = items.vocabulary.get
     arrays = [np.array([known(w, 0) for w in ws] + [0], np.int32) for ws in docs]
     if not arrays or not items.ids:
         return
     seq = np.concatenate(arrays)
     owner = np.repeat(np.arange(len(arrays)), [len(a) for a in arrays])
-    order = suffix_array(seq, LONG)
+    first = np.cumsum([0, *map(len, arrays)])
+    order = suffix_array(seq)
     n = len(items.ids)
     near, shared = _pairs(seq, order, owner, items.short, n)
     enough = shared >= np.maximum(items.need[near % n], 1) * SHARE if len(near) else np.zeros(0, bool)
@@ -135,43 +152,47 @@ def shard_matches(docs: list[list[str]], items: Items) -> Iterator[tuple[int, in
     for runs in items.whole:
         pairs.update(_pairs(seq, order, owner, runs, n)[0].tolist())
     count = dict(zip(near.tolist(), shared.tolist()))
+    place = owner[order]
+    by_document = order[np.argsort(place, kind="stable")]  # each document's suffixes, still in their order
+    bounds = np.searchsorted(np.sort(place), np.arange(len(arrays) + 1))
     for p in sorted(pairs):
-        size, at = longest(arrays[p // n], items.words[p % n])
-        yield p // n, p % n, count.get(p, 0), size, at
+        d = p // n
+        size, at = longest(seq, by_document[bounds[d] : bounds[d + 1]], items.words[p % n])
+        yield d, p % n, count.get(p, 0), size, [x - int(first[d]) for x in at]
 
 
-def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "item_text") -> DataFrame:
-    """(doc_id, item_id, shared_runs, longest, position): every document with every item it leaks.
+def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "item_text", item_words: int = ITEM_WORDS) -> DataFrame:
+    """(doc_id, item_id, shared_runs, longest, places): every document with every item it leaks.
 
     A pair counts if min(LONG, words of the item) consecutive words of the item occur consecutively in the document, or at
-    least SHARE of its distinct runs of SHORT words do. Items or documents without words, or null, match nothing; repeated rows
-    under one id count as one text each, and a pair is reported once.
+    least SHARE of its distinct runs of SHORT words do. longest: words of the longest verbatim match; places: where it begins in
+    the document, in words from 0. Items or documents without words, or null, match nothing; repeated rows under one id count
+    as one text each, and a pair is reported once. Columns other than ids and texts are not read.
     """
     wanted = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).cast("string").alias("t"))
     source = docs.where(F.col(doc_id).isNotNull() & F.col(doc_text).isNotNull()).select(F.col(doc_id).cast("bigint").alias("d"), F.col(doc_text).cast("string").alias("t"))
-    schema = "doc_id bigint, item_id bigint, shared_runs int, longest int, position int"
     spark = docs.sparkSession
     total = wanted.select(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
-    blocks = 1 + total // (2 * ITEM_WORDS)  # a word and its separator are two characters at least
-    out = None
+    blocks = 1 + total // (2 * item_words)  # a word and its separator are two characters at least
+    shared = []
     for b in range(blocks):
         block = wanted.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b) if blocks > 1 else wanted
-        shared = spark.sparkContext.broadcast(Items([(i, normalised_words(t)) for i, t in sorted(map(tuple, block.collect()))]))
-
-        def batches(it: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            mine = shared.value
-            for batch in it:
-                for at in range(0, batch.num_rows, SHARD_DOCUMENTS):
-                    ids = batch.column(0).slice(at, SHARD_DOCUMENTS).to_pylist()
-                    texts = batch.column(1).slice(at, SHARD_DOCUMENTS).to_pylist()
-                    rows = [(ids[d], mine.ids[i], *rest) for d, i, *rest in shard_matches([normalised_words(t) for t in texts], mine)]
+        shared.append(spark.sparkContext.broadcast(Items([(i, normalised_words(t)) for i, t in sorted(map(tuple, block.collect()))])))
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()))
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for at in range(0, batch.num_rows, SHARD_DOCUMENTS):
+                ids = batch.column(0).slice(at, SHARD_DOCUMENTS).to_pylist()
+                texts = [normalised_words(t) for t in batch.column(1).slice(at, SHARD_DOCUMENTS).to_pylist()]
+                for items in (s.value for s in shared):
+                    rows = [(ids[d], items.ids[i], *rest) for d, i, *rest in shard_matches(texts, items)]
                     cols = list(zip(*rows)) if rows else [[]] * 5
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=["doc_id", "item_id", "shared_runs", "longest", "position"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "item_id", "shared_runs", "longest", "places"])
 
-        part = source.mapInArrow(batches, schema)
-        out = part if out is None else out.union(part)
-    best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct("longest", "shared_runs", "position")).alias("m"))
-    return best.select("doc_id", "item_id", "m.shared_runs", "m.longest", "m.position")
+    found = source.mapInArrow(batches, "doc_id bigint, item_id bigint, shared_runs int, longest int, places array<int>")
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("longest", "shared_runs", "places")).alias("m"))
+    return best.select("doc_id", "item_id", "m.shared_runs", "m.longest", "m.places")
 
 
 def without_leaks(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id") -> DataFrame:

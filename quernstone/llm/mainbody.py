@@ -12,6 +12,7 @@ while it learns, what it learns carries over to pages whose markup says nothing.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -21,11 +22,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sampling import least_hashed
+from .sampling import least_hashed, stored
 
 FIT_PAGES = 1_500
 WORDS, PATHS = 1 << 13, 1 << 10
 EMBED, HIDDEN = 16, 32
+CELLS = 16_384
+#: Pages with more lines or characters don't teach.
+FIT_LINES, FIT_CHARACTERS = 400, 60_000
 
 #: Naming tokens of markup that holds the main body, and of markup that doesn't.
 BODY = frozenset("article main content entry story post".split())
@@ -39,40 +43,74 @@ WORD = re.compile(r"[^\W_]+|[©|>%+:·(]")
 NAME = re.compile(r"[a-zA-Z]+")
 
 
+#: Bits of the tags that an element stands in.
+BITS = {tag: 1 << n for n, tags in enumerate((("a",), ("li",), ("p",), ("h1",), ("h2", "h3", "h4"), ("pre", "code"), ("td",))) for tag in tags}
+SHOWN = frozenset("h1 h2 h3 h4 pre li table tr td th code div".split())
+
+
+class Element:
+    """An open tag with what its path says, each worked out from its parent's."""
+
+    __slots__ = ("bad", "body", "bits", "depth", "entry", "group", "ids", "inside", "parent", "skipped", "tag", "title")
+
+    def __init__(self, parent: Element | None, tag: str, named: str) -> None:
+        names = tuple(t.lower() for t in NAME.findall(named.replace("-", " ")))
+        tokens = {tag, *names}
+        self.parent, self.tag = parent, tag
+        self.bits = (parent.bits if parent else 0) | BITS.get(tag, 0)
+        self.depth = (parent.depth if parent else 0) + 1
+        self.skipped = tag in SKIPPED or bool(parent and parent.skipped)
+        self.title = tag == "title" or bool(parent and parent.title)
+        self.ids = (parent.ids if parent else ()) + tuple(xxhash.xxh32_intdigest("/" + t) % PATHS for t in (tag, *names))
+        # what the markup teaches: 0 for what lies in another part, 1 for what lies in the main body
+        self.bad = bool(tokens & (OTHER - {"header", "meta"}) or {"header", "meta"} & set(names)) or bool(parent and parent.bad)
+        self.entry = bool({"content", "entry"} & tokens) or bool(parent and parent.entry)
+        own = bool(BODY & tokens)
+        self.body = own or bool(parent and parent.body)
+        self.inside = not own and bool(parent and parent.body) and (parent.inside or tag in SHOWN)
+        # the outermost named or sectioning element, or the outermost tags where there is none
+        if parent and parent.group[0] == ".":
+            self.group = parent.group
+        elif tag not in ("html", "body") and (named or tag in ("nav", "aside", "article", "main", "footer", "form", "header")):
+            self.group = f".{tag}.{named}"
+        elif self.depth <= 4:
+            self.group = f"{parent.group if parent else ''}/{tag}"
+        else:
+            self.group = parent.group
+
+
 class Leaves(HTMLParser):
-    """Text nodes of a page in order, each with its path of (tag, naming tokens, key)."""
+    """Text nodes of a page in order, each with the element it stands in."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.path: list[tuple[str, tuple[str, ...], str]] = []
-        self.nodes: list[tuple[str, tuple]] = []
+        self.open: Element | None = None
+        self.nodes: list[tuple[str, Element | None]] = []
         self.title = ""
 
     def handle_starttag(self, tag, attrs):
         if tag in VOID:
             return
-        if tag in ("p", "li", "td", "tr", "h1", "h2", "h3") and self.path and self.path[-1][0] == tag:
-            self.path.pop()  # left open before
-        named = " ".join(v or "" for k, v in attrs if k in ("class", "role") or k.startswith("data-"))
-        self.path.append((tag, tuple(t.lower() for t in NAME.findall(named.replace("-", " "))), named))
+        if tag in ("p", "li", "td", "tr", "h1", "h2", "h3") and self.open and self.open.tag == tag:
+            self.open = self.open.parent  # left open before
+        self.open = Element(self.open, tag, " ".join(v or "" for k, v in attrs if k in ("class", "role") or k.startswith("data-")))
 
     def handle_endtag(self, tag):
-        for k in range(len(self.path) - 1, max(-1, len(self.path) - 12), -1):
-            if self.path[k][0] == tag:
-                del self.path[k:]
-                return
+        at = self.open
+        while at and at.tag != tag:
+            at = at.parent
+        if at:
+            self.open = at.parent
 
     def handle_data(self, data):
-        tags = {p[0] for p in self.path}
-        if tags & SKIPPED:
-            if "title" in tags:
+        if self.open and self.open.skipped:
+            if self.open.title:
                 self.title += data
-            return
-        if data.strip():
-            self.nodes.append((data, tuple(self.path)))
+        elif data.strip():
+            self.nodes.append((data, self.open))
 
 
-def leaves(html: str | None) -> tuple[list[tuple[str, tuple]], str]:
+def leaves(html: str | None) -> tuple[list[tuple[str, Element | None]], str]:
     parser = Leaves()
     try:
         parser.feed(html or "")
@@ -86,17 +124,25 @@ def key(text: str) -> str:
     return KEY.sub("", text.lower())
 
 
-def align(lines: list[str], nodes: list[tuple[str, tuple]]) -> list[tuple | None]:
-    """The path of each line's first text node; none where the markup doesn't hold the line."""
+#: A line found further ahead than so many key characters is only taken if the line after it isn't found before it.
+NEAR = 400
+
+
+def align(keys: list[str], nodes: list[tuple[str, Element | None]]) -> list[Element | None]:
+    """The element of each line's first text node, by the lines' keys; none where the markup doesn't hold the line."""
     parts = [key(t) for t, _ in nodes]
     stream = "".join(parts)
     ends = np.cumsum([len(p) for p in parts]) if parts else np.empty(0, int)
-    out: list[tuple | None] = []
+    out: list[Element | None] = []
     at = 0
-    for line in lines:
-        k = key(line)
+    for i, k in enumerate(keys):
         found = stream.find(k, at) if k else -1
-        if found < 0 or found - at > 4000:
+        if found - at > NEAR:
+            after = next((x for x in keys[i + 1 : i + 40] if len(x) >= 8 and x != k), "")
+            sooner = stream.find(after, at, found) if after else -1
+            if sooner >= 0:
+                found = -1
+        if found < 0:
             out.append(None)
             continue
         out.append(nodes[int(np.searchsorted(ends, found, "right"))][1])
@@ -104,83 +150,110 @@ def align(lines: list[str], nodes: list[tuple[str, tuple]]) -> list[tuple | None
     return out
 
 
-def container(path: tuple) -> str:
-    """Key of the outermost named or sectioning element that the line stands in."""
-    for tag, _, named in path:
-        if tag not in ("html", "body") and (named or tag in ("nav", "aside", "article", "main", "footer", "form", "header")):
-            return f"{tag}.{named}"
-    return "/".join(p[0] for p in path[:4])
-
-
-def teach(path: tuple | None, line: str, words: int) -> float:
+def teach(e: Element | None, line: str, words: int) -> float:
     """1 main body, 0 not, nan where the markup doesn't say."""
-    if path is None:
+    if e is None:
         return np.nan
-    tokens = {t for tag, names, _ in path for t in (tag, *names)}
-    if tokens & (OTHER - {"header", "meta"}) or any({"header", "meta"} & set(names) for _, names, _ in path):
+    if e.bad:
         return 0.0
-    if "content" in tokens or "entry" in tokens:
+    if e.entry:
         return 1.0
-    if tokens & BODY:
-        tags = [p[0] for p in path]
-        inside = set(tags[max(i for i, p in enumerate(path) if {p[0], *p[1]} & BODY) + 1 :])
-        plain = words >= 9 and not re.match(r"[\w-]+: ", line)
-        return 1.0 if plain or inside & {"h1", "h2", "h3", "h4", "pre", "li", "table", "tr", "td", "th", "code", "div"} else np.nan
+    if e.body:
+        return 1.0 if e.inside or words >= 9 and not SPEAKER.match(line) else np.nan
     return np.nan
 
 
 DENSE = 42
 HTML_PART = slice(0, 18)
+SPEAKER = re.compile(r"[\w-]+: ")
+SIGNS = re.compile(r"[=({]")
 
 
-def features(text: str | None, html: str | None, title: str | None) -> tuple[list[int], np.ndarray, list[list[int]], list[list[int]], np.ndarray]:
+class Lines:
+    """What a line says by itself; lines seen before are remembered, as menus and footers come again on every page of a site."""
+
+    REMEMBERED = 100_000
+
+    def __init__(self) -> None:
+        self.known: dict[str, tuple] = {}
+        self.words: dict[str, int] = {}
+
+    def __call__(self, line: str) -> tuple[str, int, np.ndarray, list[int]]:
+        """(key, number of words, dense features, word ids)"""
+        got = self.known.get(line)
+        if got is None:
+            if len(self.known) >= self.REMEMBERED:
+                self.known.clear()
+            if len(self.words) >= 10 * self.REMEMBERED:
+                self.words.clear()
+            got = self.known[line] = self._look(line)
+        return got
+
+    def _look(self, line: str) -> tuple[str, int, np.ndarray, list[int]]:
+        strip = line.strip()
+        ws = WORD.findall(line.lower())
+        plain = WORD.findall(strip)
+        letters = max(1, sum(map(str.isalpha, strip)))
+        x = np.zeros(24, np.float32)
+        x[:12] = (
+            np.log1p(len(ws)) / 4, np.log1p(len(strip)) / 6, strip[-1] in ".!?。！？", strip[-1] == ":", "|" in strip, ">" in strip, "©" in strip, "%" in strip, sum(map(str.isdigit, strip)) / len(strip),
+            strip[0].isupper(), sum(map(str.isupper, strip)) / letters, strip.count(",") / 4,
+        )
+        x[18], x[19], x[20], x[23] = line[0] in " \t", ": " in strip[:30], bool(SIGNS.search(strip)), sum(w[0].isupper() for w in plain[1:]) / max(1, len(ws))
+        ids = []
+        for w in ws:
+            n = self.words.get(w)
+            if n is None:
+                n = self.words[w] = xxhash.xxh32_intdigest(w if not w.isdigit() else "0") % WORDS
+            ids.append(n)
+        return key(line), len(ws), x, ids or [0]
+
+
+def features(text: str | None, html: str | None, title: str | None, look: Lines | None = None) -> tuple[list[int], np.ndarray, list[list[int]], list[list[int]], np.ndarray]:
     """(line numbers, dense features, word ids, path ids, teaching) of a page's non-blank lines."""
+    look = look or Lines()
     rows = [(n, s) for n, s in enumerate((text or "").split("\n")) if s.strip()]
     if not rows:
         return [], np.zeros((0, DENSE), np.float32), [], [], np.zeros(0)
-    lines = [s for _, s in rows]
+    seen = [look(s) for _, s in rows]
+    keys, counts = [g[0] for g in seen], np.array([g[1] for g in seen])
     nodes, inner = leaves(html)
-    paths = align(lines, nodes)
-    tokens = [WORD.findall(s.lower()) for s in lines]
+    held = align(keys, nodes)
+    there = np.array([e is not None for e in held])
     heads = [key(t) for t in (inner, title or "") if t and key(t)]
-    keys = [key(s) for s in lines]
-    head = next((i for i, (k, p) in enumerate(zip(keys, paths)) if p and any(e[0] == "h1" for e in p)), None)
+    head = next((i for i, (k, e) in enumerate(zip(keys, held)) if e and e.bits & BITS["h1"]), None)
     if head is None:
-        exact = [i for i, k in enumerate(keys) if k and any(h == k or h.startswith(k) and len(k) >= 0.5 * len(h) for h in heads)]
-        head = exact[0] if exact else None
-    groups = [container(p) if p else "" for p in paths]
-    sizes: dict[str, list[float]] = {}
-    for g, s, ws in zip(groups, lines, tokens):
-        c = sizes.setdefault(g, [0, 0, 0])
-        c[0], c[1], c[2] = c[0] + len(s), c[1] + 1, max(c[2], len(ws))
-    total = max(1, sum(map(len, lines)))
-    home = groups[head] if head is not None and paths[head] else None
-    x = np.zeros((len(rows), DENSE), np.float32)
-    word_ids, path_ids, truth = [], [], []
-    previous = -1
-    for i, ((n, s), ws, p, g) in enumerate(zip(rows, tokens, paths, groups)):
-        strip = s.strip()
-        tags = [e[0] for e in p] if p else []
-        leaf = tags[-1] if tags else ""
-        if p:
-            c = sizes[g]
-            x[i, HTML_PART] = (
-                1, leaf == "a" or "a" in tags, "li" in tags, "p" in tags, "h1" in tags, bool({"h2", "h3", "h4"} & set(tags)), bool({"pre", "code"} & set(tags)), "td" in tags, leaf == "div",
-                len(tags) / 10, home is not None and g == home, home is not None, c[0] / total, np.log1p(c[1]) / 4, min(c[2], 60) / 30, i > 0 and groups[i - 1] == g, i + 1 < len(groups) and groups[i + 1] == g, len(sizes) / 10,
-            )
-        letters = max(1, sum(ch.isalpha() for ch in strip))
-        x[i, 18:42] = (
-            np.log1p(len(ws)) / 4, np.log1p(len(strip)) / 6, strip[-1] in ".!?。！？", strip[-1] == ":", "|" in strip, ">" in strip, "©" in strip, "%" in strip, sum(ch.isdigit() for ch in strip) / len(strip),
-            strip[0].isupper(), sum(ch.isupper() for ch in strip) / letters, strip.count(",") / 4, i / len(rows), head is not None and i == head, head is not None and i > head,
-            0 if head is None else np.clip((i - head) / 30, -1, 1), keys.count(keys[i]) > 1, n - previous > 1, s[0] in " \t", ": " in strip[:30], bool(re.search(r"[=({]", strip)), len(rows) / 60,
-            head is not None and i == head + 1, sum(w[0].isupper() for w in WORD.findall(strip)[1:]) / max(1, len(ws)),
-        )
-        previous = n
-        word_ids.append([xxhash.xxh32_intdigest(w if not w.isdigit() else "0") % WORDS for w in ws] or [0])
-        names = [f"{tag}" for tag in tags[-4:]] + [t for e in (p or ()) for t in e[1]]
-        path_ids.append([xxhash.xxh32_intdigest("/" + t) % PATHS for t in names] or [0])
-        truth.append(teach(p, strip, len(ws)))
-    return [n for n, _ in rows], x, word_ids, path_ids, np.array(truth)
+        head = next((i for i, k in enumerate(keys) if k and any(h == k or h.startswith(k) and len(k) >= 0.5 * len(h) for h in heads)), None)
+    n = len(rows)
+    groups = [e.group if e else "" for e in held]
+    number = {g: i for i, g in enumerate(dict.fromkeys(groups))}
+    group = np.array([number[g] for g in groups])
+    lengths = np.array([len(s) for _, s in rows], float)
+    most = np.zeros(len(number))
+    np.maximum.at(most, group, counts)
+    repeated = Counter(keys)
+    place = np.arange(n)
+    x = np.zeros((n, DENSE), np.float32)
+    x[:, 18:] = [g[2] for g in seen]
+    if there.any():
+        bits = np.array([e.bits if e else 0 for e in held])
+        home = groups[head] if head is not None and held[head] else None
+        at_home = np.array([home is not None and g == home for g in groups])
+        same = np.r_[False, group[1:] == group[:-1]]
+        x[:, HTML_PART] = np.stack(
+            [
+                *(np.ones(n), *(bits >> k & 1 for k in range(7))), np.array([bool(e) and e.tag == "div" for e in held]), np.array([e.depth if e else 0 for e in held]) / 10,
+                at_home, np.full(n, home is not None), np.bincount(group, lengths)[group] / lengths.sum(), np.log1p(np.bincount(group)[group]) / 4, np.minimum(most[group], 60) / 30,
+                same, np.r_[same[1:], False], np.full(n, len(number) / 10),
+            ],
+            1,
+        ) * there[:, None]
+    x[:, 30], x[:, 34], x[:, 39] = place / n, [repeated[k] > 1 for k in keys], n / 60
+    if head is not None:
+        x[:, 31], x[:, 32], x[:, 33], x[:, 40] = place == head, place > head, np.clip((place - head) / 30, -1, 1), place == head + 1
+    x[:, 35] = np.diff([-1, *(r for r, _ in rows)]) > 1
+    truth = np.array([teach(e, s.strip(), c) for e, (_, s), c in zip(held, rows, counts)])
+    return [r for r, _ in rows], x, [g[3] for g in seen], [list(e.ids) if e else [0] for e in held], truth
 
 
 class Network:
@@ -250,10 +323,16 @@ class Network:
         return grad, dx
 
     def probabilities(self, pages: list[tuple]) -> list[np.ndarray]:
+        """Of every page's lines. Pages of like length go together, as many as keep the padded batch within CELLS lines."""
         out: list[np.ndarray] = [np.zeros(0)] * len(pages)
         order = sorted((i for i in range(len(pages)) if len(pages[i][0])), key=lambda i: len(pages[i][0]))
-        for at in range(0, len(order), 64):
-            part = order[at : at + 64]
+        parts: list[list[int]] = []
+        for i in order:
+            if parts and len(parts[-1]) < 128 and (len(parts[-1]) + 1) * len(pages[i][0]) <= CELLS:
+                parts[-1].append(i)
+            else:
+                parts.append([i])
+        for part in parts:
             x, mask = self.stack([pages[i] for i in part])
             p, _ = self.forward(x, mask)
             for row, i in enumerate(part):
@@ -273,7 +352,7 @@ class Network:
 def fit(pages: list[tuple], epochs: int = 16, rate: float = 0.004, seed: int = 11, hide: float = 0.3) -> Network:
     """Adam on the taught lines; per page and epoch the naming tokens, the words or all markup may be withheld."""
     net, rng = Network(), np.random.default_rng(seed)
-    pages = [p for p in pages if len(p[0]) and np.isfinite(p[4]).mean() > 0.3 and len(p[0]) <= 400]
+    pages = [p for p in pages if len(p[0]) and np.isfinite(p[4]).mean() > 0.3 and len(p[0]) <= FIT_LINES]
     if not pages:
         return net
     first = {k: np.zeros_like(v) for k, v in net.p.items()}
@@ -347,8 +426,11 @@ def fit_twice(pages: list[tuple], hide: float = 0.15) -> Network:
 
 
 def fit_on(pages: DataFrame, bound: int = FIT_PAGES, id_col: str = "page_id") -> Network:
-    usable = pages.where("html IS NOT NULL AND text IS NOT NULL").select(id_col, "text", "html", "title")
-    return fit_twice([features(*r[1:]) for r in least_hashed(usable, id_col, bound).collect()])
+    """The network fitted on the pages, at most `bound` of at most FIT_CHARACTERS characters of text and markup; fitted once for the same pages, then read from the shared folder."""
+    usable = pages.where(f"html IS NOT NULL AND text IS NOT NULL AND length(html) + length(text) <= {FIT_CHARACTERS}").select(id_col, "text", "html", "title")
+    rows = sorted(tuple(r)[1:] for r in least_hashed(usable, id_col, bound).collect())
+    look = Lines()
+    return stored(pages.sparkSession, "mainbody", rows, lambda: fit_twice([features(*r, look) for r in rows]))
 
 
 def main_lines(pages: DataFrame, net: Network, id_col: str = "page_id", cut: float = 0.5) -> DataFrame:
@@ -362,12 +444,12 @@ def main_lines(pages: DataFrame, net: Network, id_col: str = "page_id", cut: flo
     shared = pages.sparkSession.sparkContext.broadcast(net.p)  # fixed size, under 1 MB
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = Network()
+        mine, look = Network(), Lines()
         mine.p = shared.value
         for batch in it:
             for at in range(0, batch.num_rows, 256):
                 ids, texts, htmls, titles = (c.slice(at, 256).to_pylist() for c in batch.columns)
-                got = [features(*r) for r in zip(texts, htmls, titles)]
+                got = [features(*r, look) for r in zip(texts, htmls, titles)]
                 rows = []
                 for i, text, page, prob in zip(ids, texts, got, mine.probabilities(got)):
                     lines = text.split("\n")

@@ -96,8 +96,16 @@ PAGE = "<html><head><title>The word totals</title></head><body><div class='menu-
 
 def test_page_lines_are_tied_to_their_markup():
     html = "<div class='menu'><LI><a>Home</a><li>Docs</div><article><p>Long <b>text</b> here.<pre>a = 1\nb = 2</pre></article>"
-    paths = mainbody.align(["Home", "Docs", "Long text here.", "a = 1", "b = 2", "absent"], mainbody.leaves(html)[0])
-    assert [p and mainbody.container(p).split(".")[0] for p in paths] == ["div", "div", "article", "article", "article", None]
+    align = lambda lines, html: mainbody.align([mainbody.key(x) for x in lines], mainbody.leaves(html)[0])
+    found = align(["Home", "Docs", "Long text here.", "a = 1", "b = 2", "absent"], html)
+    assert [e and e.group.split(".")[1] for e in found] == ["div", "div", "article", "article", "article", None]
+    # an article after a menu of any length that the text lacks
+    menu = "<div class='menu'>" + "".join(f"<li>entry number {i}" for i in range(5000)) + "</div>"
+    far = align(["Home", "The long text is here.", "And goes on here."], "<nav>Home</nav>" + menu + "<article><p>The long text is here.<p>And goes on here.</article>")
+    assert [e and e.group.split(".")[1] for e in far] == ["nav", "article", "article"]
+    # any number of tags left open inside the element that ends
+    deep = mainbody.leaves("<article>" + "<b>" * 40 + "x</article><p>y")[0]
+    assert [e.group for _, e in deep] == [".article.", "/p"]
 
 
 def test_main_lines(spark):
@@ -201,18 +209,44 @@ def test_leaks_see_through_marks_and_line_ends(spark):
     item = "one two three four five six"
     docs = spark.createDataFrame([(1, "x One t­wo thr-\nee four five six y"), (2, "one two three four five")], "doc_id bigint, text string")
     found = contamination.leaks(docs, spark.createDataFrame([(7, item)], "item_id bigint, item_text string"))
-    assert [(r.doc_id, r.longest, r.position) for r in found.orderBy("doc_id").collect()] == [(1, 6, 1)] + ([(2, 5, 0)] if found.count() == 2 else [])
+    assert [(r.doc_id, r.longest, r.places) for r in found.orderBy("doc_id").collect()] == [(1, 6, [1])] + ([(2, 5, [0])] if found.count() == 2 else [])
     assert contamination.without_leaks(docs, found).count() == 2 - found.count()
     assert contamination.leaks(docs, spark.createDataFrame([], "item_id bigint, item_text string")).count() == 0
 
 
 def test_suffix_search():
     seq = np.array([1, 2, 3, 0, 2, 3, 1, 2, 0])
-    order = contamination.suffix_array(seq, 4)
+    order = contamination.suffix_array(seq)
     low, high = contamination.search(seq, order, np.array([[2, 3], [1, 2], [3, 2]]))
     assert (high - low).tolist() == [2, 2, 0]
 
 
+def test_longest_match_against_brute_force():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        doc, item = rng.integers(0, 5, rng.integers(1, 60)).astype(np.int32), rng.integers(1, 5, rng.integers(1, 30)).astype(np.int32)
+        runs = {}
+        for k in range(len(doc)):
+            for j in range(len(item)):
+                n = 0
+                while k + n < len(doc) and j + n < len(item) and doc[k + n] == item[j + n]:
+                    n += 1
+                runs.setdefault(n, []).append((j, k))
+        best = max(runs)
+        got = contamination.longest(np.r_[doc, 0], contamination.suffix_array(np.r_[doc, 0]), item) if doc.any() else (0, [])
+        assert got[0] == best
+        if best:
+            j = min(j for j, _ in runs[best])
+            assert set(got[1]) in [{k for i, k in runs[best] if (item[i : i + best] == item[q : q + best]).all()} for q, _ in runs[best]]
+
+
+def test_items_in_blocks_are_all_searched(spark):
+    items = spark.createDataFrame([(i, f"a{i} b{i} c{i} d{i}") for i in range(40)], "item_id bigint, item_text string")
+    docs = spark.createDataFrame([(i, f"x a{i} b{i} c{i} d{i} y") for i in range(40)], "doc_id bigint, text string")
+    found = contamination.leaks(docs, items, item_words=20).collect()
+    assert {(r.doc_id, r.item_id, r.longest, tuple(r.places)) for r in found} == {(i, i, 4, (1,)) for i in range(40)}
+
+
 def test_moderation_without_and_with_ratings(spark):
     bad = ["Shut up, you worthless idiot.", "You are a useless m.o.r.o.n, get lost!", "Listen, you disgusting idi\u200bоt, shut up."]
     good = ["Guidelines: a reply that calls someone a moron is hidden.", "The dumb terminal prints garbage.", "The parser reads the file.", None, ""]
