@@ -8,7 +8,9 @@ a codeword - and a fingerprint is replicated to every anchor within it (four, or
 two fingerprints that differ in at most one symbol of a block share an anchor. A pair of similarity 0.7 is missed by a block
 with probability 0.348, by all eight with 0.0002; at 0.8 with 0.000001. Two records of similarity 0.1 meet with probability 0.03.
 
-What meets at an anchor is compared exactly, once. Anchors that many records come to are found on a sample of the records, and
+Pairs that meet are first thinned by parities: bit k of a record's parity says whether an odd number of its runs fall into
+bucket k. Two records differ in at least as many runs as their parities differ in bits, so a pair whose parities differ in
+more bits than the threshold leaves runs to differ can't reach it; no pair is lost. What remains is compared exactly, once. Anchors that many records come to are found on a sample of the records, and
 their lists are cut into blocks of about LIST records that are joined block by block, in different tasks. Copies (equal
 word sequences) are one class before any of this, so a text repeated in a third of all rows costs one row.
 """
@@ -29,18 +31,27 @@ from . import wordhash
 P = (1 << 31) - 1
 BLOCK = 4
 TABLES = 8
+PARITY = 192
 #: Records of one anchor's list that are compared with one another in one task, about.
 LIST = 4_000
 #: One record in so many is looked at to find the anchors with long lists; at most HOT of them are split, the longest.
 SAMPLED = 16
 HOT = 20_000
+#: Up to so many keys (24 MB) are broadcast to pick rows out of a wide table; more are joined by a shuffle.
+PICKED = 1_000_000
 
 
-def fingerprint(df: DataFrame, id_col: str, text_col: str, order_col: str | None, min_words: int, run: int = 3) -> DataFrame:
-    """(rid, seen, class, size, symbols, runs) of each record with at least min_words words.
+def parities(owner: np.ndarray, value: np.ndarray, n_texts: int, bits: int = PARITY) -> np.ndarray:
+    """n_texts x bits / 64 longs: of each bucket whether it holds an odd number of the text's distinct runs."""
+    held = np.bincount(owner * bits + (wordhash.mix(value) >> np.uint64(32)).astype(np.int64) % bits, minlength=n_texts * bits)
+    return np.packbits((held & 1).astype(np.uint8).reshape(n_texts, bits), axis=1).view(np.int64)
+
+
+def fingerprint(df: DataFrame, id_col: str, text_col: str, order_col: str | None, min_words: int, run: int = 3, bits: int = PARITY) -> DataFrame:
+    """(rid, seen, class, size, symbols, parity, runs) of each record with at least min_words words.
 
     class: 16 bytes, equal for equal word sequences; size: number of distinct runs; runs: the low halves of their
-    64-bit hashes; symbols: those the anchors are made of. Null ids yield no row; records with fewer words, or null
+    64-bit hashes; symbols: those the anchors are made of; parity: `bits` bits in longs. Null ids yield no row; records with fewer words, or null
     text, have size 0 and no symbols, as a later version of an id replaces an earlier one.
     """
     source = df.select(
@@ -62,17 +73,19 @@ def fingerprint(df: DataFrame, id_col: str, text_col: str, order_col: str | None
                 symbols = wordhash.min_symbols(owner, value, len(lists), n_ints, P)
                 sizes = np.bincount(owner, minlength=len(lists))
                 some = sizes > 0
+                odd = parities(owner, value, len(lists), bits)[some]
                 keys = [xxhash.xxh3_128_digest(hashes[e - n : e].tobytes()) if n else b"" for n, e in zip(counts, np.cumsum(counts))]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0), part.column(1), pa.array(keys, pa.binary()), pa.array(sizes.astype(np.int32)),
                         pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(some) * n_ints].astype(np.int32)), pa.array(symbols[some].astype(np.int32).ravel())),
+                        pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(some) * odd.shape[1]].astype(np.int32)), pa.array(odd.ravel())),
                         pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(value.astype(np.uint32).view(np.int32))),
                     ],
-                    names=["rid", "seen", "class", "size", "symbols", "runs"],
+                    names=["rid", "seen", "class", "size", "symbols", "parity", "runs"],
                 )
 
-    return source.mapInArrow(batches, "rid string, seen timestamp, class binary, size int, symbols array<int>, runs array<int>")
+    return source.mapInArrow(batches, "rid string, seen timestamp, class binary, size int, symbols array<int>, parity array<bigint>, runs array<int>")
 
 
 def codewords(block: int) -> list[str]:
@@ -124,21 +137,37 @@ def met(keyed: DataFrame, threshold: float, length: int = LIST) -> DataFrame:
     return pairs.distinct()
 
 
-def near_pairs(marked: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+def may_reach(threshold: float, bits: int = PARITY) -> F.Column:
+    """False only for pairs below the threshold: reaching it leaves (1 - t) / (1 + t) of both sizes to differ, and every odd bit is a difference."""
+    differ = " + ".join(f"bit_count(parity_a[{k}] ^ parity_b[{k}])" for k in range(bits // 64))
+    return F.expr(differ) <= (F.col("size_a") + F.col("size_b")) * F.lit((1 - threshold) / (1 + threshold) + 1e-9)
+
+
+def pick(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """The rows of df whose `on` is among keys (distinct, materialised), with the columns of keys."""
+    return df.join(F.broadcast(keys) if keys.count() <= PICKED else keys, on)
+
+
+def near_pairs(marked: DataFrame, threshold: float, bits: int = PARITY) -> tuple[DataFrame, DataFrame]:
     """(pairs between classes with their similarity, membership of records in classes).
 
     Of several rows under one id the latest (then the greatest class) counts. The exact comparison is by run hashes; a class
     pair is compared once however many anchors it shares.
     """
-    members = marked.groupBy("rid").agg(F.max(F.struct("seen", "class", "size")).alias("m")).where("m.size > 0").select("rid", F.col("m.class").alias("class"))
+    latest = marked.groupBy("rid").agg(F.max(F.struct("seen", "class", "size")).alias("m"))
+    members = cut_lineage(latest.where("m.size > 0").select("rid", F.col("m.class").alias("class")))
     # one row per class, numbered where it lies; the wide column (runs) stays out of the shuffles but for classes that meet another
-    reps = cut_lineage(marked.where("size > 0").groupBy("class").agg(F.first("size").alias("size"), F.first("symbols").alias("symbols")))
+    reps = cut_lineage(marked.where("size > 0").groupBy("class").agg(F.first("size").alias("size"), F.first("symbols").alias("symbols"), F.first("parity").alias("parity")))
     reps = reps.withColumn("node", F.monotonically_increasing_id())
     least = float(threshold)
     found = cut_lineage(met(anchors(reps), least))
-    nodes = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
-    involved = reps.select("node", "class").join(nodes, "node")
-    sets = cut_lineage(marked.where("size > 0").select("class", "runs").join(involved, "class").groupBy("node").agg(F.first("class").alias("class"), F.first("runs").alias("runs")))
+    nodes = cut_lineage(found.select(F.col("a").alias("node")).union(found.select("b")).distinct())
+    odd = cut_lineage(pick(reps.select("node", "size", "parity"), nodes, "node"))
+    each = lambda n: odd.select(F.col("node").alias(n), F.col("size").alias(f"size_{n}"), F.col("parity").alias(f"parity_{n}"))
+    found = cut_lineage(found.join(each("a"), "a").join(each("b"), "b").where(may_reach(least, bits)).select("a", "b"))
+    nodes = cut_lineage(found.select(F.col("a").alias("node")).union(found.select("b")).distinct())
+    involved = cut_lineage(pick(reps.select("node", "class"), nodes, "node"))
+    sets = cut_lineage(pick(marked.where("size > 0").select("class", "runs"), involved, "class").groupBy("node").agg(F.first("class").alias("class"), F.first("runs").alias("runs")))
     side = lambda n: sets.select(F.col("node").alias(n), F.col("class").alias(f"class_{n}"), F.col("runs").alias(f"runs_{n}"))
     both = found.join(side("a"), "a").join(side("b"), "b")
     shared = F.size(F.array_intersect("runs_a", "runs_b"))
@@ -148,7 +177,7 @@ def near_pairs(marked: DataFrame, threshold: float) -> tuple[DataFrame, DataFram
         .where(F.col("similarity") >= least)
         .select(F.least("class_a", "class_b").alias("class_a"), F.greatest("class_a", "class_b").alias("class_b"), "similarity")
     )
-    return pairs, members
+    return cut_lineage(pairs), members
 
 
 def expand(pairs: DataFrame, members: DataFrame) -> DataFrame:
@@ -156,15 +185,16 @@ def expand(pairs: DataFrame, members: DataFrame) -> DataFrame:
 
     The members of a large class are cut into parts of about LIST, each joined in its own task.
     """
-    size = members.groupBy("class").agg(F.count("*").alias("n"))
-    spread = pairs.select("class_a", "class_b").union(size.where("n > 1").select("class", "class"))
-    parts = size.select("class", F.ceil(F.col("n") / LIST).cast("int").alias("parts"))
-    kept = members.join(parts, "class").withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int"))
+    sizes = members.groupBy("class").agg(F.count("*").alias("n"))
+    copied = cut_lineage(sizes.where("n > 1"))
+    spread = pairs.select("class_a", "class_b").union(copied.select("class", "class"))
+    wanted = cut_lineage(spread.select(F.col("class_a").alias("class")).union(spread.select("class_b")).distinct().join(copied, "class", "left").select("class", F.ceil(F.coalesce("n", F.lit(1)) / LIST).cast("int").alias("parts")))
+    kept = cut_lineage(pick(members, wanted, "class").withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int")))
     a = kept.select(F.col("class").alias("class_a"), F.col("part").alias("part_a"), F.col("rid").alias("x"))
     b = kept.select(F.col("class").alias("class_b"), F.col("part").alias("part_b"), F.col("rid").alias("y"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(f"n_{n}") - 1)).alias(f"part_{n}")
     for n in "ab":
-        spread = spread.join(parts.select(F.col("class").alias(f"class_{n}"), F.col("parts").alias(f"n_{n}")), f"class_{n}")
+        spread = spread.join(wanted.select(F.col("class").alias(f"class_{n}"), F.col("parts").alias(f"n_{n}")), f"class_{n}")
     spread = spread.select("class_a", "class_b", every("a"), "n_b").select("class_a", "class_b", "part_a", every("b"))
     full = spread.join(a, ["class_a", "part_a"]).join(b, ["class_b", "part_b"]).where("x <> y")
     return full.select(F.least("x", "y").alias("record_a"), F.greatest("x", "y").alias("record_b")).distinct()
@@ -193,7 +223,10 @@ def groups(pairs: DataFrame, members: DataFrame) -> DataFrame:
     )
 
 
-def near_duplicates(df: DataFrame, id_col: str, text_col: str, order_col: str | None = None, threshold: float = 0.7, min_words: int = 30) -> DataFrame:
-    """All pairs (record_a, record_b) of records with at least min_words words whose word-triple sets reach the threshold."""
-    pairs, members = near_pairs(cut_lineage(fingerprint(df, id_col, text_col, order_col, min_words)), threshold)
+def near_duplicates(df: DataFrame, id_col: str, text_col: str, order_col: str | None = None, threshold: float = 0.7, min_words: int = 30, bits: int = PARITY) -> DataFrame:
+    """All pairs (record_a, record_b) of records with at least min_words words whose word-triple sets reach the threshold.
+
+    bits: the longer the texts, the more are needed for the parities to tell them apart; the result doesn't depend on it.
+    """
+    pairs, members = near_pairs(cut_lineage(fingerprint(df, id_col, text_col, order_col, min_words, bits=bits)), threshold, bits)
     return expand(pairs, members)

@@ -110,6 +110,17 @@ def test_pairs_at_the_threshold_are_kept(spark):
     assert not any(b.endswith("b") and a.endswith("a") for a, b in got) and len(want - got) <= 0.0012 * len(want)
 
 
+def test_parities_never_exceed_the_difference():
+    rng = np.random.default_rng(5)
+    for size in (5, 80, 2000):
+        sets = [rng.integers(0, 3 * size, size, dtype=np.uint64) for _ in range(12)]
+        sets = [np.unique(x) for x in sets]
+        odd = neardup.parities(np.repeat(np.arange(12), [len(x) for x in sets]), np.concatenate(sets), 12)
+        for i in range(12):
+            for j in range(12):
+                assert int(np.bitwise_count((odd[i] ^ odd[j]).view(np.uint64)).sum()) <= len(np.setxor1d(sets[i], sets[j]))
+
+
 def test_vectors_against_brute_force(spark):
     rng = np.random.default_rng(3)
     centres = rng.standard_normal((25, 384))
