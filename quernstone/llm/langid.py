@@ -2,7 +2,8 @@
 
 A word's emission is the sum of learned weights of its hashed features (lexicon, affixes, character trigrams, the word
 itself); the transitions between the languages of neighbouring words are learned with them. Forward-backward gives every
-word's distribution, sentences take the language with the greatest sum, and adjacent sentences of one language make a segment.
+word's distribution, sentences take the language with the greatest sum, and adjacent sentences of one language make a segment. A
+stretch of words inside a sentence that is surely in another language makes a segment of its own, which counts no full sentence.
 
 The field is fitted here, on at most FIT_DOCUMENTS documents (those with the least hash of their id, a documented bound).
 Their words are labelled without hand-made labels: a sentence gets a language if its function words point to one clearly.
@@ -20,10 +21,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sampling import least_hashed
+from .sampling import least_hashed, stored
 
 LANGS = ("en", "de", "fr", "es", "pt", "it", "nl", "zh")
 FIT_DOCUMENTS = 600
+#: Documents with more characters don't teach; a longer run of words teaches as several.
+FIT_CHARACTERS, FIT_RUN = 50_000, 200
 BUCKETS = 1 << 15
 
 #: Function words of each language.
@@ -73,7 +76,7 @@ def features(word: str) -> list[int]:
     if "㐀" <= word[0] <= "鿿":
         return [len(LANGS)]
     out = list(LEXICON.get(word, ()))
-    padded = f"^{word[:40]}$"
+    padded = f"^{word}$"
     keys = [f"p{word[:k]}" for k in (1, 2, 3)] + [f"s{word[-k:]}" for k in (1, 2, 3, 4)] + [f"w{word}"] + [f"g{padded[i : i + 3]}" for i in range(len(padded) - 2)]
     first = len(LANGS) + 1
     return out + [first + xxhash.xxh32_intdigest(k) % (BUCKETS - first) for k in keys]
@@ -96,7 +99,11 @@ def sentences(line: str) -> list[tuple[int, int]]:
 def _readable(line: str) -> bool:
     """Letters make up most of the line. A run of blanks, tabs or CR counts as one space, so that padding weighs nothing."""
     line = PADDING.sub(" ", line.strip())
-    return len(PROSE_CHARACTER.findall(line)) >= LETTERS * len(line) and (len(max(line.split(), key=len)) <= 60 or any("㐀" <= c <= "鿿" for c in line))
+    return len(PROSE_CHARACTER.findall(line)) >= LETTERS * len(line)
+
+
+#: What is longer than any word (addresses, hashes, encoded data) is blanked out before the line is judged.
+NO_WORD = re.compile(rf"[^\s{HAN}，。！？；：、]{{61,}}")
 
 
 def prose(text: str) -> list[tuple[int, str]]:
@@ -104,9 +111,13 @@ def prose(text: str) -> list[tuple[int, str]]:
     gone = [m.span() for m in FENCE.finditer(text)] if "```" in text or "~~~" in text else []
     out, at = [], 0
     for line in text.split("\n"):
-        if line.strip() and not NOT_PROSE.match(line) and not any(a <= at < b for a, b in gone) and _readable(line):
-            out.append((at, line))
-        at += len(line) + 1
+        size = len(line) + 1
+        if line and not line.isspace() and not NOT_PROSE.match(line) and not any(a <= at < b for a, b in gone):
+            if size > 61:
+                line = NO_WORD.sub(lambda m: " " * len(m[0]), line)
+            if not line.isspace() and _readable(line):
+                out.append((at, line))
+        at += size
     return out
 
 
@@ -115,7 +126,10 @@ NAME = 0.25
 
 
 def parse(text: str) -> list[tuple[list[str], list[tuple[int, int, int, int]], list[float]]]:
-    """Per prose line: its lower-cased words, its sentences as (first word, one past the last, start, end), the words' weights."""
+    """Per prose line: its lower-cased words, its sentences as (first word, one past the last, start, end), the words' weights.
+
+    A sentence of capitalised words alone, none of them a function word, is a list of names and left out.
+    """
     out = []
     for at, line in prose(text):
         words: list[str] = []
@@ -123,9 +137,14 @@ def parse(text: str) -> list[tuple[list[str], list[tuple[int, int, int, int]], l
         spans = []
         for a, b in sentences(line):
             got = TOKEN.findall(line[a:b])
+            low = [w.lower() for w in got]
+            han = any("㐀" <= w[0] <= "鿿" for w in got)
+            small = sum(w[0].islower() for w in got)
+            if not small and not han and not all(map(str.isupper, got)) and not any(w in LEXICON for w in low):
+                continue
             spans.append((len(words), len(words) + len(got), at + a, at + b))
-            words += [w.lower() for w in got]
-            cased = sum(w[0].islower() for w in got) >= 2 or any("㐀" <= w[0] <= "鿿" for w in got)
+            words += low
+            cased = small >= 2 or han
             weights += [1 + len(w) / 2 if "㐀" <= w[0] <= "鿿" else NAME if cased and k and w[0].isupper() else 1.0 for k, w in enumerate(got)]
         if words:
             out.append((words, spans, weights))
@@ -159,15 +178,24 @@ class Model:
                 self.table[n] = self.weights[features(w)].sum(0)
         return self.table[[rows[w] for w in words]]
 
-    def marginals(self, sequences: list[np.ndarray]) -> list[np.ndarray]:
-        """Forward-backward over many sequences of emissions at once, those of like length together."""
-        out: list[np.ndarray] = [np.empty(0)] * len(sequences)
-        order = sorted(range(len(sequences)), key=lambda i: len(sequences[i]))
-        for at in range(0, len(order), 512):
-            part = order[at : at + 512]
-            probs = forward_backward([sequences[i] for i in part], self.transitions, False)[0]
+    CELLS = 60_000
+
+    def marginals(self, emissions: np.ndarray, lengths: list[int]) -> np.ndarray:
+        """Forward-backward over sequences that lie one after another in `emissions`; those of like length go together, as
+        many as keep the padded batch within CELLS words."""
+        out = np.empty_like(emissions)
+        starts = np.cumsum([0, *lengths])
+        order = sorted(range(len(lengths)), key=lengths.__getitem__)
+        at = 0
+        while at < len(order):
+            end = at + 1
+            while end < len(order) and (end + 1 - at) * lengths[order[end]] <= self.CELLS:
+                end += 1
+            part = order[at:end]
+            probs = forward_backward([emissions[starts[i] : starts[i + 1]] for i in part], self.transitions, False)[0]
             for row, i in enumerate(part):
-                out[i] = probs[row, : len(sequences[i])]
+                out[starts[i] : starts[i + 1]] = probs[row, : lengths[i]]
+            at = end
         return out
 
 
@@ -233,8 +261,9 @@ def fit(texts: list[str], rounds: int = 30, rate: float = 0.3) -> Model:
                     run += words[a:b]
                     gold += [label] * (b - a)
                 elif run:
-                    seqs.append(run[:200])
-                    golds.append(np.array(gold[:200]))
+                    for k in range(0, len(run), FIT_RUN):
+                        seqs.append(run[k : k + FIT_RUN])
+                        golds.append(np.array(gold[k : k + FIT_RUN]))
                     run, gold = [], []
     if not seqs:
         return model
@@ -274,16 +303,81 @@ def fit(texts: list[str], rounds: int = 30, rate: float = 0.3) -> Model:
 
 
 def fit_on(df: DataFrame, id_col: str, text_col: str, bound: int = FIT_DOCUMENTS) -> Model:
-    """Fits on the `bound` texts whose ids have the least hash: the same documents however the table is partitioned."""
-    rows = least_hashed(df.where(F.col(text_col).isNotNull()).select(id_col, text_col), id_col, bound).collect()
-    return fit([r[1] for r in rows])
+    """Fits on the `bound` texts, of at most FIT_CHARACTERS characters, whose ids have the least hash: the same documents however the
+    table is partitioned. Fitted once for the same texts, then read from the shared folder."""
+    usable = df.where(F.col(text_col).isNotNull() & (F.length(text_col) <= FIT_CHARACTERS)).select(id_col, text_col)
+    texts = sorted(r[1] for r in least_hashed(usable, id_col, bound).collect())
+    model = Model()
+    model.weights, model.transitions = stored(df.sparkSession, "langid", texts, lambda: (lambda m: (m.weights, m.transitions))(fit(texts)))
+    return model
 
 
-SEGMENTS = "array<struct<start_pos:int,end_pos:int,lang:string,confidence:double>>"
+SEGMENTS = "array<struct<start_pos:int,end_pos:int,lang:string,confidence:double,words:double,sentences:int>>"
+#: Words of another language inside a sentence that make a segment, and the least probability of each.
+SWITCH, SURE = 4, 0.9
+
+
+def _switches(text: str, start: int, end: int, probs: np.ndarray, best: int) -> list[tuple[int, int, int, float, float]]:
+    """(start, end, language, sum of probabilities, words) of the stretches of a sentence, which together cover it."""
+    places = [m.span() for m in TOKEN.finditer(text[start:end])]
+    which = np.where(probs.max(1) >= SURE, probs.argmax(1), best)
+    edges = np.flatnonzero(np.r_[True, which[1:] != which[:-1], True])
+    runs = [[int(a), int(b), int(which[a]) if b - a >= SWITCH else best] for a, b in zip(edges, edges[1:])]
+    merged = [runs[0]]
+    for r in runs[1:]:
+        if r[2] == merged[-1][2]:
+            merged[-1][1] = r[1]
+        else:
+            merged.append(r)
+    cuts = [start, *(start + places[a][0] for a, _, _ in merged[1:]), end]
+    return [(cuts[k], cuts[k + 1], n, float(probs[a:b, n].sum()), float(b - a)) for k, (a, b, n) in enumerate(merged)]
+
+
+def segments_of(texts: list[str | None], model: Model, min_words: int = 4) -> list[list[dict]]:
+    """The segments of each text, by position."""
+    parsed = [parse(t) if t else [] for t in texts]
+    lines = [line for each in parsed for line in each]
+    if not lines:
+        return [[] for _ in texts]
+    lengths = [len(words) for words, _, _ in lines]
+    size = np.array([x for _, _, weights in lines for x in weights])
+    flat = model.emissions([w for words, _, _ in lines for w in words]) * np.minimum(size, 1)[:, None]
+    probs = model.marginals(flat.astype(np.float32), lengths)
+    first = np.cumsum([0, *lengths])
+    spans = np.array([(first[k] + a, first[k] + b, s, e) for k, (_, each, _) in enumerate(lines) for a, b, s, e in each if b > a], np.int64).reshape(-1, 4)
+    record = np.repeat(np.arange(len(texts)), [sum(b > a for _, each, _ in x for a, b, _, _ in each) for x in parsed])
+    begin, past = spans[:, 0], spans[:, 1]
+    mass = np.add.reduceat(probs * size[:, None], begin, 0)
+    best = mass.argmax(1)
+    weight = np.add.reduceat(size, begin)
+    sure = mass[np.arange(len(best)), best]
+    other = (probs.argmax(1) != np.repeat(best, past - begin)) & (probs.max(1) >= SURE)
+    mixed = np.add.reduceat(other, begin) >= SWITCH
+    characters = np.array([len(w) for words, _, _ in lines for w in words])
+    zh = LANGS.index("zh")
+    full = (past - begin >= min_words) | (best == zh) & (np.add.reduceat(characters, begin) >= 5)
+    out: list[list[list]] = [[] for _ in texts]
+    for k in np.flatnonzero(full):
+        a, b, s, e = spans[k].tolist()
+        parts = [(s, e, int(best[k]), float(sure[k]), float(weight[k]))]
+        if mixed[k]:
+            parts = _switches(texts[record[k]], s, e, probs[a:b], int(best[k]))
+        mine = out[record[k]]
+        for s, e, n, p, w in parts:
+            whole = int(n == best[k])
+            if mine and mine[-1][2] == n:
+                mine[-1][1] = e
+                mine[-1][3] += p
+                mine[-1][4] += w
+                mine[-1][5] += whole
+            else:
+                mine.append([s, e, n, p, w, whole])
+    return [[{"start_pos": s, "end_pos": e, "lang": LANGS[n], "confidence": round(p / w, 4), "words": w, "sentences": c} for s, e, n, p, w, c in each] for each in out]
 
 
 def label_segments(df: DataFrame, id_col: str, text_col: str, model: Model, keep: tuple[str, ...] = (), min_words: int = 4) -> DataFrame:
-    """(record_id, *keep, segments): segments of one language each, by position, with the mean probability of its words.
+    """(record_id, *keep, segments): segments of one language each, by position, with the mean probability of its words, their
+    number (Han runs count by their length) and how many sentences are in that language.
 
     A sentence with fewer than min_words words (fewer than five Han characters) makes no segment of its own. Null, empty and
     blank texts, and those without prose, have no segments. The text itself is not passed on. Columns in keep are renamed
@@ -292,7 +386,7 @@ def label_segments(df: DataFrame, id_col: str, text_col: str, model: Model, keep
     kept = [F.col(c).alias(f"keep_{c}" if c in ("record_id", "text", "segments") else c) for c in keep]
     source = df.select(F.col(id_col).cast("string").alias("record_id"), F.col(text_col).cast("string").alias("text"), *kept)
     shared = df.sparkSession.sparkContext.broadcast((model.weights, model.transitions))  # BUCKETS x 8 floats, 1 MB
-    zh = LANGS.index("zh")
+    kind = pa.list_(pa.struct([("start_pos", pa.int32()), ("end_pos", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64()), ("words", pa.float64()), ("sentences", pa.int32())]))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = Model()
@@ -300,32 +394,7 @@ def label_segments(df: DataFrame, id_col: str, text_col: str, model: Model, keep
         for batch in it:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                parsed = [parse(t) if t else [] for t in part.column(1).to_pylist()]
-                lines = [line for lines in parsed for line in lines]
-                flat = mine.emissions([w for words, _, _ in lines for w in words]) * np.minimum([x for _, _, weights in lines for x in weights], 1)[:, None] if lines else np.zeros((0, len(LANGS)))
-                probs = mine.marginals(np.split(flat.astype(np.float32), np.cumsum([len(words) for words, _, _ in lines])[:-1]) if lines else [])
-                done, out = 0, []
-                for each in parsed:
-                    segments: list[list] = []
-                    for (words, spans, weights), p in zip(each, probs[done : done + len(each)]):
-                        for a, b, s, e in spans:
-                            if b == a:
-                                continue
-                            size = np.array(weights[a:b])
-                            mass = (p[a:b] * size[:, None]).sum(0)
-                            best = int(mass.argmax())
-                            if b - a < min_words and not (best == zh and sum(map(len, words[a:b])) >= 5):
-                                continue
-                            sure, weight = float(mass[best]), float(size.sum())
-                            if segments and segments[-1][2] == best:
-                                segments[-1][1] = e
-                                segments[-1][3] += sure
-                                segments[-1][4] += weight
-                            else:
-                                segments.append([s, e, best, sure, weight])
-                    done += len(each)
-                    out.append([{"start_pos": s, "end_pos": e, "lang": LANGS[n], "confidence": round(p / w, 4)} for s, e, n, p, w in segments])
-                kind = pa.list_(pa.struct([("start_pos", pa.int32()), ("end_pos", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64())]))
+                out = segments_of(part.column(1).to_pylist(), mine, min_words)
                 names = [n for n in part.schema.names if n != "text"]
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(n)) for n in names] + [pa.array(out, kind)], names=[*names, "segments"])
 
@@ -334,6 +403,15 @@ def label_segments(df: DataFrame, id_col: str, text_col: str, model: Model, keep
     return source.mapInArrow(batches, schema)
 
 
+def main_language(segments: F.Column) -> F.Column:
+    """struct<lang,confidence>: the language of most words, and how much of the text's words it surely holds; null without segments."""
+    total = lambda keep: F.aggregate(F.filter(segments, keep), F.lit(0.0), lambda acc, s: acc + s["words"])
+    weights = F.transform(F.array_distinct(F.transform(segments, lambda s: s["lang"])), lambda n: F.struct(total(lambda s: s["lang"] == n).alias("w"), n.alias("lang")))
+    best = F.array_max(weights)["lang"]
+    held = F.aggregate(F.filter(segments, lambda s: s["lang"] == best), F.lit(0.0), lambda acc, s: acc + s["words"] * s["confidence"])
+    return F.when(F.size(segments) > 0, F.struct(best.alias("lang"), F.round(held / total(lambda s: F.lit(True)), 4).alias("confidence")))
+
+
 def declared_language(metadata: F.Column) -> F.Column:
     """The language a metadata JSON declares, as one of LANGS; null where missing, unusable or another language."""
     label = F.lower(F.trim(F.get_json_object(metadata, "$.lang")))

@@ -35,22 +35,29 @@ def p1_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.unionByName(chunks).select("record_id", F.explode("segments").alias("s")).select("record_id", "s.*")
 
 
+def p1_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and chunk with the language of most of its words, declared or not, and a confidence; null without prose."""
+    from . import langid
+
+    docs, chunks = _labelled(spark, sf_dir)
+    return docs.unionByName(chunks).select("record_id", "declared", langid.main_language(F.col("segments")).alias("m")).select("record_id", "declared", "m.lang", "m.confidence")
+
+
 def _labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     from . import langid
 
     docs, chunks = table(spark, sf_dir, "parsed_documents"), table(spark, sf_dir, "parsed_chunks")
     model = langid.fit_on(docs, "document_id", "raw_text")
     declared = langid.declared_language(F.col("metadata_json"))
-    text = F.when(~F.coalesce(F.col("chunk_type"), F.lit("")).isin("code", "table", "header"), F.col("text"))
     return (
         langid.label_segments(docs.withColumn("declared", declared), "document_id", "raw_text", model, ("declared", "created_at")),
-        langid.label_segments(chunks.withColumn("declared", declared).withColumn("text", text), "id", "text", model, ("declared", "created_at")),
+        langid.label_segments(chunks.withColumn("declared", declared), "id", "text", model, ("declared", "created_at")),
     )
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, chunks = _labelled(spark, sf_dir)
-    langs = F.array_distinct(F.transform("segments", lambda s: s["lang"]))
+    langs = F.array_distinct(F.transform(F.filter("segments", lambda s: s["sentences"] > 0), lambda s: s["lang"]))
     both = docs.unionByName(chunks).select("record_id", "created_at", F.struct("declared", langs.alias("langs")).alias("v"))
     latest = both.groupBy("record_id").agg(F.max_by("v", F.struct("created_at", "v")).alias("v"))
     case = (F.size("v.langs") > 1) | F.col("v.declared").isNull() | (F.col("v.declared") != F.col("v.langs")[0])
@@ -181,7 +188,7 @@ QUERIES = {
     "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates,
     "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p7_containers": p7_containers, "p7_usage": p7_usage,
     "p4_found": p4_found, "p4_identities": p4_identities, "p8_found": p8_found, "p8_matches": p8_matches, "p8_clean": p8_clean,
-    "p1_found": p1_found, "p1_segments": p1_segments, "p2_found": p2_found, "p2_pieces": p2_pieces,
+    "p1_found": p1_found, "p1_segments": p1_segments, "p1_languages": p1_languages, "p2_found": p2_found, "p2_pieces": p2_pieces,
     "p5_found": p5_found, "p5_groups": p5_groups,
 }
 

@@ -32,9 +32,33 @@ def test_padding_hides_no_prose(spark, model):
     assert [[x for x, _ in got[k]] for k in "lrm"] == [["fr"]] * 3 and got["d"] == []
 
 
+def test_long_tokens_and_names(spark, model):
+    address = "https://www.files.example/" + "a1b2" * 30
+    got = segments(spark, model, [("a", f"The parser reads every file in the folder at {address} before the review.", 1), ("n", "Golduscan\xa0Jaspax Tormograph Tormolis Wexpapad", 1), ("u", EN.upper(), 1)])
+    assert [x for x, _ in got["a"]] == ["en"] and got["n"] == [] and [x for x, _ in got["u"]] == ["en"]
+
+
+def test_a_switch_inside_a_sentence(model):
+    text = "We agreed on the new names and then le moteur de recherche lit tous les fichiers dans le dossier et ajoute une ligne."
+    got = langid.segments_of([text, None, ""], model)
+    assert [s["lang"] for s in got[0]] == ["en", "fr"] and text[got[0][1]["start_pos"] :].startswith("le moteur") and got[1:] == [[], []]
+    assert [s["sentences"] for s in got[0]] == [0, 1] and got[0][0]["end_pos"] == got[0][1]["start_pos"]
+
+
+def test_a_very_long_line(model):
+    got = langid.segments_of([(EN + " ") * 3000, FR], model)
+    assert [s["lang"] for s in got[0]] == ["en"] and got[0][0]["sentences"] == 6000 and [s["lang"] for s in got[1]] == ["fr"]
+
+
+def test_main_language(spark, model):
+    df = spark.createDataFrame([("m", EN + " " + EN + " " + FR), ("n", None)], "id string, t string")
+    got = {r.record_id: r.m for r in langid.label_segments(df, "id", "t", model).select("record_id", langid.main_language(F.col("segments")).alias("m")).collect()}
+    assert got["m"].lang == "en" and 0.4 < got["m"].confidence < 0.8 and got["n"] is None
+
+
 def test_field_on_no_texts_uses_its_lexicons():
     m = langid.fit([])
-    p = m.marginals([m.emissions("der parser und die datei".split())])[0]
+    p = m.marginals(m.emissions("der parser und die datei".split()), [5])
     assert langid.LANGS[int(p.sum(0).argmax())] == "de" and np.allclose(p.sum(1), 1, atol=1e-5)
 
 
