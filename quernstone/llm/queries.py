@@ -93,13 +93,10 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each entity mention with the identity of the node that its normalised form and label name."""
+    """Each mention of a person or organisation with its identity, by its own text or else by the node that its normalised form names."""
     from . import names
 
-    nodes = table(spark, sf_dir, "graph_nodes")
-    found = names.identify(nodes).join(nodes.select("id", F.col("label").alias("normalized"), F.col("node_type").alias("label")), "id")
-    mentions = table(spark, sf_dir, "parsed_entities").select(F.col("id").alias("entity_id"), "normalized", "label").distinct()
-    return mentions.join(found.select("normalized", "label", "identity"), ["normalized", "label"]).select("entity_id", "label", "identity")
+    return names.identify_mentions(table(spark, sf_dir, "graph_nodes"), table(spark, sf_dir, "parsed_entities"))
 
 
 def p8_matches(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -171,6 +171,17 @@ def test_names(spark):
     assert names.linked(df.where("false")).count() == 0
 
 
+def test_nicknames_acronyms_and_mentions(spark):
+    rows = [("1", "Anthony Smith", "PERSON", "{}"), ("2", "Tony Smith", "PERSON", "{}"), ("3", "Acme FOADRST", "ORGANIZATION", "{}"), ("4", "Acme Foundation of Old Arts, Design, Rugs, Song and Toys", "ORGANIZATION", "{}"), ("5", "Jones, P.", "PERSON", "{}"), ("6", "P. Jones", "PERSON", "{}"), ("7", "P. Q. Jones", "PERSON", "{}"), ("8", "P. R. Jones", "PERSON", "{}")]
+    nodes = spark.createDataFrame(rows, "id string, label string, node_type string, properties_json string")
+    got = {tuple(r) for r in names.linked(nodes).collect()}
+    assert ("1", "2") in got and ("3", "4") in got and ("7", "8") not in got and {tuple(r) for r in names.linked(nodes.where("id IN ('5', '6')")).collect()} == {("5", "6")}
+    assert {tuple(r) for r in names.linked(nodes, part=1).collect()} == got
+    mentions = spark.createDataFrame([("m1", "SMITH, Tony", "tony smith x", "PERSON"), ("m2", None, "Anthony Smith", "PERSON"), ("m3", "Tony Smith", None, "PERSON"), ("m3", "Tony Smith", None, "PERSON"), ("m4", "Nobody Here", "Nobody", "PERSON"), (None, "Tony Smith", None, "PERSON")], "id string, text string, normalized string, label string")
+    found = {r.entity_id: r.identity for r in names.identify_mentions(nodes, mentions).collect()}
+    assert set(found) == {"m1", "m2", "m3"} and len(set(found.values())) == 1
+
+
 def test_name_parts():
     assert names.person("Dr. José M. Núñez's") == ("nunez", ["jose"], "j", "m") and names.person("NUÑEZ José") == ("nunez", ["jose"], "j", None)
     assert names.person("Núñez, J.M.") == ("nunez", [], "j", "m") and names.person("Madonna") == ("madonna", [], None, None)
