@@ -428,7 +428,7 @@ def fit_twice(pages: list[tuple], hide: float = 0.15) -> Network:
 def fit_on(pages: DataFrame, bound: int = FIT_PAGES, id_col: str = "page_id") -> Network:
     """The network fitted on the pages, at most `bound` of at most FIT_CHARACTERS characters of text and markup; fitted once for the same pages, then read from the shared folder."""
     usable = pages.where(f"html IS NOT NULL AND text IS NOT NULL AND length(html) + length(text) <= {FIT_CHARACTERS}").select(id_col, "text", "html", "title")
-    rows = sorted(tuple(r)[1:] for r in least_hashed(usable, id_col, bound).collect())
+    rows = sorted((tuple(r)[1:] for r in least_hashed(usable, id_col, bound).collect()), key=repr)  # titles may be null
     look = Lines()
     return stored(pages.sparkSession, "mainbody", rows, lambda: fit_twice([features(*r, look) for r in rows]))
 

@@ -19,12 +19,16 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+#: The vocabulary file where the session names none in TOKENIZER_KEY. Every executor must be able to read it.
+TOKENIZER, TOKENIZER_KEY = "/opt/tokenizers/byte_bpe_50k.json", "spark.quernstone.tokenizer"
+#: Patterns enumerated, or three a length where that is more. What they leave is packed best fit first, so that every text is placed.
 PATTERNS = 6_000
 
 
-def token_counts(df: DataFrame, id_col: str, text_col: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(id, tokens) of every row, by a public tokenizer whose vocabulary file `tokenizer` all executors can read. Null texts count 0."""
+def token_counts(df: DataFrame, id_col: str, text_col: str, tokenizer: str | None = None) -> DataFrame:
+    """(id, tokens) of every row, by a public tokenizer whose vocabulary file all executors can read: `tokenizer`, else the
+    session's TOKENIZER_KEY, else TOKENIZER. Null texts count 0."""
+    tokenizer = tokenizer or df.sparkSession.conf.get(TOKENIZER_KEY, TOKENIZER)
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
 
@@ -75,29 +79,37 @@ def patterns(histogram: dict[int, int], capacity: int, limit: int = PATTERNS) ->
     return list(found)
 
 
-def fit_counts(rows: list[tuple[int, ...]], histogram: dict[int, int], rounds: int = 300) -> np.ndarray:
-    """Repeat counts >= 0 that least-squares fit the histogram, by accelerated projected gradients, weighted by length."""
-    index = {n: k for k, n in enumerate(sorted(histogram))}
-    a = np.zeros((len(index), len(rows)))
-    for p, pattern in enumerate(rows):
-        for n in pattern:
-            a[index[n], p] += 1
-    want = np.array([histogram[n] for n in sorted(histogram)], float)
-    weight = np.sqrt(np.array(sorted(histogram), float))
-    a *= weight[:, None]
-    want *= weight
+def fit_counts(rows: list[tuple[int, ...]], histogram: dict[int, int], rounds: int = 2_000, close: float = 1e-4) -> tuple[np.ndarray, float]:
+    """(repeat counts >= 0 that least-squares fit the histogram, weighted by length; share of the histogram's norm left unfitted).
+
+    Accelerated projected gradients over the patterns as lists of lengths (memory grows with the patterns' lengths alone), until
+    neither the counts nor the residual move by more than `close` of themselves over 20 rounds, at most `rounds`.
+    """
+    lengths = np.array(sorted(histogram))
+    sizes = np.array([len(r) for r in rows])
+    column = np.repeat(np.arange(len(rows)), sizes)
+    line = np.searchsorted(lengths, np.array([n for r in rows for n in r]))
+    weight = np.sqrt(lengths.astype(float))
+    want = weight * np.array([histogram[n] for n in lengths.tolist()], float)
+    forward = lambda x: weight * np.bincount(line, x[column], len(lengths))
+    backward = lambda r: np.add.reduceat((weight * r)[line], np.cumsum(sizes) - sizes)
     v = np.ones(len(rows))
     for _ in range(15):
-        v = a.T @ (a @ v)
+        v = backward(forward(v))
         v /= np.linalg.norm(v)
-    step = 1 / (np.linalg.norm(a @ v) ** 2 * 1.05)
+    step = 1 / (np.linalg.norm(forward(v)) ** 2 * 1.05)
     x = y = np.zeros(len(rows))
-    t = 1.0
-    for _ in range(rounds):
-        new = np.maximum(0, y - step * (a.T @ (a @ y - want)))
+    t, before, left = 1.0, x, 1.0
+    for n in range(1, rounds + 1):
+        new = np.maximum(0, y - step * backward(forward(y) - want))
         t2 = (1 + (1 + 4 * t * t) ** 0.5) / 2
         y, x, t = new + (t - 1) / t2 * (new - x), new, t2
-    return x
+        if n % 20 == 0:
+            now = float(np.linalg.norm(forward(x) - want) / np.linalg.norm(want))
+            if left - now <= close and np.linalg.norm(x - before) <= close * np.linalg.norm(x):
+                break
+            left, before = now, x
+    return x, float(np.linalg.norm(forward(x) - want) / np.linalg.norm(want))
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -118,8 +130,8 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...]
                     del left[n]
 
     if left:
-        rows = patterns(left, capacity)
-        x = fit_counts(rows, left)
+        rows = patterns(left, capacity, max(PATTERNS, 3 * len(left)))
+        x, _ = fit_counts(rows, left)
         for p in np.argsort(-x, kind="stable"):
             use(rows[p], int(x[p] + 1e-9))
     while left:  # best fit first over what is left; each step uses up a length

@@ -146,6 +146,15 @@ def test_main_lines(spark):
     assert mainbody.main_lines(df.where("false"), net).count() == 0
 
 
+def test_a_model_is_fitted_once_for_the_same_pages(spark, monkeypatch):
+    body = ["The parser reads every file in the folder before the cache expires.", f"Run {random.random()} checks the word totals."]
+    text = "\n".join(["Home", "Pricing", "The word totals", *body])
+    df = spark.createDataFrame([(1, text, PAGE.format(*body), None), (2, text, PAGE.format(*body), "The word totals"), (3, text, PAGE.format(*body), "The word totals")], "page_id bigint, text string, html string, title string")
+    first = mainbody.fit_on(df)
+    monkeypatch.setattr(mainbody, "fit_twice", lambda pages: 1 / 0)
+    assert all((first.p[k] == v).all() for k, v in mainbody.fit_on(df.repartition(3)).p.items())
+
+
 def test_all_words_of_a_line_are_read():
     line = " ".join(f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(99))
     ids = mainbody.features(line, None, None)[2]
@@ -186,6 +195,20 @@ def test_plan_uses_every_length_exactly():
     assert packing.plan({}, 64) == []
 
 
+def test_counts_fit_the_histogram():
+    rng = random.Random(6)
+    histogram = {n: rng.randint(1, 400) for n in rng.sample(range(1, 65), 40)}
+    rows = packing.patterns(histogram, 64)
+    x, left = packing.fit_counts(rows, histogram)
+    assert (x >= 0).all() and left < 0.4
+    used = {}
+    for r, c in zip(rows, x):
+        for n in r:
+            used[n] = used.get(n, 0) + c
+    norm = lambda d: sum(n * d[n] ** 2 for n in histogram) ** 0.5
+    assert abs(norm({n: used.get(n, 0) - c for n, c in histogram.items()}) / norm(histogram) - left) < 1e-6
+
+
 def test_packing_round_trip(spark):
     rows = [(i, n) for i, n in enumerate([0, 5, 5, 7, 64, 65, 200, 1, 1, 63] * 4)]
     got = packing.pack(spark.createDataFrame(rows, "id bigint, tokens int").repartition(3), 64).collect()
