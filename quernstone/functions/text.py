@@ -72,22 +72,28 @@ def hash_sign(token: Column) -> Column:
 
 
 def embed(toks: Column) -> Column:
-    """Sparse hashed vector of length 1 as array<struct<slot,weight>>: per slot the signed sum of 1 + ln(count). Empty without tokens."""
+    """Sparse hashed vector of length 1 as array<struct<slot,weight>>: per slot the signed sum of 1 + ln(count). Empty without tokens.
 
-    def weights(ts: Column) -> Column:
-        count = lambda t: (F.size(ts) - F.size(F.array_remove(ts, t))).cast("double")
-        return F.transform(F.array_distinct(ts), lambda t: F.struct(hash_slot(t).alias("slot"), (hash_sign(t) * (1 + F.log(count(t)))).alias("w")))
+    Counts and sums come from runs in sorted arrays, so that beyond its sort a text's cost grows with its length alone.
+    """
 
-    def by_slot(raw: Column) -> Column:
-        slots = F.array_distinct(F.transform(raw, lambda x: x["slot"]))
-        total = lambda s: F.aggregate(F.filter(raw, lambda x: x["slot"] == s), F.lit(0.0), lambda a, x: a + x["w"])
-        return F.filter(F.transform(slots, lambda s: F.struct(s.alias("slot"), total(s).alias("w"))), lambda x: x["w"] != 0)
+    def runs(sorted_: Column, key) -> Column:
+        """array<struct<at,n>>: where each run of equal keys begins in a sorted array, and how long it is."""
+        places = F.when(F.size(sorted_) > 0, F.sequence(F.lit(0), F.size(sorted_) - 1)).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(places, lambda i: (i == 0) | (key(F.get(sorted_, i)) != key(F.get(sorted_, i - 1))))
+        return let(starts, lambda first: F.transform(first, lambda at, j: F.struct(at.alias("at"), (F.coalesce(F.get(first, j + 1), F.size(sorted_)) - at).alias("n"))))
+
+    def by_slot(sorted_: Column) -> Column:
+        term = lambda r: F.get(sorted_, r["at"])
+        signed = F.transform(runs(sorted_, lambda t: t), lambda r: F.struct(hash_slot(term(r)).alias("slot"), (hash_sign(term(r)) * (1 + F.log(r["n"].cast("double")))).alias("w")))
+        summed = lambda xs: F.transform(runs(xs, lambda x: x["slot"]), lambda r: F.struct(F.get(xs, r["at"])["slot"].alias("slot"), F.aggregate(F.slice(xs, r["at"] + 1, r["n"]), F.lit(0.0), lambda a, x: a + x["w"]).alias("w")))
+        return F.filter(let(F.array_sort(signed), summed), lambda x: x["w"] != 0)
 
     def unit(summed: Column) -> Column:
         norm = F.sqrt(F.aggregate(summed, F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
         return let(norm, lambda n: F.transform(summed, lambda x: F.struct(x["slot"].alias("slot"), (x["w"] / n).alias("weight"))))
 
-    return let(toks, lambda ts: let(weights(ts), lambda raw: let(by_slot(raw), unit)))
+    return let(F.array_sort(toks), lambda ordered: let(by_slot(ordered), unit))
 
 
 def excerpt(text: Column, terms: Column, limit: int = C.EXCERPT_LENGTH) -> Column:

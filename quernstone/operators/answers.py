@@ -11,13 +11,25 @@ from ..functions import constants as C
 from ..functions import text as T
 
 
-def intent(question: Column) -> Column:
+def intent(question: str) -> str:
     """The kind of answer a question asks for, by the order in which kinds are tried."""
-    q = F.lower(question)
-    has = lambda *ps: q.rlike("|".join(re.escape(p) for p in ps))
+    q = question.lower()
+    held = lambda words: any(w in q for w in words)
+    if held(C.COLLECTION_ASKED) and held(C.COLLECTION_MEANT):
+        return "collection"
+    for kind, words in (("frameworks", C.FRAMEWORKS_ASKED), ("concepts", C.CONCEPTS_ASKED), ("document", C.DOCUMENT_ASKED)):
+        if held(words):
+            return kind
+    return "snippets"
+
+
+def intents(questions: Column) -> Column:
+    """The same for a column of questions."""
+    q = F.lower(questions)
+    held = lambda words: q.rlike("|".join(re.escape(w) for w in words))
     return (
-        F.when(has("summarize", "summary", "总结") & has("all file", "all document", "across", "所有"), "collection").when(has("framework", "library", "libraries", "框架"), "frameworks")
-        .when(has("main concept", "key concept", "主要概念", "核心概念"), "concepts").when(has("main content", "what is in", "what's in", "tell me about", "summarize", "summary of", "内容", "总结"), "document").otherwise("snippets")
+        F.when(held(C.COLLECTION_ASKED) & held(C.COLLECTION_MEANT), "collection").when(held(C.FRAMEWORKS_ASKED), "frameworks").when(held(C.CONCEPTS_ASKED), "concepts")
+        .when(held(C.DOCUMENT_ASKED), "document").otherwise("snippets")
     )
 
 
@@ -43,14 +55,42 @@ def framework_signals(snippets: DataFrame, text_col: str, entities: DataFrame |
     return out
 
 
-def concepts(snippets: DataFrame, text_col: str, limit: int = 20) -> DataFrame:
-    """(concept, weight): capitalised phrases count 2, words of five letters or more 1, in all texts."""
+def concepts(snippets: DataFrame, text_col: str, limit: int = 20, nodes_: DataFrame | None = None) -> DataFrame:
+    """(concept, weight): capitalised phrases count 2, words of five letters or more 1, graph nodes of the context 4."""
     text = F.col(text_col)
     phrases = F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"(?:^|[^A-Za-z0-9_])([A-Z][A-Za-z0-9+#.-]*(?: [A-Z][A-Za-z0-9+#.-]*){0,3})"), F.lit(1)), lambda p: F.regexp_replace(p, r"^[ .,:;()\[\]]+|[ .,:;()\[\]]+$", "")), lambda p: (F.length(p) >= 3) & ~F.lower(p).isin(*C.CONCEPT_STOP))
     singles = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"(?:^|[^a-z0-9_])([a-z][a-z0-9+#.-]{4,})"), F.lit(1)), lambda w: ~w.isin(*C.CONCEPT_STOP))
     both = F.concat(F.transform(phrases, lambda p: F.struct(p.alias("concept"), F.lit(2).alias("w"))), F.transform(singles, lambda w: F.struct(T.title_case(w).alias("concept"), F.lit(1).alias("w"))))
-    found = snippets.where(text.isNotNull()).select(F.explode(both).alias("x")).groupBy("x.concept").agg(F.sum("x.w").alias("weight"))
-    return found.orderBy(F.desc("weight"), "concept").limit(limit)
+    found = snippets.where(text.isNotNull()).select(F.explode(both).alias("x")).select("x.concept", "x.w")
+    if nodes_ is not None:
+        found = found.unionByName(nodes_.select(F.col("label").alias("concept"), F.lit(4).alias("w")))
+    return found.groupBy("concept").agg(F.sum("w").alias("weight")).orderBy(F.desc("weight"), "concept").limit(limit)
+
+
+def without_redundant(ranked: DataFrame, most: int = 12) -> DataFrame:
+    """Of concepts by falling weight those that no one kept before equals or holds as a part. At most 20 rows come in, as `concepts` gives them."""
+    one = F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("o"), "concept", "weight")))
+
+    def add(kept: Column, x: Column) -> Column:
+        low = F.lower(x["concept"])
+        covered = F.exists(kept, lambda k: (F.lower(k["concept"]) == low) | ((F.length(low) > 3) & F.contains(F.lower(k["concept"]), low)))
+        return F.when(covered | (F.size(kept) >= most), kept).otherwise(F.concat(kept, F.array(x)))
+
+    start = F.array().cast("array<struct<o:bigint,concept:string,weight:bigint>>")
+    kept = ranked.agg(one.alias("xs")).select(F.posexplode(F.aggregate("xs", start, add)).alias("i", "x"))
+    return kept.select((F.col("i") + 1).alias("rank"), "x.concept", "x.weight")
+
+
+def single_summary(doc: DataFrame, title: str, format_: str, chunks: str, terms: str, id_col: str) -> DataFrame:
+    """(id, position, line): type, title, six key terms and three main points of each document in doc; chunks and terms are arrays of strings."""
+    points = F.slice(F.filter(chunks, lambda t: T.words(t) >= 4), 1, 3)
+    nothing = F.array().cast("array<string>")
+    lines = F.concat(
+        F.array(F.concat(F.lit("- Type: "), F.coalesce(F.nullif(F.upper(F.col(format_)), F.lit("")), F.lit("document"))), F.concat(F.lit("- Title: "), F.col(title))),
+        F.when(F.size(terms) > 0, F.array(F.concat(F.lit("- Key terms: "), F.array_join(F.slice(terms, 1, 6), ", ")))).otherwise(nothing),
+        F.when(F.size(points) > 0, F.concat(F.array(F.lit("- Main points:")), F.transform(points, lambda t: F.concat(F.lit("  - "), safe_excerpt(t, 220))))).otherwise(nothing),
+    )
+    return doc.select(id_col, F.posexplode(lines).alias("position", "line"))
 
 
 def safe_excerpt(text: Column, limit: int = 260) -> Column:

@@ -52,11 +52,6 @@ def replace_documents(stored: DataFrame, fresh: DataFrame, key: str = "document_
     return stored.join(fresh.select(F.col(key).alias("_k")).distinct(), stored[key] == F.col("_k"), "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
-def write_partitioned(df: DataFrame, path: str, by: str) -> None:
-    """Replaces only the partitions that df holds."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
-
-
 def content_path(hash_: Column, extension: Column) -> Column:
     """Content address: two hex digits as a folder, then the hash with its extension."""
     return F.concat_ws("/", F.substring(hash_, 1, 2), F.concat(hash_, F.lit("."), F.lower(extension)))

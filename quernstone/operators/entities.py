@@ -120,6 +120,26 @@ def semantic_duplicates(folded: DataFrame, document: str, name: str) -> DataFram
     return folded.join(full, (folded[document] == full["d"]) & (F.lower(folded[name]) == full["a"])).select(folded[document], folded[name], "same_as")
 
 
+#: What an entity's confidence gains when it stands for another's acronym.
+SAME_BOOST = 0.04
+
+
+def merged(folded: DataFrame, document: str, name: str) -> DataFrame:
+    """folded with acronyms and the names they stand for made one within their document: the surer of the two stays, of equals the
+    preferred label, then the full name; its confidence rises by 0.04 from the greater one, up to 1. mentions are added.
+
+    An acronym that fits several names goes to the first of them by name. The names of one document meet by an equi-join on the acronym.
+    """
+    rank = F.create_map(*[F.lit(x) for pair in C.LABEL_PRIORITY.items() for x in pair])
+    same = semantic_duplicates(folded, document, name).groupBy(document, name).agg(F.min("same_as").alias("same_as"))
+    keyed = folded.join(same, [document, name], "left").withColumn("_group", F.coalesce("same_as", name))
+    rest = [c for c in folded.columns if c not in (document, "mentions")]
+    best = F.max_by(F.struct(*rest), F.struct("confidence", F.coalesce(rank[F.col("label")], F.lit(0)), F.col("same_as").isNull()))
+    one = keyed.groupBy(document, "_group").agg(best.alias("_b"), F.sum("mentions").cast("int").alias("mentions"), F.count("*").alias("_n"))
+    sure = F.when(F.col("_n") > 1, F.round(F.least(F.lit(1.0), F.col("_b.confidence") + SAME_BOOST), 6)).otherwise(F.col("_b.confidence"))
+    return one.select(document, *[sure.alias(c) if c == "confidence" else F.col(f"_b.{c}").alias(c) for c in rest], "mentions").select(*folded.columns)
+
+
 def pair_relation(a: Column, b: Column) -> Column:
     known = F.create_map(*[F.lit(x) for (p, q), r in C.TYPE_PAIRS.items() for x in (f"{p}|{q}", r)])
     return F.coalesce(known[F.concat_ws("|", a, b)], F.lit("RELATED_TO"))
@@ -153,8 +173,3 @@ def pattern_relations(texts: DataFrame, id_col: str, text_col: str, names_col: s
         rows = hit.select("id", longest(F.col("z.a")).alias("source"), longest(F.col("z.b")).alias("target"), F.lit(relation).alias("relation"))
         out = rows if out is None else out.unionByName(rows)
     return out.where("source IS NOT NULL AND target IS NOT NULL AND source <> target").distinct().withColumn("confidence", F.lit(C.PATTERN_CONFIDENCE))
-
-
-def best_relations(relations: DataFrame) -> DataFrame:
-    """Each (source, target, relation) once, with its greatest confidence."""
-    return relations.groupBy("source", "target", "relation").agg(F.max("confidence").alias("confidence"))

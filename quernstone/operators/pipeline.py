@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import text as T
-from . import answers, entities, graph, markup, search
+from . import answers, entities, graph, markup, records, search
 
 #: Confidence of what each part of a document gives.
 CONFIDENCE = {"domain": 0.94, "version": 0.75, "repository": 1.0, "header": 0.72, "link": 0.78, "fence": 0.95, "fence_import": 0.9, "import": 0.82, "title": 0.64, "function": 0.74, "class": 0.78, "hint": 0.75}
-#: Milestones of the pipeline in percent; endpoint limits as (requests, seconds).
-MILESTONES = {"parsing": 15, "extracting": 40, "relations": 60, "graph": 75, "indexing": 90, "done": 100}
+#: Endpoint limits as (requests, seconds).
 LIMITS = {"upload": ((10, 60), (100, 3600)), "chat": ((30, 60), (500, 86400)), "search": ((60, 60),), "graph": ((120, 60),), "scrape": ((10, 3600),), "default": ((200, 86400), (50, 3600))}
 
 
@@ -22,11 +21,16 @@ def split_identifier(name: Column) -> Column:
     return F.filter(F.split(spaced, "[^A-Za-z0-9]+"), lambda w: F.length(w) > 0)
 
 
+def _as(item, label: str, confidence: float):
+    return lambda name: item(name, label, confidence, "parser")
+
+
 def raw_entities(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(document_id, seq, text, label, confidence, source, context): what every part of a document names, in the order of the fold.
 
-    Parts: known terms, versions, repositories, code fences with their imports, headings, links. One scan; each part is an array of
-    the row, so nothing is shuffled before the fold.
+    Parts: known terms, versions, repositories, code fences with their imports, headings, links, and where docs has the parser's
+    columns (imports, sections, functions, classes, hints) what those name. One scan; each part is an array of the row, so
+    nothing is shuffled before the fold.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     spread = F.create_map(*[F.lit(x) for a in entities.WORD_ALIASES for x in (entities._spread(a), a)])
@@ -62,13 +66,28 @@ def raw_entities(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             ),
         )
 
+    nothing = F.array().cast("array<string>")
+    if "imports" in docs.columns:
+        module = lambda m: F.when(F.contains(m, F.lit("/")), markup.package_of(m)).otherwise(F.substring_index(m, ".", 1))
+        parts = F.concat(parts, F.transform(F.array_compact(F.transform(F.coalesce("imports", nothing), module)), lambda m: item(m, "LIBRARY", CONFIDENCE["import"], "parser")))
+    if "sections" in docs.columns:
+        titles = F.filter(F.transform("sections", lambda x: records.symbol(x["title"])), lambda t: (F.length(t) > 0) & ~F.lower(t).isin(*C.STOP_CONCEPTS))
+        parts = F.concat(parts, F.transform(F.coalesce(titles, nothing), lambda t: item(t, "CONCEPT", CONFIDENCE["title"], "parser")))
+    for column, label, which in (("functions", "FUNCTION", "function"), ("classes", "CLASS", "class")):
+        if column in docs.columns:
+            symbols = F.filter(F.transform(F.coalesce(column, nothing), lambda f: records.symbol(F.substring_index(f, "(", 1))), lambda f: (F.length(f) > 0) & ~f.rlike("^[./]"))
+            parts = F.concat(parts, F.transform(symbols, _as(item, label, CONFIDENCE[which])))
+    if "hints" in docs.columns:
+        given = F.filter("hints", lambda h: F.length(h["text"]) > 0)
+        parts = F.concat(parts, F.coalesce(F.transform(given, lambda h: item(h["text"], F.upper(F.coalesce(h["type"], F.lit("entity"))), CONFIDENCE["hint"], "parser")), F.slice(parts, 1, 0)))
     spread_out = F.filter(F.transform(parts, canonical), lambda e: F.length(e["text"]) > 0)
     return docs.select(F.col(id_col).alias("document_id"), F.posexplode(spread_out).alias("seq", "e")).select("document_id", "seq", "e.*")
 
 
 def extract(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(document_id, text, label, confidence, source, mentions): a document's useful entities after the fold."""
-    return entities.fold(entities.useful(raw_entities(docs, id_col, text_col), "text"), ["document_id", "text"], ["seq"])
+    folded = entities.fold(entities.useful(raw_entities(docs, id_col, text_col), "text"), ["document_id", "text"], ["seq"])
+    return entities.merged(folded, "document_id", "text")
 
 
 def relations(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -121,14 +140,14 @@ def answer(question: str, index: DataFrame, docs: DataFrame, id_col: str, title_
     """(position, line): the extractive answer, by what the question asks for. Each kind is one plan with a bounded result."""
     q = question.lower()
     number = F.monotonically_increasing_id()
-    if answers_kind(question) == "collection":
+    if answers.intent(question) == "collection":
         lines = answers.document_summaries(docs, id_col, title_col, format_col, text_col).orderBy("id").limit(8).select(F.concat(F.lit("- "), "summary").alias("line"))
-    elif answers_kind(question) == "frameworks":
+    elif answers.intent(question) == "frameworks":
         signals = answers.framework_signals(search.hybrid(index, question, 5), "text", nodes_)
         lines = signals.orderBy(F.desc("signals"), "name").limit(8).select(F.format_string("- %s: %d signals", "name", "signals").alias("line"))
-    elif answers_kind(question) == "concepts":
-        lines = answers.concepts(search.hybrid(index, question, 5), "text", 8).select(F.concat(F.lit("- "), "concept").alias("line"))
-    elif answers_kind(question) == "document":
+    elif answers.intent(question) == "concepts":
+        lines = answers.without_redundant(answers.concepts(search.hybrid(index, question, 5), "text", 20, None if nodes_ is None else graph.search(nodes_, question, None, 5))).select(F.concat(F.lit("- "), "concept").alias("line"))
+    elif answers.intent(question) == "document":
         best = answers.named_document(docs, q, id_col, title_col)
         body = docs.join(best.select(F.col("id").alias("_m")), docs[id_col] == F.col("_m"), "left_semi")
         lines = body.select(F.concat(F.lit("- "), answers.safe_excerpt(F.col(text_col), 220)).alias("line"))
@@ -137,19 +156,6 @@ def answer(question: str, index: DataFrame, docs: DataFrame, id_col: str, title_
     return lines.select(number.alias("position"), "line")
 
 
-def answers_kind(question: str) -> str:
-    """answers.intent for one question, without a plan."""
-    q = question.lower()
-    has = lambda *ps: any(p in q for p in ps)
-    if has("summarize", "summary", "总结") and has("all file", "all document", "across", "所有"):
-        return "collection"
-    if has("framework", "library", "libraries", "框架"):
-        return "frameworks"
-    if has("main concept", "key concept", "主要概念", "核心概念"):
-        return "concepts"
-    return "document" if has("main content", "what is in", "what's in", "tell me about", "summarize", "summary of", "内容", "总结") else "snippets"
-
-
 def structured_fields(text: Column) -> Column:
     """Names before a colon, each once, in order."""
     found = F.regexp_extract_all(text, F.lit(r"(?:^|[^A-Za-z0-9_])([A-Za-z_][A-Za-z0-9_]{2,})\s*:"), F.lit(1))

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
@@ -43,6 +43,30 @@ def chunk_index(chunks: DataFrame, id_col: str, document_col: str, text_col: str
     return base.where(F.length("text") > 0).withColumn("terms", T.tokens(F.col("text"))).withColumn("vector", T.embed(F.col("terms")))
 
 
+BUCKETS = 64
+
+
+def bucket(document: str = "document", buckets: int = BUCKETS) -> F.Column:
+    return F.pmod(F.xxhash64(document), F.lit(buckets)).cast("int")
+
+
+def save_index(index: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Writes an index under `buckets` folders by its documents' hash, so that a document's rows lie in one of them whatever their number."""
+    index.withColumn("bucket", bucket(buckets=buckets)).write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def load_index(spark: SparkSession, path: str, document: str | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """A stored index; of one document only its bucket is read."""
+    rows = spark.read.parquet(path)
+    if document is not None:
+        rows = rows.where((F.col("bucket") == bucket_of(spark, document, buckets)) & (F.col("document") == document))
+    return rows.drop("bucket")
+
+
+def bucket_of(spark: SparkSession, document: str, buckets: int = BUCKETS) -> int:
+    return spark.range(1).select(F.lit(document).alias("document")).select(bucket(buckets=buckets)).first()[0]
+
+
 def scored(index: DataFrame, query: str, document: str | None = None) -> DataFrame:
     """Chunks with cosine > 0; the unrounded score filters, the rounded one ranks. A blank query finds nothing."""
     vector = query_vector(query)

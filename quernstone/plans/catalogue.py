@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import text as T
-from ..operators import answers, catalog, entities, graph, markup, pipeline, search, validate
-from ..session import cut_lineage, table
+from ..operators import answers, catalog, entities, graph, markup, pipeline, records, search, validate
+from ..session import cut_lineage, shared_folder, table
 from ..sources import parsers, readers
 from ..streaming import streams
 
@@ -173,10 +173,8 @@ def html_title_headings_links(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def html_to_markdown(spark: SparkSession, d: str) -> DataFrame:
-    body = F.pandas_udf(parsers.markdown_series, "string")("html", F.coalesce("final_url", "url"))
-    pages = table(spark, d, "scraped_pages").where("html IS NOT NULL").select("page_id", "url", "title", body.alias("body"))
-    enough = pages.where(T.words(F.col("body")) >= C.MIN_PAGE_WORDS)
-    return enough.select("page_id", F.concat_ws("\n\n", F.concat(F.lit("# "), F.coalesce("title", "url")), F.concat(F.lit("Source: "), F.col("url")), "body").alias("markdown"))
+    pages = parsers.markdown_pages(table(spark, d, "scraped_pages"), C.MIN_PAGE_WORDS)
+    return pages.select("page_id", records.page_filename(F.col("url"), F.coalesce("title", "url")).alias("filename"), F.concat_ws("\n\n", F.concat(F.lit("# "), F.coalesce("title", "url")), F.concat(F.lit("Source: "), F.col("url")), "body").alias("markdown"))
 
 
 @query("""SELECT id, list_aggregate(list_distinct(list_transform(regexp_extract_all(text, '(?m)^\\s*(?:from\\s+[\\w.]+\\s+import|import\\s+[\\w.]+)'), lambda m: regexp_extract(m, '(?:from|import)\\s+(\\w+)', 1))), 'count')::INT AS packages
@@ -197,12 +195,18 @@ def json_describe_props(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select(F.explode(F.json_object_keys("props")).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT c AS "column", count(v) AS count, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS std, round(min(v), 4) AS min, round(quantile_cont(v, 0.25), 4) AS q25, round(quantile_cont(v, 0.5), 4) AS q50, round(quantile_cont(v, 0.75), 4) AS q75, round(max(v), 4) AS max
+@query("""SELECT c AS "column", count(v) AS count, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS std, round(min(v), 4) AS min, round(quantile_disc(v, 0.25), 4) AS q25, round(quantile_disc(v, 0.5), 4) AS q50, round(quantile_disc(v, 0.75), 4) AS q75, round(max(v), 4) AS max
 FROM (SELECT 'o_totalprice' AS c, o_totalprice::DOUBLE AS v FROM orders UNION ALL SELECT 'o_custkey', o_custkey::DOUBLE FROM orders) GROUP BY c""")
 def csv_profile(spark: SparkSession, d: str) -> DataFrame:
     return readers.csv_profile(table(spark, d, "orders"), ["o_totalprice", "o_custkey"])
 
 
+@query("""WITH x AS (SELECT 'o_orderpriority' AS "column", 'string' AS dtype, o_orderpriority AS v FROM orders UNION ALL SELECT 'o_orderstatus', 'string', o_orderstatus FROM orders)
+SELECT "column", any_value(dtype) AS dtype, count(v) AS filled, count(DISTINCT v) AS "distinct", array_to_string(list_sort(list_distinct(list(v)))[1:3], '|') AS samples FROM x WHERE v IS NOT NULL GROUP BY "column\"""")
+def csv_columns(spark: SparkSession, d: str) -> DataFrame:
+    return readers.column_shapes(table(spark, d, "orders"), ["o_orderpriority", "o_orderstatus"])
+
+
 @query("""SELECT "column", value FROM (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY value) AS n FROM (SELECT DISTINCT * FROM (
  SELECT 'o_orderpriority' AS "column", o_orderpriority AS value FROM orders UNION ALL SELECT 'o_orderstatus', o_orderstatus FROM orders) WHERE length(trim(value)) BETWEEN 2 AND 80)) WHERE n <= 20""")
 def csv_value_hints(spark: SparkSession, d: str) -> DataFrame:
@@ -237,10 +241,9 @@ def _index(spark: SparkSession, d: str) -> DataFrame:
     return search.chunk_index(rows.select("id", "r.*"), "id", "document_id", "text", "chunk_type")
 
 
-@query(f"""WITH {_duck_vectors("SELECT item_id AS id, item_text AS text FROM eval_items")} SELECT id AS item_id, slot::INT AS slot, round(weight, 6) AS weight FROM v""")
+@query(f"""WITH {_duck_vectors("SELECT id, text FROM (" + _CORPUS + ")")} SELECT id, slot::INT AS slot, round(weight, 6) AS weight FROM v""")
 def hash_embedding_sparse(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "eval_items").select("item_id", F.explode(T.embed(T.tokens(F.col("item_text")))).alias("x"))
-    return rows.select("item_id", "x.slot", F.round("x.weight", 6).alias("weight"))
+    return _index(spark, d).select(F.col("chunk_id").alias("id"), F.explode("vector").alias("x")).select("id", "x.slot", F.round("x.weight", 6).alias("weight"))
 
 
 @query(f"""SELECT t AS token, count(*) AS n, count(DISTINCT doc_id) AS documents FROM (SELECT doc_id, unnest({_DUCK_TOKENS.format(t='text')}) AS t FROM documents) GROUP BY t""")
@@ -254,6 +257,16 @@ def semantic_search_topk(spark: SparkSession, d: str) -> DataFrame:
     return search.semantic(_index(spark, d), QUESTION, 5).select("chunk_id", "score")
 
 
+@query(_SEARCH + "SELECT id AS chunk_id, score FROM pool ORDER BY score DESC, id LIMIT 5")
+def stored_index_search(spark: SparkSession, d: str) -> DataFrame:
+    """The same from an index that was written before: a search reads it and computes no vector."""
+    import uuid
+
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    search.save_index(_index(spark, d), path)
+    return search.semantic(search.load_index(spark, path), QUESTION, 5).select("chunk_id", "score")
+
+
 @query(_SEARCH + "SELECT id AS chunk_id, round_even((score * 0.72 + k * 0.28) * 100, 1) AS score FROM pool JOIN kw USING (id) ORDER BY round_even((score * 0.72 + k * 0.28) * 100, 1) DESC, pool.score DESC, id LIMIT 5")
 def hybrid_search_topk(spark: SparkSession, d: str) -> DataFrame:
     return search.hybrid(_index(spark, d), QUESTION, 5).select("chunk_id", "score")
@@ -307,9 +320,9 @@ def gazetteer_matches(spark: SparkSession, d: str) -> DataFrame:
     return entities.gazetteer_matches(table(spark, d, "documents"), "doc_id", "text").select("id", "entity", "mentions")
 
 
-@query("""SELECT v AS version, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '(?:^|[^\\p{L}\\p{N}_.])(v?[0-9]+\\.[0-9]+(?:\\.[0-9]+)?)', 1)) AS v FROM documents) GROUP BY v""")
+@query("""SELECT v AS version, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '(?:^|[^\\p{L}\\p{N}_.])(v?[0-9]+\\.[0-9]+(?:\\.[0-9]+)?)', 1)) AS v FROM parsed_entities) GROUP BY v""")
 def versions(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(F.explode(entities.versions(F.col("text"))).alias("version")).groupBy("version").agg(F.count("*").alias("n"))
+    return table(spark, d, "parsed_entities").select(F.explode(entities.versions(F.col("text"))).alias("version")).groupBy("version").agg(F.count("*").alias("n"))
 
 
 _KNOWN = ", ".join("'" + a + "'" for a in [*C.ALIASES, *C.KNOWN_ONLY])
@@ -335,20 +348,21 @@ def entity_fold(spark: SparkSession, d: str) -> DataFrame:
     return entities.fold(entities.useful(table(spark, d, "parsed_entities")), ["document_id", "normalized"], ["created_at", "id"])
 
 
-@query("""WITH per AS (SELECT document_id, json_extract_string(metadata_json, '$.chunk') AS context, normalized AS n, min((-coalesce(confidence, 0), label, normalized)) AS o FROM parsed_entities WHERE json_extract_string(metadata_json, '$.chunk') IS NOT NULL AND normalized IS NOT NULL GROUP BY ALL)
-SELECT a.document_id, a.n AS source, b.n AS target, count(*) AS weight FROM per a JOIN per b ON a.document_id = b.document_id AND a.context = b.context AND a.o < b.o WHERE a.n <> b.n GROUP BY ALL""")
+@query("""WITH per AS (SELECT document_id, normalized AS n, min((-coalesce(confidence, 0), label, normalized)) AS o FROM parsed_entities WHERE document_id IS NOT NULL AND normalized IS NOT NULL GROUP BY ALL)
+SELECT a.document_id, a.n AS source, b.n AS target, count(*) AS weight FROM per a JOIN per b ON a.document_id = b.document_id AND a.o < b.o WHERE a.n <> b.n GROUP BY ALL""")
 def cooccurrence_relations(spark: SparkSession, d: str) -> DataFrame:
-    """Names mentioned in one chunk."""
-    mentions = table(spark, d, "parsed_entities").withColumn("chunk", F.get_json_object("metadata_json", "$.chunk"))
-    found = entities.cooccurrences(mentions, "document_id", "chunk", "normalized")
+    """Names mentioned in one document, as no sentence of the table holds two."""
+    mentions = table(spark, d, "parsed_entities").withColumn("unit", F.col("document_id"))
+    found = entities.cooccurrences(mentions, "document_id", "unit", "normalized")
     return found.groupBy("document_id", "source", "target").agg(F.sum("weight").alias("weight"))
 
 
-@query()
+@query("""SELECT document_id AS id, a AS source, b AS target, 'USES' AS relation, 0.78::DOUBLE AS confidence FROM (SELECT document_id, min(normalized) AS a, max(normalized) AS b FROM parsed_entities WHERE document_id IS NOT NULL AND regexp_matches(normalized, '^[A-Za-z0-9]+( [A-Za-z0-9]+)*$') GROUP BY 1) WHERE a <> b""")
 def pattern_relations(spark: SparkSession, d: str) -> DataFrame:
-    """Phrases over the sentences that mentions stand in, between the names that the sentence mentions."""
-    per = table(spark, d, "parsed_entities").where("context IS NOT NULL").groupBy("document_id", "context").agg(F.collect_set("normalized").alias("names"))
-    return entities.pattern_relations(per.withColumn("id", F.col("document_id")), "id", "context", "names")
+    """Sentences put together from the names of a document, as no text of the tables holds such a phrase."""
+    named = table(spark, d, "parsed_entities").where("document_id IS NOT NULL").where(F.col("normalized").rlike("^[A-Za-z0-9]+( [A-Za-z0-9]+)*$"))
+    per = named.groupBy("document_id").agg(F.min("normalized").alias("a"), F.max("normalized").alias("b")).where("a <> b")
+    return entities.pattern_relations(per.select(F.col("document_id").alias("id"), F.concat("a", F.lit(" uses "), "b", F.lit(".")).alias("said"), F.array("a", "b").alias("names")), "id", "said", "names")
 
 
 @query("""SELECT 'ent_' || substr(sha1(label || ':' || lower(trim(regexp_replace(normalized, '\\s+', ' ', 'g')))), 1, 12) AS id, arg_min(normalized, (created_at, id)) AS label, any_value(label) AS type, max(confidence) AS confidence, count(DISTINCT document_id) AS sources
@@ -418,27 +432,180 @@ def graph_visible(spark: SparkSession, d: str) -> DataFrame:
     return graph.visible(nodes).groupBy("type").agg(F.count("*").alias("n"))
 
 
-@query()
+_IDENTITY = "regexp_replace(regexp_replace(lower(CASE WHEN regexp_matches(string_split(label, '/')[-1], '.\\.[^.]+$') THEN regexp_replace(string_split(label, '/')[-1], '\\.[^.]+$', '') ELSE label END), '^_+', ''), '[^a-z0-9]+', '', 'g')"
+_DRAWN = f"""WITH n AS (SELECT id, label, type, confidence FROM ({ORACLES['graph_nodes']}) UNION ALL SELECT DISTINCT 'doc_' || substr(sha1('DOCUMENT:' || lower(document_id)), 1, 12), document_id, 'DOCUMENT', 1.0 FROM parsed_entities WHERE document_id IS NOT NULL), e AS ({_EDGES}),
+k AS (SELECT DISTINCT {_IDENTITY} AS i FROM n WHERE type <> 'DOCUMENT'),
+s AS (SELECT * FROM n WHERE type NOT IN ('VERSION','RESOURCE','REPOSITORY','CSV_VALUE','LOCATION','DATE','TIME') AND NOT (type = 'DOCUMENT' AND {_IDENTITY} IN (SELECT i FROM k))),
+d AS (SELECT e.* FROM e WHERE source IN (SELECT id FROM s) AND target IN (SELECT id FROM s)),
+g AS (SELECT id, sum(weight) AS degree FROM (SELECT source AS id, weight FROM d UNION ALL SELECT target, weight FROM d) GROUP BY id)"""
+
+
+@query(_DRAWN + """ SELECT s.id, label, type, round(CASE WHEN type = 'DOCUMENT' THEN least(10.5, 6 + coalesce(degree, 0) * 0.65::DOUBLE) ELSE least(19.0, 8 + coalesce(degree, 0) * 1.15::DOUBLE + coalesce(confidence, 0) * 1.5::DOUBLE) END, 4)::DOUBLE AS size FROM s LEFT JOIN g USING (id)""")
 def graph_visual_export(spark: SparkSession, d: str) -> DataFrame:
+    nodes, _ = graph.drawn(*_graph(spark, d))
+    return nodes.withColumn("size", F.col("size").cast("double"))
+
+
+@query(_DRAWN + " SELECT source, target, type, weight, confidence FROM d")
+def graph_visual_edges(spark: SparkSession, d: str) -> DataFrame:
+    return graph.drawn(*_graph(spark, d))[1]
+
+
+@query(f"""WITH n AS ({_NODES}), e AS ({_EDGES}) SELECT n.id, n.label, n.type, (SELECT count(*) FROM e WHERE source = {_CONCEPT} OR target = {_CONCEPT}) AS neighbour_count FROM n WHERE id = {_CONCEPT}""")
+def graph_node_detail(spark: SparkSession, d: str) -> DataFrame:
+    import hashlib
+
     nodes, edges = _graph(spark, d)
-    shown = graph.visible(nodes)
-    return graph.sized(shown, graph.connected(edges, shown))
+    return graph.detail(edges, nodes, "ent_" + hashlib.sha1(b"CONCEPT:semantic search").hexdigest()[:12]).select("id", "label", "type", "neighbour_count")
+
 
+_NID = "'ent_' || substr(sha1(label || ':' || lower(trim(regexp_replace(normalized, '\\s+', ' ', 'g')))), 1, 12)"
+_EXPORTED = f"""WITH n AS (SELECT id, label, type, coalesce(confidence, 1.0)::DOUBLE AS confidence FROM ({ORACLES['graph_nodes']}) UNION ALL SELECT DISTINCT 'doc_' || substr(sha1('DOCUMENT:' || lower(document_id)), 1, 12), document_id, 'DOCUMENT', 1.0::DOUBLE FROM parsed_entities WHERE document_id IS NOT NULL),
+f AS (SELECT nid AS id, document_id, min((created_at, pid)) AS f FROM (SELECT {_NID} AS nid, id AS pid, document_id, created_at FROM parsed_entities WHERE normalized IS NOT NULL AND label IS NOT NULL AND document_id IS NOT NULL) GROUP BY nid, document_id),
+o AS (SELECT id, list(document_id ORDER BY f) AS docs FROM f GROUP BY id),
+m AS (SELECT n.*, CASE WHEN type = 'DOCUMENT' THEN [label] ELSE coalesce(docs, []) END AS docs FROM n LEFT JOIN o USING (id)),
+e AS (SELECT source, target, type, weight, coalesce(confidence, 1.0)::DOUBLE AS confidence, docs FROM ({_EDGES}) JOIN (SELECT 'doc_' || substr(sha1('DOCUMENT:' || lower(document_id)), 1, 12) AS source, {_NID} AS target, list_sort(list(DISTINCT document_id)) AS docs FROM parsed_entities WHERE normalized IS NOT NULL AND label IS NOT NULL AND document_id IS NOT NULL GROUP BY 1, 2) USING (source, target)),
+p AS (SELECT id, k, arg_max(v, (created_at, pid)) AS v FROM (SELECT {_NID} AS id, id AS pid, created_at, k, json_extract_string(metadata_json, '$."' || k || '"') AS v FROM (SELECT *, unnest(json_keys(metadata_json)) AS k FROM parsed_entities WHERE normalized IS NOT NULL AND label IS NOT NULL)) WHERE v <> '' GROUP BY ALL),
+q AS (SELECT id, string_agg(',' || to_json(k) || ':' || to_json(v), '' ORDER BY k) AS more FROM p GROUP BY id)"""
 
-@query(f"""WITH n AS ({_NODES}) SELECT kind, count(*) AS n, count(source) AS sources, count(label) AS labels FROM (SELECT 'node' AS kind, label, NULL AS source FROM n UNION ALL SELECT 'edge', NULL, source FROM ({_EDGES})) GROUP BY kind""")
+
+def _export(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges with the documents that each comes from."""
+    mentions = table(spark, d, "parsed_entities")
+    nodes, edges = _graph(spark, d)
+    of_nodes = graph.node_sources(mentions).unionByName(nodes.where("type = 'DOCUMENT'").select("id", F.col("label").alias("document"), F.lit(None).cast(graph.node_sources(mentions).schema["first"].dataType).alias("first")))
+    return graph.with_sources(nodes, of_nodes, ["id"], F.col("first")), graph.with_sources(edges, graph.edge_sources(mentions), ["source", "target", "type"], F.col("document"))
+
+
+@query(_EXPORTED + """ SELECT 'node' AS kind, id, label, type, '' AS source, '' AS target, '' AS weight, confidence::VARCHAR AS confidence, array_to_string(docs, '; ') AS sources FROM m
+UNION ALL SELECT 'edge', source || '->' || target || ':' || type, type, type, source, target, weight::VARCHAR, confidence::VARCHAR, array_to_string(docs, '; ') FROM e""")
 def graph_export_csv(spark: SparkSession, d: str) -> DataFrame:
-    """The exported table's shape; the table itself is what the export writes."""
-    return graph.as_csv(*_graph(spark, d)).groupBy("kind").agg(F.count("*").alias("n"), F.count("source").alias("sources"), F.count("label").alias("labels"))
+    return graph.as_csv(*_export(spark, d))
 
 
-@query()
+@query(_EXPORTED + """ SELECT 'node' AS kind, '{"data":{"id":' || to_json(id) || ',"label":' || to_json(label) || ',"type":' || to_json(type) || ',"confidence":' || confidence::VARCHAR || ',"sources":' || to_json(docs) || coalesce(more, '') || '}}' AS element FROM m LEFT JOIN q USING (id)
+UNION ALL SELECT 'edge', '{"data":{"id":' || to_json(source || '->' || target || ':' || type) || ',"source":' || to_json(source) || ',"target":' || to_json(target) || ',"label":' || to_json(type) || ',"type":' || to_json(type) || ',"weight":' || weight || ',"confidence":' || confidence::VARCHAR || ',"sources":' || to_json(docs) || '}}' FROM e""")
 def graph_export_cytoscape(spark: SparkSession, d: str) -> DataFrame:
-    return graph.as_cytoscape(*_graph(spark, d))
+    return graph.as_cytoscape(*_export(spark, d), graph.node_properties(table(spark, d, "parsed_entities")))
 
 
-@query()
+_X = "replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+_ATT = "'<attvalues><attvalue for=\"type\" value=\"' || type || '\"/><attvalue for=\"confidence\" value=\"' || confidence::VARCHAR || '\"/><attvalue for=\"sources\" value=\"' || " + _X.format(x="array_to_string(docs, ', ')") + " || '\"/></attvalues>'"
+
+
+@query(_EXPORTED + " SELECT 1 AS part, '<node id=\"' || id || '\" label=\"' || " + _X.format(x="label") + " || '\">' || " + _ATT + " || '</node>' AS line FROM m UNION ALL SELECT 3, '<edge id=\"' || source || '-&gt;' || target || ':' || type || '\" source=\"' || source || '\" target=\"' || target || '\" label=\"' || type || '\" weight=\"' || weight || '\">' || " + _ATT + " || '</edge>' FROM e UNION ALL SELECT * FROM (VALUES "
+       + ", ".join(f"({n}, '{t}')" for n, t in graph.GEXF_PARTS) + ")")
 def graph_export_gexf(spark: SparkSession, d: str) -> DataFrame:
-    return graph.as_gexf(*_graph(spark, d))
+    return graph.as_gexf(*_export(spark, d))
+
+
+# Records and listings
+
+
+@query("""WITH x AS (SELECT document_id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS t, trim(coalesce(nullif(normalized, ''), text), ' ' || chr(9) || chr(10) || chr(13)) AS n, upper(coalesce(nullif(label, ''), 'ENTITY')) AS k, coalesce(nullif(source, ''), 'parser') AS s, coalesce(confidence, 1.0) AS c, (created_at, id) AS o FROM parsed_entities WHERE text IS NOT NULL)
+SELECT sha256(document_id || '|' || lower(n) || '|' || lower(k)) AS id, document_id, substr(arg_min(t, o), 1, 255) AS text, substr(arg_min(n, o), 1, 255) AS normalized, substr(k, 1, 80) AS label, substr(arg_min(s, o), 1, 80) AS source, arg_min(c, o) AS confidence FROM x WHERE t <> '' GROUP BY document_id, lower(n), k""")
+def entity_records(spark: SparkSession, d: str) -> DataFrame:
+    return records.entity_records(table(spark, d, "parsed_entities"))
+
+
+@query("""SELECT document_id || ':chunk:' || (i - 1) AS id, document_id, (i - 1)::INT AS chunk_index, coalesce(nullif(c.chunk_type, ''), 'text') AS chunk_type, regexp_replace(c.text, '^[\\s\\p{Z}\\x{85}]+|[\\s\\p{Z}\\x{85}]+$', '', 'g') AS text,
+ '{"type":"' || coalesce(nullif(c.chunk_type, ''), 'text') || '","start_pos":' || c.start_pos || ',"end_pos":' || c.end_pos || '}' AS metadata_json
+FROM (SELECT document_id, i, chunks[i] AS c FROM (SELECT document_id, chunks, unnest(range(1, len(chunks) + 1)) AS i FROM parsed_documents)) WHERE regexp_replace(c.text, '^[\\s\\p{Z}\\x{85}]+|[\\s\\p{Z}\\x{85}]+$', '', 'g') <> ''""")
+def chunk_rows(spark: SparkSession, d: str) -> DataFrame:
+    chunks = table(spark, d, "parsed_documents").select("document_id", F.posexplode("chunks").alias("i", "c")).select("document_id", "i", "c.*")
+    return records.chunk_records(chunks, "document_id", "i", "text", "chunk_type", ["start_pos", "end_pos"])
+
+
+@query("""SELECT e.id, coalesce(max(d.user_id), 'local-dev') AS user_id FROM (SELECT DISTINCT id, document_id FROM parsed_entities) e LEFT JOIN parsed_documents d USING (document_id) GROUP BY e.id""")
+def owned_entities(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "parsed_entities").select("id", "document_id").distinct()
+    return records.owned(rows, table(spark, d, "parsed_documents")).groupBy("id").agg(F.max("user_id").alias("user_id"))
+
+
+@query("""SELECT doc_id, original_filename FROM documents WHERE deleted_at IS NULL ORDER BY created_at DESC, doc_id LIMIT 25 OFFSET 50""")
+def catalog_page(spark: SparkSession, d: str) -> DataFrame:
+    live = table(spark, d, "documents").where("deleted_at IS NULL").select("doc_id", "original_filename", "created_at")
+    return records.page_of(live, [F.desc("created_at"), F.col("doc_id")], 50, 25).select("doc_id", "original_filename")
+
+
+@query("""SELECT doc_id, CASE WHEN original_filename LIKE '%.%' AND string_split(original_filename, '.')[-1] <> '' THEN '.' || lower(string_split(original_filename, '.')[-1]) ELSE 'none' END AS extension,
+ CASE WHEN file_size IS NULL OR file_size < 0 THEN 'unknown size' WHEN file_size < 1024 THEN file_size || ' B' WHEN file_size < 1048576 THEN printf('%.1f KB', file_size / 1024) ELSE printf('%.1f MB', file_size / 1048576) END AS size FROM documents WHERE original_filename IS NOT NULL""")
+def file_labels(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").where("original_filename IS NOT NULL")
+    return rows.select("doc_id", records.extension_label(F.col("original_filename")).alias("extension"), records.human_size(F.col("file_size")).alias("size"))
+
+
+@query("""WITH k(e, m) AS (VALUES """ + ", ".join(f"('{e}', '{m}')" for e, kinds in C.EXTENSION_MIMES.items() for m in kinds) + """)
+SELECT doc_id, coalesce(lower(file_extension) IN ('html', 'htm') AND mime_type = 'application/octet-stream', FALSE) OR EXISTS (SELECT 1 FROM k WHERE e = lower(file_extension) AND m = mime_type) AS fits FROM documents""")
+def mime_compatibility(spark: SparkSession, d: str) -> DataFrame:
+    """By the stated types alone, without the bypass for readable text."""
+    return table(spark, d, "documents").select("doc_id", records.mime_fits(F.col("file_extension"), F.col("mime_type"), F.lit(False)).alias("fits"))
+
+
+@query("""SELECT doc_id, array_to_string(list_filter([""" + ", ".join(f"'{c}'" for c in C.PROBED_CONCEPTS) + """], lambda c: contains(lower(text), lower(c))), ',') AS concepts FROM documents WHERE text IS NOT NULL""")
+def concept_probe(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.array_join(records.probed_concepts(F.col("text")), ",").alias("concepts"))
+
+
+@query("""SELECT doc_id, len(regexp_extract_all(text, '[^ \\t\\n\\r\\f]+')) AS word_count, len(b)::INT AS code_blocks, len(b) > 0 AS has_code, regexp_matches(text, '(^|[^!])\\[[^\\]]+\\]\\([^\\)]+\\)') AS has_links, regexp_matches(text, '!\\[[^\\]]*\\]\\([^\\)]+\\)') AS has_images, regexp_matches(text, '(?m)^>\\s+.+$') AS has_blockquotes,
+ array_to_string(list_sort(list_distinct(list_transform(b, lambda m: coalesce(nullif(regexp_extract(m, '^```(\\w*)', 1), ''), 'text')))), ',') AS languages
+FROM (SELECT doc_id, text, list_filter(regexp_extract_all(text, '(?s)```\\w*\\n.*?```'), lambda m: trim(regexp_extract(m, '(?s)^```\\w*\\n(.*)```$', 1), ' ' || chr(9) || chr(10) || chr(13)) <> '') AS b FROM documents WHERE text IS NOT NULL)""")
+def document_flags(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", markup.flags(F.col("text")).alias("f"))
+    return rows.select("doc_id", "f.word_count", "f.code_blocks", "f.has_code", "f.has_links", "f.has_images", "f.has_blockquotes", F.array_join("f.languages", ",").alias("languages"))
+
+
+@query("""SELECT doc_id, n::INT AS n, p AS paragraph FROM (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) - 1 AS n FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\\n{2,}'), lambda s: regexp_replace(s, '^[\\s\\p{Z}\\x{85}]+|[\\s\\p{Z}\\x{85}]+$', '', 'g')), lambda s: s <> '') AS ps FROM documents WHERE text IS NOT NULL))""")
+def text_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.posexplode(markup.paragraphs(F.col("text"))).alias("n", "paragraph"))
+
+
+@query(f"""SELECT document_id, 'section' AS kind, title, digest FROM ({ORACLES['line_sections']}) WHERE digest <> md5('') UNION ALL SELECT document_id, 'code', language, digest FROM ({ORACLES['code_blocks']})""")
+def structure_chunks(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "parsed_documents").where("raw_text <> ''").select("document_id", F.explode(markup.structure_chunks(F.col("raw_text"))).alias("c"))
+    return rows.select("document_id", "c.kind", "c.title", F.md5("c.text").alias("digest"))
+
+
+@query("""SELECT page_id, 'web-' || coalesce(nullif(replace(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1), ':', '_'), ''), 'web') || '-' || coalesce(nullif(substr(regexp_replace(regexp_replace(lower(coalesce(title, '')), '[^a-zA-Z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 48), ''), 'page') || '.md' AS filename FROM scraped_pages WHERE url IS NOT NULL""")
+def page_filenames(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "scraped_pages").where("url IS NOT NULL").select("page_id", records.page_filename(F.col("url"), F.col("title")).alias("filename"))
+
+
+@query("""SELECT doc_id AS id, position, step, percent FROM documents, (VALUES (0, 'Parsing document', 15), (1, 'Extracting entities', 40), (2, 'Finding relationships', 60), (3, 'Updating graph', 75), (4, 'Indexing chunks', 90), (5, 'Done', 100)) s(position, step, percent) WHERE text IS NOT NULL
+UNION ALL SELECT doc_id, position, step, percent FROM documents, (VALUES (0, 'Parsing document', 15), (1, 'Failed', 100)) s(position, step, percent) WHERE text IS NULL""")
+def job_progress(spark: SparkSession, d: str) -> DataFrame:
+    return records.progress(table(spark, d, "documents"), "doc_id", F.col("text").isNull())
+
+
+@query("""SELECT item_id, CASE WHEN regexp_matches(q, 'summarize|summary|总结') AND regexp_matches(q, 'all file|all document|across|所有') THEN 'collection' WHEN regexp_matches(q, 'framework|library|libraries|框架') THEN 'frameworks' WHEN regexp_matches(q, 'main concept|key concept|主要概念|核心概念') THEN 'concepts'
+ WHEN regexp_matches(q, 'main content|what is in|what''s in|tell me about|summarize|summary of|内容|总结') THEN 'document' ELSE 'snippets' END AS intent FROM (SELECT item_id, lower(item_text) AS q FROM eval_items WHERE item_text IS NOT NULL)""")
+def question_intents(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "eval_items").where("item_text IS NOT NULL").select("item_id", answers.intents(F.col("item_text")).alias("intent"))
+
+
+@query("""SELECT id, array_to_string(list_transform(regexp_extract_all(text, '(?m)^[ \\t]*(?:async[ \\t]+)?def[ \\t]+([A-Za-z_]\\w*)', 1), lambda f: regexp_replace(f, '^_+', '')), ',') AS functions, array_to_string(list_transform(regexp_extract_all(text, '(?m)^[ \\t]*class[ \\t]+([A-Za-z_]\\w*)', 1), lambda f: regexp_replace(f, '^_+', '')), ',') AS classes
+FROM parsed_chunks WHERE chunk_type = 'code' AND text IS NOT NULL""")
+def code_symbols(spark: SparkSession, d: str) -> DataFrame:
+    found = lambda c: F.array_join(F.transform(markup.python_symbols(F.col("text"))[c], records.symbol), ",").alias(c)
+    return table(spark, d, "parsed_chunks").where("chunk_type = 'code' AND text IS NOT NULL").select("id", found("functions"), found("classes"))
+
+
+@query()
+def result_titles(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "indexed_chunks")
+    return rows.select("id", records.result_title(F.col("metadata_json"), F.col("document_name"), F.col("chunk_type")).alias("title"))
+
+
+@query()
+def distinct_concepts(spark: SparkSession, d: str) -> DataFrame:
+    return answers.without_redundant(answers.concepts(table(spark, d, "documents"), "text"))
+
+
+@query()
+def document_overviews(spark: SparkSession, d: str) -> DataFrame:
+    """Type, title and main points of each document."""
+    docs = table(spark, d, "parsed_documents").select("document_id", F.coalesce("title", "document_id").alias("title"), "doc_format", F.coalesce(F.transform("chunks", lambda c: c["text"]), F.array().cast("array<string>")).alias("texts"), F.array().cast("array<string>").alias("terms"))
+    return answers.single_summary(docs.withColumnRenamed("document_id", "id"), "title", "doc_format", "texts", "terms", "id")
 
 
 # Answers
@@ -489,7 +656,8 @@ def rate_limit_violations(spark: SparkSession, d: str) -> DataFrame:
 @query(_LIMIT)
 def stream_rate_limit_violations(spark: SparkSession, d: str) -> DataFrame:
     """The same, counted by a stream over the table."""
-    counted = streams.drain(streams.windows(streams.events_stream(spark, d), 86_400), "complete")
+    events = streams.events_stream(spark, d).withWatermark("ts", streams.LATE)
+    counted = streams.drain(streams.windows(events, 86_400), "update", ["user_id", "window_start"])
     return _limits(counted.where("requests > 4").withColumn("rejected", F.col("requests") - 4))
 
 

@@ -73,12 +73,29 @@ def accepted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.where("reject_reason IS NULL").drop("reject_reason"), marked.where("reject_reason IS NOT NULL")
 
 
-def csv_profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, count, mean, std, min, q25, q50, q75, max) of numeric columns: one pass over the rows for all columns together."""
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("x.*").where("v IS NOT NULL")
-    q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    agg = long.groupBy("column").agg(F.count("*").alias("count"), F.avg("v").alias("mean"), F.stddev("v").alias("std"), F.min("v").alias("min"), q.alias("q"), F.max("v").alias("max"))
-    return agg.select("column", "count", *[F.round(F.col(c), 4).alias(c) for c in ("mean", "std", "min", "max")], *[F.round(F.col("q")[i], 4).alias(n) for i, n in enumerate(("q25", "q50", "q75"))])
+def csv_profile(df: DataFrame, columns: list[str], accuracy: int = 100_000) -> DataFrame:
+    """(column, count, mean, std, min, q25, q50, q75, max) of numeric columns: one pass over the rows for all columns together, whose
+    partial results are small whatever the number of rows. Quartiles are those of the stated rank up to 1 / accuracy of the rows."""
+    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    one = lambda c: F.struct(
+        F.lit(c).alias("column"), F.count(c).alias("count"), F.round(F.avg(c), 4).alias("mean"), F.round(F.stddev(c), 4).alias("std"), F.round(F.min(c), 4).alias("min"),
+        F.approx_percentile(c, [0.25, 0.5, 0.75], accuracy).alias("q"), F.round(F.max(c), 4).alias("max"),
+    )
+    rows = numbers.agg(F.array(*[one(c) for c in columns]).alias("all")).select(F.explode("all").alias("x")).select("x.*")
+    return rows.select("column", "count", "mean", "std", "min", *[F.round(F.col("q")[i], 4).alias(n) for i, n in enumerate(("q25", "q50", "q75"))], "max")
+
+
+def column_shapes(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, dtype, filled, distinct, samples) of every column: type, values that aren't null, about how many differ, the three least as text."""
+    kinds = dict(df.dtypes)
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])).alias("x")).select("x.*").where("value IS NOT NULL")
+    per = long.groupBy("column", "value").agg(F.count("*").alias("n"))
+    each = per.groupBy("column").agg(F.sum("n").alias("filled"), F.count("*").alias("distinct"))
+    from ..operators.catalog import latest_per
+
+    least = latest_per(per, ["column"], 3, [F.col("value")]).groupBy("column").agg(F.array_join(F.array_sort(F.collect_list("value")), "|").alias("samples"))
+    named = F.create_map(*[F.lit(x) for c in columns for x in (c, kinds[c])])
+    return each.join(least, "column").select("column", named[F.col("column")].alias("dtype"), "filled", "distinct", "samples")
 
 
 def value_hints(df: DataFrame, columns: list[str], per_column: int = 20, most: int = 100) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import search
+from ..session import cut_lineage, shared_folder
+
 LATE = "10 days"
 
 
@@ -17,25 +19,25 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there and gives back what it wrote."""
+def drain(stream: DataFrame, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+    """Runs a stream over all that is there and gives back what it wrote. In update mode every batch adds the rows that it changed, and
+    the last one of each key counts, so that no batch rewrites what others wrote and a watermark may bound the state."""
     spark = stream.sparkSession
-    base = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or "").removeprefix("file://")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.gettempdir()
-    folder = os.path.join(base, f"stream-{uuid.uuid4().hex}")
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     if mode == "append":
         query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
         query.awaitTermination()
         return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    if mode != "update" or not keys:
+        raise ValueError("mode is append, or update with the keys of a row")
 
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/out")
+    def add(batch: DataFrame, number: int) -> None:
+        batch.withColumn("_batch", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(f"{folder}/out/run={number}")
 
-    stream.writeStream.foreachBatch(replace).option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    stream.writeStream.foreachBatch(add).option("checkpointLocation", f"{folder}/state").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    rest = [c for c in stream.columns if c not in keys]
+    rows = spark.read.schema(stream.withColumn("_batch", F.lit(0).cast("bigint")).schema).parquet(f"{folder}/out")
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_r")).select(*keys, "_r.*").select(*stream.columns)
 
 
 def windows(events: DataFrame, seconds: int = 3600, user: str = "user_id", time: str = "ts") -> DataFrame:
@@ -80,10 +82,22 @@ def histogram(events: DataFrame, value: str, bounds: list[float], by: str) -> Da
     return agg.select(by, F.explode(F.array(*[F.struct(F.lit(str(b)).alias("le"), F.col(f"b{i}").alias("n")) for i, b in enumerate(edges)])).alias("x")).select(by, "x.le", "x.n")
 
 
-def incremental_index(chunks: DataFrame, path: str, checkpoint: str, index) -> None:
-    """Indexes a stream of chunks batch by batch: a batch replaces the partitions of its own documents, so a repeat changes nothing."""
+def incremental_index(chunks: DataFrame, path: str, checkpoint: str, index, buckets: int = search.BUCKETS) -> None:
+    """Indexes a stream of chunks batch by batch. A batch replaces the rows of its own documents and rewrites only the buckets that
+    they lie in, of which there are never more than `buckets`; a repeated batch changes nothing."""
 
     def write(batch: DataFrame, _: int) -> None:
-        index(batch).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("document").parquet(path)
+        spark = batch.sparkSession
+        fresh = cut_lineage(index(batch).withColumn("bucket", search.bucket(buckets=buckets)))
+        touched = [r[0] for r in fresh.select("bucket").distinct().collect()]  # at most `buckets` numbers
+        if not touched:
+            return
+        try:
+            stored = spark.read.schema(fresh.schema).parquet(path).where(F.col("bucket").isin(touched))
+            gone = fresh.select(F.col("document").alias("_d")).distinct()
+            kept = cut_lineage(stored.join(gone, stored["document"] == gone["_d"], "left_anti"))
+        except AnalysisException:  # the first batch
+            kept = fresh.limit(0)
+        kept.unionByName(fresh).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
     chunks.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

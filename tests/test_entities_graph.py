@@ -106,7 +106,7 @@ def test_dense_top_k_against_brute_force(spark):
 def test_answers(spark):
     qs = {"Summarize all files": "collection", "Which frameworks appear?": "frameworks", "What are the main concepts?": "concepts", "Tell me about notes": "document", "How long?": "snippets"}
     df = spark.createDataFrame([(q,) for q in qs], "q string")
-    assert dict(map(tuple, df.select("q", answers.intent(F.col("q"))).collect())) == qs
+    assert dict(map(tuple, df.select("q", answers.intents(F.col("q"))).collect())) == qs
     long = "word " * 100
     got = spark.createDataFrame([(long,)], "t string").select(answers.safe_excerpt(F.col("t"))).first()[0]
     assert got.endswith("...") and len(got) <= 263

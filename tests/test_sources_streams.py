@@ -66,7 +66,7 @@ def test_profile(spark):
 
 def test_streams_agree_with_batches(spark, small):
     batch = spark.read.parquet(f"{small}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    streamed = streams.drain(streams.windows(streams.events_stream(spark, small), 86_400), "complete")
+    streamed = streams.drain(streams.windows(streams.events_stream(spark, small).withWatermark("ts", streams.LATE), 86_400), "update", ["user_id", "window_start"])
     assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, streams.windows(batch, 86_400).collect()))
     once = streams.drain(streams.first_per_key(streams.events_stream(spark, small)).select("event_id"))
     assert once.count() == batch.select("event_id").distinct().count()
