@@ -47,8 +47,8 @@ def parities(owner: np.ndarray, value: np.ndarray, n_texts: int, bits: int = PAR
     return np.packbits((held & 1).astype(np.uint8).reshape(n_texts, bits), axis=1).view(np.int64)
 
 
-def fingerprint(df: DataFrame, id_col: str, text_col: str, order_col: str | None, min_words: int, run: int = 3, bits: int = PARITY) -> DataFrame:
-    """(rid, seen, class, size, symbols, parity, runs) of each record with at least min_words words.
+def fingerprint(df: DataFrame, id_col: str, text_col: str, order_col: str | None, min_words: int, run: int = 3, bits: int = PARITY, with_runs: bool = False) -> DataFrame:
+    """(rid, seen, class, size, symbols, parity), or with_runs (rid, seen, class, size, runs), of each record with at least min_words words.
 
     class: 16 bytes, equal for equal word sequences; size: number of distinct runs; runs: the low halves of their
     64-bit hashes; symbols: those the anchors are made of; parity: `bits` bits in longs. Null ids yield no row; records with fewer words, or null
@@ -70,22 +70,20 @@ def fingerprint(df: DataFrame, id_col: str, text_col: str, order_col: str | None
                 lists = [ws if len(ws) >= min_words else [] for ws in lists]
                 hashes, counts = wordhash.flat_hashes(lists, cache)
                 owner, value = wordhash.distinct_runs(hashes, counts, run)
-                symbols = wordhash.min_symbols(owner, value, len(lists), n_ints, P)
                 sizes = np.bincount(owner, minlength=len(lists))
                 some = sizes > 0
-                odd = parities(owner, value, len(lists), bits)[some]
                 keys = [xxhash.xxh3_128_digest(hashes[e - n : e].tobytes()) if n else b"" for n, e in zip(counts, np.cumsum(counts))]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0), part.column(1), pa.array(keys, pa.binary()), pa.array(sizes.astype(np.int32)),
-                        pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(some) * n_ints].astype(np.int32)), pa.array(symbols[some].astype(np.int32).ravel())),
-                        pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(some) * odd.shape[1]].astype(np.int32)), pa.array(odd.ravel())),
-                        pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(value.astype(np.uint32).view(np.int32))),
-                    ],
-                    names=["rid", "seen", "class", "size", "symbols", "parity", "runs"],
-                )
+                lists_of = lambda each, flat: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(each)].astype(np.int32)), pa.array(flat))
+                if with_runs:
+                    more = {"runs": lists_of(sizes, value.astype(np.uint32).view(np.int32))}
+                else:
+                    symbols = wordhash.min_symbols(owner, value, len(lists), n_ints, P)[some].astype(np.int32)
+                    odd = parities(owner, value, len(lists), bits)[some]
+                    more = {"symbols": lists_of(some * n_ints, symbols.ravel()), "parity": lists_of(some * odd.shape[1], odd.ravel())}
+                columns = {"rid": part.column(0), "seen": part.column(1), "class": pa.array(keys, pa.binary()), "size": pa.array(sizes.astype(np.int32))} | more
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return source.mapInArrow(batches, "rid string, seen timestamp, class binary, size int, symbols array<int>, parity array<bigint>, runs array<int>")
+    return source.mapInArrow(batches, "rid string, seen timestamp, class binary, size int, " + ("runs array<int>" if with_runs else "symbols array<int>, parity array<bigint>"))
 
 
 def codewords(block: int) -> list[str]:
@@ -148,16 +146,20 @@ def pick(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     return df.join(F.broadcast(keys) if keys.count() <= PICKED else keys, on)
 
 
-def near_pairs(marked: DataFrame, threshold: float, bits: int = PARITY) -> tuple[DataFrame, DataFrame]:
+def near_pairs(df: DataFrame, id_col: str, text_col: str, order_col: str | None = None, threshold: float = 0.7, min_words: int = 30, run: int = 3, bits: int = PARITY) -> tuple[DataFrame, DataFrame]:
     """(pairs between classes with their similarity, membership of records in classes).
 
     Of several rows under one id the latest (then the greatest class) counts. The exact comparison is by run hashes; a class
-    pair is compared once however many anchors it shares.
+    pair is compared once however many anchors it shares. Runs aren't kept from the first reading, as only the few
+    classes that may have a partner need them: one record of each is read again.
+
+    bits: the longer the texts, the more are needed for the parities to tell them apart; the result doesn't depend on it.
     """
+    marked = cut_lineage(fingerprint(df, id_col, text_col, order_col, min_words, run, bits))
     latest = marked.groupBy("rid").agg(F.max(F.struct("seen", "class", "size")).alias("m"))
     members = cut_lineage(latest.where("m.size > 0").select("rid", F.col("m.class").alias("class")))
-    # one row per class, numbered where it lies; the wide column (runs) stays out of the shuffles but for classes that meet another
-    reps = cut_lineage(marked.where("size > 0").groupBy("class").agg(F.first("size").alias("size"), F.first("symbols").alias("symbols"), F.first("parity").alias("parity")))
+    # one row per class, numbered where it lies
+    reps = cut_lineage(marked.where("size > 0").groupBy("class").agg(F.first("size").alias("size"), F.first("symbols").alias("symbols"), F.first("parity").alias("parity"), F.min("rid").alias("rid")))
     reps = reps.withColumn("node", F.monotonically_increasing_id())
     least = float(threshold)
     found = cut_lineage(met(anchors(reps), least))
@@ -166,8 +168,11 @@ def near_pairs(marked: DataFrame, threshold: float, bits: int = PARITY) -> tuple
     each = lambda n: odd.select(F.col("node").alias(n), F.col("size").alias(f"size_{n}"), F.col("parity").alias(f"parity_{n}"))
     found = cut_lineage(found.join(each("a"), "a").join(each("b"), "b").where(may_reach(least, bits)).select("a", "b"))
     nodes = cut_lineage(found.select(F.col("a").alias("node")).union(found.select("b")).distinct())
-    involved = cut_lineage(pick(reps.select("node", "class"), nodes, "node"))
-    sets = cut_lineage(pick(marked.where("size > 0").select("class", "runs"), involved, "class").groupBy("node").agg(F.first("class").alias("class"), F.first("runs").alias("runs")))
+    involved = cut_lineage(pick(reps.select("node", "class", "rid"), nodes, "node"))
+    rids = cut_lineage(involved.select(F.col("rid").alias("_rid")).distinct())
+    again = pick(df.withColumn("_rid", F.col(id_col).cast("string")), rids, "_rid").drop("_rid")
+    read = fingerprint(again, id_col, text_col, order_col, min_words, run, with_runs=True).where("size > 0").select("class", "runs")
+    sets = cut_lineage(pick(read, involved.select("node", "class"), "class").groupBy("node").agg(F.first("class").alias("class"), F.first("runs").alias("runs")))
     side = lambda n: sets.select(F.col("node").alias(n), F.col("class").alias(f"class_{n}"), F.col("runs").alias(f"runs_{n}"))
     both = found.join(side("a"), "a").join(side("b"), "b")
     shared = F.size(F.array_intersect("runs_a", "runs_b"))
@@ -224,9 +229,5 @@ def groups(pairs: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, order_col: str | None = None, threshold: float = 0.7, min_words: int = 30, bits: int = PARITY) -> DataFrame:
-    """All pairs (record_a, record_b) of records with at least min_words words whose word-triple sets reach the threshold.
-
-    bits: the longer the texts, the more are needed for the parities to tell them apart; the result doesn't depend on it.
-    """
-    pairs, members = near_pairs(cut_lineage(fingerprint(df, id_col, text_col, order_col, min_words, bits=bits)), threshold, bits)
-    return expand(pairs, members)
+    """All pairs (record_a, record_b) of records with at least min_words words whose word-triple sets reach the threshold."""
+    return expand(*near_pairs(df, id_col, text_col, order_col, threshold, min_words, 3, bits))

@@ -23,10 +23,10 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     from . import neardup
 
-    docs = neardup.cut_lineage(neardup.fingerprint(table(spark, sf_dir, "parsed_documents"), "document_id", "raw_text", None, 5, run=5, bits=640))
-    chunks = neardup.cut_lineage(neardup.fingerprint(table(spark, sf_dir, "parsed_chunks"), "id", "text", "created_at", 5, run=5))
-    of_docs = neardup.groups(*neardup.near_pairs(docs, 0.8, 640)).withColumn("group", F.concat(F.lit("document:"), "group"))
-    return of_docs.unionByName(neardup.groups(*neardup.near_pairs(chunks, 0.8)))
+    docs = neardup.near_pairs(table(spark, sf_dir, "parsed_documents"), "document_id", "raw_text", None, 0.8, 5, 5, 640)
+    chunks = neardup.near_pairs(table(spark, sf_dir, "parsed_chunks"), "id", "text", "created_at", 0.8, 5, 5)
+    of_docs = neardup.groups(*docs).withColumn("group", F.concat(F.lit("document:"), "group"))
+    return of_docs.unionByName(neardup.groups(*chunks))
 
 
 def p1_segments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,8 +53,7 @@ def test_latest_version_of_an_id_counts(spark):
 def test_groups_are_components(spark):
     rows = texts(random.Random(4))
     df = spark.createDataFrame([(f"r{i:03}", t) for i, t in enumerate(rows)], "id string, text string")
-    marked = neardup.cut_lineage(neardup.fingerprint(df, "id", "text", None, 5, run=5))
-    pairs, members = neardup.near_pairs(marked, 0.8)
+    pairs, members = neardup.near_pairs(df, "id", "text", None, 0.8, 5, 5)
     got = {r.rid: r.group for r in neardup.groups(pairs, members).collect()}
     assert set(got) == {f"r{i:03}" for i, t in enumerate(rows) if len(words(t)) >= 5}
     assert len({got["r000"], *(got[f"r{i:03}"] for i in range(100, 120))}) == 1
