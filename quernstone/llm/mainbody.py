@@ -11,10 +11,10 @@ while it learns, what it learns carries over to pages whose markup says nothing.
 
 from __future__ import annotations
 
+import html
 import re
 from collections import Counter
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -51,12 +51,13 @@ SHOWN = frozenset("h1 h2 h3 h4 pre li table tr td th code div".split())
 class Element:
     """An open tag with what its path says, each worked out from its parent's."""
 
-    __slots__ = ("bad", "body", "bits", "depth", "entry", "group", "ids", "inside", "parent", "skipped", "tag", "title")
+    __slots__ = ("bad", "bits", "body", "depth", "entry", "group", "ids", "inside", "kids", "parent", "skipped", "tag", "title")
 
     def __init__(self, parent: Element | None, tag: str, named: str) -> None:
         names = tuple(t.lower() for t in NAME.findall(named.replace("-", " ")))
         tokens = {tag, *names}
         self.parent, self.tag = parent, tag
+        self.kids: dict[tuple[str, str], Element] = {}
         self.bits = (parent.bits if parent else 0) | BITS.get(tag, 0)
         self.depth = (parent.depth if parent else 0) + 1
         self.skipped = tag in SKIPPED or bool(parent and parent.skipped)
@@ -79,45 +80,68 @@ class Element:
             self.group = parent.group
 
 
-class Leaves(HTMLParser):
-    """Text nodes of a page in order, each with the element it stands in."""
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+REOPENED = frozenset("p li td tr h1 h2 h3".split())
+RAW = {tag: re.compile(rf"</{tag}\b", re.I) for tag in ("script", "style")}
 
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.open: Element | None = None
-        self.nodes: list[tuple[str, Element | None]] = []
-        self.title = ""
-
-    def handle_starttag(self, tag, attrs):
-        if tag in VOID:
-            return
-        if tag in ("p", "li", "td", "tr", "h1", "h2", "h3") and self.open and self.open.tag == tag:
-            self.open = self.open.parent  # left open before
-        self.open = Element(self.open, tag, " ".join(v or "" for k, v in attrs if k in ("class", "role") or k.startswith("data-")))
-
-    def handle_endtag(self, tag):
-        at = self.open
-        while at and at.tag != tag:
-            at = at.parent
-        if at:
-            self.open = at.parent
-
-    def handle_data(self, data):
-        if self.open and self.open.skipped:
-            if self.open.title:
-                self.title += data
-        elif data.strip():
-            self.nodes.append((data, self.open))
-
-
-def leaves(html: str | None) -> tuple[list[tuple[str, Element | None]], str]:
-    parser = Leaves()
-    try:
-        parser.feed(html or "")
-        parser.close()
-    except (AssertionError, ValueError):
-        pass
-    return parser.nodes, parser.title
+
+def named(attributes: str) -> str:
+    """What class, role and data attributes say, in their order."""
+    if "=" not in attributes:
+        return ""
+    found = ((k.lower(), html.unescape(x or y or z)) for k, x, y, z in ATTRIBUTE.findall(attributes))
+    return " ".join(v for k, v in found if k in ("class", "role") or k.startswith("data-"))
+
+
+def leaves(page: str | None) -> tuple[list[tuple[str, Element | None]], str]:
+    """(text nodes of a page in order, each with the element it stands in; the page's title).
+
+    Elements of one path and naming are one object. An end tag closes the last open element of its name, and with it all that were
+    left open inside; one without such an element is passed over.
+    """
+    page = page or ""
+    top: dict[tuple[str, str], Element] = {}
+    here: Element | None = None
+    nodes: list[tuple[str, Element | None]] = []
+    title: list[str] = []
+    at = 0
+    while at < len(page):
+        m = TAG.search(page, at)
+        data = page[at : m.start() if m else len(page)]
+        if data and not data.isspace():
+            data = html.unescape(data)
+            if here and here.skipped:
+                if here.title:
+                    title.append(data)
+            elif not data.isspace():
+                nodes.append((data, here))
+        if not m:
+            break
+        at = m.end()
+        tag = m[2].lower() if m[2] else ""
+        if not tag or tag in VOID:
+            continue
+        if m[1]:
+            e = here
+            while e and e.tag != tag:
+                e = e.parent
+            here = e.parent if e else here
+            continue
+        if here and here.tag == tag and tag in REOPENED:
+            here = here.parent  # left open before
+        kids = here.kids if here else top
+        given = (tag, named(m[3]))
+        e = kids.get(given)
+        if e is None:
+            e = kids[given] = Element(here, *given)
+        if m[3].endswith("/"):
+            continue
+        here = e
+        if tag in RAW:
+            end = RAW[tag].search(page, at)
+            at = end.start() if end else len(page)
+    return nodes, "".join(title)
 
 
 def key(text: str) -> str:
@@ -209,7 +233,7 @@ class Lines:
         return key(line), len(ws), x, ids or [0]
 
 
-def features(text: str | None, html: str | None, title: str | None, look: Lines | None = None) -> tuple[list[int], np.ndarray, list[list[int]], list[list[int]], np.ndarray]:
+def features(text: str | None, markup: str | None, title: str | None, look: Lines | None = None) -> tuple[list[int], np.ndarray, list[list[int]], list[list[int]], np.ndarray]:
     """(line numbers, dense features, word ids, path ids, teaching) of a page's non-blank lines."""
     look = look or Lines()
     rows = [(n, s) for n, s in enumerate((text or "").split("\n")) if s.strip()]
@@ -217,7 +241,7 @@ def features(text: str | None, html: str | None, title: str | None, look: Lines
         return [], np.zeros((0, DENSE), np.float32), [], [], np.zeros(0)
     seen = [look(s) for _, s in rows]
     keys, counts = [g[0] for g in seen], np.array([g[1] for g in seen])
-    nodes, inner = leaves(html)
+    nodes, inner = leaves(markup)
     held = align(keys, nodes)
     there = np.array([e is not None for e in held])
     heads = [key(t) for t in (inner, title or "") if t and key(t)]
