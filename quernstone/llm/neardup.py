@@ -164,12 +164,12 @@ def near_pairs(df: DataFrame, id_col: str, text_col: str, order_col: str | None
     least = float(threshold)
     found = cut_lineage(met(anchors(reps), least))
     nodes = cut_lineage(found.select(F.col("a").alias("node")).union(found.select("b")).distinct())
-    odd = cut_lineage(pick(reps.select("node", "size", "parity"), nodes, "node"))
+    odd = pick(reps.select("node", "size", "parity"), nodes, "node")
     each = lambda n: odd.select(F.col("node").alias(n), F.col("size").alias(f"size_{n}"), F.col("parity").alias(f"parity_{n}"))
     found = cut_lineage(found.join(each("a"), "a").join(each("b"), "b").where(may_reach(least, bits)).select("a", "b"))
     nodes = cut_lineage(found.select(F.col("a").alias("node")).union(found.select("b")).distinct())
     involved = cut_lineage(pick(reps.select("node", "class", "rid"), nodes, "node"))
-    rids = cut_lineage(involved.select(F.col("rid").alias("_rid")).distinct())
+    rids = involved.select(F.col("rid").alias("_rid")).distinct()
     again = pick(df.withColumn("_rid", F.col(id_col).cast("string")), rids, "_rid").drop("_rid")
     read = fingerprint(again, id_col, text_col, order_col, min_words, run, with_runs=True).where("size > 0").select("class", "runs")
     sets = cut_lineage(pick(read, involved.select("node", "class"), "class").groupBy("node").agg(F.first("class").alias("class"), F.first("runs").alias("runs")))
