@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -111,50 +112,45 @@ def statistics(index: DataFrame) -> DataFrame:
 def dense_top_k(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int = 10, block: int = 2000) -> DataFrame:
     """(query_id, id, cosine, rank): for each query vector the k rows of highest cosine, itself left out; ties to smaller ids.
 
-    Queries are taken in blocks of `block`, so what a task holds is bounded: each partition of the vectors keeps k rows per query,
-    and only those are shuffled.
+    The table is read once. Queries are broadcast in blocks of `block`, and each batch of vectors meets them block by block; a
+    partition keeps k rows per query, and only those are shuffled. Null vectors and those of another length are passed over.
     """
-    wanted = queries.select(F.col(id_col).alias("q"), F.col(vector_col).alias("v")).where("v IS NOT NULL")
-    total = wanted.count()
-    blocks = max(1, -(-total // block))
-    kind = vectors.schema[id_col].dataType.simpleString()
-    found = None
+    spark = vectors.sparkSession
+    kind = "bigint" if vectors.schema[id_col].dataType.simpleString() in ("bigint", "int") else "string"
+    wanted = queries.select(F.col(id_col).cast(kind).alias("q"), F.col(vector_col).cast("array<double>").alias("v")).where("v IS NOT NULL")
+    blocks = max(1, -(-wanted.count() // block))
+    shared = []
     for b in range(blocks):
-        part = wanted.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b) if blocks > 1 else wanted
-        rows = part.collect()
-        if not rows:
-            continue
-        matrix = np.array([r[1] for r in rows], np.float64)
-        norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-        shared = vectors.sparkSession.sparkContext.broadcast(([r[0] for r in rows], matrix / np.where(norms > 0, norms, 1)))
-
-        def nearest(it: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, unit = shared.value
-            if not ids:
-                return
-            best: list[list[tuple[float, object]]] = [[] for _ in ids]
-            for batch in it:
-                keys, lists = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                good = [i for i, v in enumerate(lists) if v is not None and len(v) == unit.shape[1] and keys[i] is not None]
-                if not good:
+        rows = (wanted.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b) if blocks > 1 else wanted).toArrow()
+        if rows.num_rows:
+            size = len(rows.column("v")[0])
+            rows = rows.filter(pc.equal(pc.list_value_length(rows.column("v")), size))
+            matrix = rows.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+            norms = np.linalg.norm(matrix, axis=1, keepdims=True)
+            shared.append(spark.sparkContext.broadcast((rows.column("q").to_pylist(), matrix / np.where(norms > 0, norms, 1))))
+
+    def nearest(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [s.value for s in shared]
+        best: list[list[list[tuple[float, object]]]] = [[[] for _ in ids] for ids, _ in parts]
+        for batch in it:
+            lengths = pc.list_value_length(batch.column(1))
+            for n, (ids, unit) in enumerate(parts):
+                part = batch.filter(pc.and_(pc.fill_null(pc.equal(lengths, unit.shape[1]), False), pc.is_valid(batch.column(0))))
+                if not part.num_rows:
                     continue
-                m = np.array([lists[i] for i in good], np.float64)
-                n = np.linalg.norm(m, axis=1)
-                sims = np.round(unit @ (m / np.where(n > 0, n, 1)[:, None]).T, 6)
+                keys = part.column(0).to_pylist()
+                m = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, unit.shape[1])
+                norm = np.linalg.norm(m, axis=1)
+                sims = np.round(unit @ (m / np.where(norm > 0, norm, 1)[:, None]).T, 6)
+                # the k + 1 best, and what ties with the last of them: one may be the query itself
+                least = np.partition(sims, -(k + 1), 1)[:, -(k + 1)] if sims.shape[1] > k + 1 else np.full(len(sims), -2.0)
                 for q, row in enumerate(sims):
-                    top = np.argpartition(-row, min(k + 1, len(row) - 1))[: k + 2] if len(row) > k + 2 else range(len(row))
-                    edge = min(row[list(top)]) if len(row) > k + 2 else -2
-                    pick = np.flatnonzero(row >= edge) if len(row) > k + 2 else np.arange(len(row))
-                    best[q] = sorted(best[q] + [(-float(row[j]), keys[good[j]]) for j in pick if keys[good[j]] != ids[q]])[:k]
-            out = [(ids[q], key, -c) for q, rows_ in enumerate(best) for c, key in rows_]
-            cols = list(zip(*out)) if out else [[]] * 3
-            key_type = pa.int64() if kind in ("bigint", "int") else pa.string()
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (key_type, key_type, pa.float64()))], names=["query_id", "id", "cosine"])
-
-        out_kind = "bigint" if kind in ("bigint", "int") else "string"
-        got = vectors.select(F.col(id_col), F.col(vector_col)).mapInArrow(nearest, f"query_id {out_kind}, id {out_kind}, cosine double")
-        found = got if found is None else found.union(got)
-    if found is None:
-        found = vectors.sparkSession.createDataFrame([], f"query_id {kind}, id {kind}, cosine double")
+                    best[n][q] = sorted(best[n][q] + [(-float(row[j]), keys[j]) for j in np.flatnonzero(row >= least[q]) if keys[j] != ids[q]])[:k]
+        out = [(ids[q], key, -c) for (ids, _), each in zip(parts, best) for q, rows in enumerate(each) for c, key in rows]
+        cols = list(zip(*out)) if out else [[]] * 3
+        key_type = pa.int64() if kind == "bigint" else pa.string()
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (key_type, key_type, pa.float64()))], names=["query_id", "id", "cosine"])
+
+    found = vectors.select(F.col(id_col).cast(kind), F.col(vector_col).cast("array<double>")).mapInArrow(nearest, f"query_id {kind}, id {kind}, cosine double")
     order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

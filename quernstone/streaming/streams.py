@@ -7,6 +7,7 @@ import uuid
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..operators import search
 from ..session import cut_lineage, shared_folder
@@ -55,10 +56,21 @@ def first_per_key(events: DataFrame, key: str = "event_id", time: str = "ts") ->
     return events.withWatermark(time, LATE).dropDuplicatesWithinWatermark([key])
 
 
-def state_changes(events: DataFrame, user: str = "user_id", state: str = "event_type", time: str = "ts", tie: str = "event_id") -> DataFrame:
-    """Rows whose state differs from the user's one before; the first always does."""
-    order = Window.partitionBy(user).orderBy(time, tie)
-    return events.withColumn("previous", F.lag(state).over(order)).where(F.col("previous").isNull() | (F.col("previous") != F.col(state)))
+def state_changes(events: DataFrame, user: str = "user_id", state: str = "event_type", time: str = "ts", tie: str = "event_id", span: int = 86_400) -> DataFrame:
+    """Rows whose state differs from the user's one before, which comes as `previous`; the first always does.
+
+    A user's events are looked at by spans of time, each in its own task, and each span takes up the state that the one before it left: what one
+    user's own task orders is a row per span. Rows of null users are one user's.
+    """
+    number = F.col(time) if isinstance(events.schema[time].dataType, NumericType) else F.unix_timestamp(time)
+    rows = events.withColumn("_span", F.floor(number / span))
+    left = rows.groupBy(user, "_span").agg(F.max_by(state, F.struct(time, tie)).alias("_left"))
+    before = left.select(F.col(user).alias("_u"), F.col("_span").alias("_s"), F.lag("_left").over(Window.partitionBy(user).orderBy("_span")).alias("_before"))
+    order = Window.partitionBy(user, "_span").orderBy(time, tie)
+    seen = rows.withColumn("_n", F.row_number().over(order)).withColumn("_lag", F.lag(state).over(order))
+    joined = seen.join(before, seen[user].eqNullSafe(before["_u"]) & seen["_span"].eqNullSafe(before["_s"]))
+    found = joined.withColumn("previous", F.when(F.col("_n") == 1, F.col("_before")).otherwise(F.col("_lag"))).drop("_span", "_n", "_lag", "_u", "_s", "_before")
+    return found.where(F.col("previous").isNull() | (F.col("previous") != F.col(state)))
 
 
 def recent(events: DataFrame, n: int, user: str = "user_id", time: str = "ts", tie: str = "event_id") -> DataFrame:

@@ -162,6 +162,14 @@ def test_stored_index_is_replaced_by_document(spark, tmp_path):
     assert search.semantic(search.load_index(spark, folder), "alpha", 3).first().chunk_id == "c3"
 
 
+def test_state_changes_cross_spans(spark):
+    rows = [(1, "a", 0), (2, "a", 5), (3, "b", 11), (4, "b", 25), (5, "a", 26), (6, None, 40), (7, "a", 41)]
+    df = spark.createDataFrame([(u, e, s, t) for u in ("x", None) for e, s, t in rows], "user_id string, event_id int, event_type string, ts int")
+    got = sorted((r.user_id or "", r.event_id, r.previous) for r in streams.state_changes(df, span=10).collect())
+    assert got == [(u, *r) for u in ("", "x") for r in [(1, None), (3, "a"), (5, "b"), (7, None)]]
+    assert streams.state_changes(df.where("false")).count() == 0
+
+
 def test_columns_of_a_table(spark):
     df = spark.createDataFrame([("b", 1), ("a", 2), (None, 3), ("a", None)], "s string, n int")
     got = {r.column: r for r in readers.column_shapes(df, ["s", "n"]).collect()}
