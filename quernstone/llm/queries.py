@@ -2,31 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
-from typing import TypeVar
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
 
-T = TypeVar("T")
-
-
-def _together(*parts: Callable[[], T]) -> list[T]:
-    """What the parts give; their jobs run side by side, as each leaves cores idle in its short stages."""
-    with ThreadPoolExecutor(len(parts)) as pool:
-        return [f.result() for f in [pool.submit(p) for p in parts]]
-
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import neardup
 
-    docs, chunks = _together(
-        lambda: neardup.near_duplicates(table(spark, sf_dir, "parsed_documents"), "document_id", "raw_text", bits=640),
-        lambda: neardup.near_duplicates(table(spark, sf_dir, "parsed_chunks"), "id", "text", "created_at"),
-    )
+    # one table after the other: side by side they would need the disk of both at once
+    docs = neardup.near_duplicates(table(spark, sf_dir, "parsed_documents"), "document_id", "raw_text", bits=640)
+    chunks = neardup.near_duplicates(table(spark, sf_dir, "parsed_chunks"), "id", "text", "created_at")
     return docs.union(chunks)
 
 
@@ -37,11 +24,10 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     from . import neardup
 
-    docs, chunks = _together(
-        lambda: neardup.groups(*neardup.near_pairs(table(spark, sf_dir, "parsed_documents"), "document_id", "raw_text", None, 0.8, 5, 5, 640)),
-        lambda: neardup.groups(*neardup.near_pairs(table(spark, sf_dir, "parsed_chunks"), "id", "text", "created_at", 0.8, 5, 5)),
-    )
-    return docs.withColumn("group", F.concat(F.lit("document:"), "group")).unionByName(chunks)
+    docs = neardup.near_pairs(table(spark, sf_dir, "parsed_documents"), "document_id", "raw_text", None, 0.8, 5, 5, 640)
+    chunks = neardup.near_pairs(table(spark, sf_dir, "parsed_chunks"), "id", "text", "created_at", 0.8, 5, 5)
+    of_docs = neardup.groups(*docs).withColumn("group", F.concat(F.lit("document:"), "group"))
+    return of_docs.unionByName(neardup.groups(*chunks))
 
 
 def p1_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
