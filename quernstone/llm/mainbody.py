@@ -83,12 +83,13 @@ class Element:
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 REOPENED = frozenset("p li td tr h1 h2 h3".split())
+NAMING = re.compile(r"class|role|data-", re.I)
 RAW = {tag: re.compile(rf"</{tag}\b", re.I) for tag in ("script", "style")}
 
 
 def named(attributes: str) -> str:
     """What class, role and data attributes say, in their order."""
-    if "=" not in attributes:
+    if not NAMING.search(attributes):
         return ""
     found = ((k.lower(), html.unescape(x or y or z)) for k, x, y, z in ATTRIBUTE.findall(attributes))
     return " ".join(v for k, v in found if k in ("class", "role") or k.startswith("data-"))
@@ -457,8 +458,8 @@ def fit_on(pages: DataFrame, bound: int = FIT_PAGES, id_col: str = "page_id") ->
     return stored(pages.sparkSession, "mainbody", rows, lambda: fit_twice([features(*r, look) for r in rows]))
 
 
-def main_lines(pages: DataFrame, net: Network, id_col: str = "page_id", cut: float = 0.5) -> DataFrame:
-    """(page_id, line_no, line, probability) of the lines of the main body.
+def main_lines(pages: DataFrame, net: Network, id_col: str = "page_id", cut: float = 0.5, with_line: bool = True) -> DataFrame:
+    """(page_id, line_no, line, probability) of the lines of the main body; without the line itself if not with_line.
 
     Lines are numbered from 0 at LF, blank ones counted. Null ids and null or blank texts give no row; a null html or title is fine.
     Columns other than text, html and title are not read.
@@ -474,12 +475,19 @@ def main_lines(pages: DataFrame, net: Network, id_col: str = "page_id", cut: flo
             for at in range(0, batch.num_rows, 256):
                 ids, texts, htmls, titles = (c.slice(at, 256).to_pylist() for c in batch.columns)
                 got = [features(*r, look) for r in zip(texts, htmls, titles)]
-                rows = []
+                numbers, owners, sure, lines = [], [], [], []
                 for i, text, page, prob in zip(ids, texts, got, mine.probabilities(got)):
-                    lines = text.split("\n")
-                    rows += [(i, n, lines[n], round(float(p), 4)) for n, p in zip(page[0], prob) if p >= cut]
-                cols = list(zip(*rows)) if rows else [[]] * 4
-                kinds = (batch.schema.field(0).type, pa.int64(), pa.string(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["page_id", "line_no", "line", "probability"])
-
-    return source.mapInArrow(batches, f"page_id {kind}, line_no bigint, line string, probability double")
+                    keep = np.flatnonzero(prob >= cut).tolist()
+                    numbers += [page[0][k] for k in keep]
+                    owners += [i] * len(keep)
+                    sure.append(prob[keep])
+                    if with_line:
+                        parts = text.split("\n")
+                        lines += [parts[page[0][k]] for k in keep]
+                columns = {"page_id": pa.array(owners, batch.schema.field(0).type), "line_no": pa.array(numbers, pa.int64())}
+                if with_line:
+                    columns["line"] = pa.array(lines, pa.string())
+                columns["probability"] = pa.array(np.round(np.concatenate([*sure, np.zeros(0)]), 4), pa.float64())
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return source.mapInArrow(batches, f"page_id {kind}, line_no bigint, " + "line string, " * with_line + "probability double")

@@ -178,7 +178,10 @@ def p3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p3_lines(spark, sf_dir).select("page_id", "line_no")
+    from . import mainbody
+
+    pages = table(spark, sf_dir, "scraped_pages")
+    return mainbody.main_lines(pages, mainbody.fit_on(pages), with_line=False).select("page_id", "line_no")
 
 
 QUERIES = {
