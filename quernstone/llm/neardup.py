@@ -10,14 +10,19 @@ with probability 0.348, by all eight with 0.0002; at 0.8 with 0.000001. Two reco
 
 Pairs that meet are first thinned by parities: bit k of a record's parity says whether an odd number of its runs fall into
 bucket k. Two records differ in at least as many runs as their parities differ in bits, so a pair whose parities differ in
-more bits than the threshold leaves runs to differ can't reach it; no pair is lost. What remains is compared exactly, once. Anchors that many records come to are found on a sample of the records, and
+more bits than the threshold leaves runs to differ can't reach it; no pair is lost. Folded to a few words the parity goes to the
+anchors with its record, so that most chance meetings, whose number grows with the square of the records, end where they
+occur and are never written. What remains is compared exactly, once. Anchors that many records come to are found on a sample of the records, and
 their lists are cut into blocks of about LIST records that are joined block by block, in different tasks. Copies (equal
 word sequences) are one class before any of this, so a text repeated in a third of all rows costs one row.
+
+No broadcast grows with the tables beyond PICKED keys, as each passes through the driver; more keys are joined by a shuffle of
+narrow rows, and the texts to read again are found by a bitmap of fixed size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +42,11 @@ LIST = 4_000
 #: One record in so many is looked at to find the anchors with long lists; at most HOT of them are split, the longest.
 SAMPLED = 16
 HOT = 20_000
-#: Up to so many keys (24 MB) are broadcast to pick rows out of a wide table; more are joined by a shuffle.
-PICKED = 1_000_000
+#: Up to so many keys (about 8 MB as the driver holds them) are broadcast to pick rows; more are joined by a shuffle.
+PICKED = 100_000
+#: Bits of the bitmap by which rows of a wide table are picked (4 MB when full), and of each of its parts.
+MARKS = 1 << 25
+PART = 1 << 15
 
 
 def parities(owner: np.ndarray, value: np.ndarray, n_texts: int, bits: int = PARITY) -> np.ndarray:
@@ -110,42 +118,86 @@ def codewords(block: int) -> list[str]:
     return out
 
 
-def anchors(reps: DataFrame, tables: int = TABLES) -> DataFrame:
-    """(anchor, node, size): each record under every anchor within the covering radius of its blocks."""
+def folded(bits: int) -> list[F.Column]:
+    """The parity as 1 to 3 words odd_0, ...: word k is the XOR of every such word of it, which is the parity over fewer buckets.
+
+    A record of at most 64 runs has all in odd_0 and 0 in the others; one of so many runs that half of the bits may differ has 0 in all.
+    """
+    n = bits // 64
+    words = max(k for k in (1, 2, 3) if n % k == 0)
+    xor = lambda ks: " ^ ".join(f"parity[{k}]" for k in ks)
+    return [F.expr(f"CASE WHEN size <= 64 THEN {xor(range(n)) if k == 0 else '0L'} WHEN size > {too_long(words)} THEN 0L ELSE {xor(range(k, n, words))} END").alias(f"odd_{k}") for k in range(words)]
+
+
+def too_long(words: int) -> int:
+    """Runs from which folded parities say little: at 0.7 about 1.4 times the bits."""
+    return 90 * words
+
+
+def folded_may_reach(threshold: float, words: int) -> F.Column:
+    """As may_reach(), over folded parities of x and y: both in full where both have all words, else all of both folded to one word."""
+    one = " ^ ".join(f"{n}.odd_{k}" for n in "xy" for k in range(words))
+    full = " + ".join(f"bit_count(x.odd_{k} ^ y.odd_{k})" for k in range(words))
+    differ = F.expr(f"CASE WHEN least(x.size, y.size) <= 64 THEN bit_count({one}) ELSE {full} END")
+    return (F.greatest("x.size", "y.size") > too_long(words)) | (differ <= allowed(threshold, F.col("x.size"), F.col("y.size")))
+
+
+def anchors(reps: DataFrame, tables: int = TABLES, keep: Sequence[F.Column] = ()) -> DataFrame:
+    """(anchor, node, size, *keep): each record under every anchor within the covering radius of its blocks."""
     lines = [F.expr(x) for t in range(tables) for x in codewords(t)]
-    return reps.select("node", "size", F.explode(F.array_distinct(F.array(*lines))).alias("anchor"))
+    return reps.select("node", "size", *keep, F.explode(F.array_distinct(F.array(*lines))).alias("anchor"))
 
 
 def met(keyed: DataFrame, threshold: float, length: int = LIST) -> DataFrame:
-    """(a, b), a < b: nodes that share an anchor and whose sizes leave the threshold possible."""
+    """(a, b), a < b: nodes that share an anchor and whose sizes, and folded parities where keyed has them, leave the threshold possible."""
     seen = keyed.where(F.pmod(F.xxhash64("node", F.lit("sample")), F.lit(SAMPLED)) == 0)
     counted = seen.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") >= max(2, length // SAMPLED))
     hot = cut_lineage(counted.orderBy(F.desc("n"), "anchor").limit(HOT).select("anchor", F.ceil(F.col("n") * SAMPLED / length).cast("int").alias("parts")))
     near = (F.col("x.node") < F.col("y.node")) & (F.least("x.size", "y.size") >= F.greatest("x.size", "y.size") * F.lit(threshold - 1e-9))
+    odd = [c for c in keyed.columns if c.startswith("odd_")]
+    if odd:
+        near &= folded_may_reach(threshold, len(odd))
     take = (F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     short = keyed.join(F.broadcast(hot.select("anchor")), "anchor", "left_anti")  # at most HOT rows
     pairs = short.alias("x").join(short.alias("y"), F.col("x.anchor") == F.col("y.anchor")).where(near).select(*take)
     if not hot.isEmpty():
         long = keyed.join(F.broadcast(hot), "anchor").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-        left = long.select("anchor", "node", "size", F.col("own").alias("i"), every.alias("j"))
-        right = long.select("anchor", "node", "size", F.col("own").alias("j"), every.alias("i"))
+        left = long.select("anchor", "node", "size", *odd, F.col("own").alias("i"), every.alias("j"))
+        right = long.select("anchor", "node", "size", *odd, F.col("own").alias("j"), every.alias("i"))
         on = (F.col("x.anchor") == F.col("y.anchor")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
         pairs = pairs.union(left.alias("x").join(right.alias("y"), on).where(near).select(*take))
     return pairs.distinct()
 
 
+def allowed(threshold: float, size_a: F.Column, size_b: F.Column) -> F.Column:
+    """How many runs two records may differ in: reaching the threshold leaves (1 - t) / (1 + t) of both sizes."""
+    return (size_a + size_b) * F.lit((1 - threshold) / (1 + threshold) + 1e-9)
+
+
 def may_reach(threshold: float, bits: int = PARITY) -> F.Column:
-    """False only for pairs below the threshold: reaching it leaves (1 - t) / (1 + t) of both sizes to differ, and every odd bit is a difference."""
+    """False only for pairs below the threshold, as every odd bit is a difference."""
     differ = " + ".join(f"bit_count(parity_a[{k}] ^ parity_b[{k}])" for k in range(bits // 64))
-    return F.expr(differ) <= (F.col("size_a") + F.col("size_b")) * F.lit((1 - threshold) / (1 + threshold) + 1e-9)
+    return F.expr(differ) <= allowed(threshold, F.col("size_a"), F.col("size_b"))
 
 
 def pick(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
-    """The rows of df whose `on` is among keys (distinct, materialised), with the columns of keys."""
+    """The rows of df whose `on` is among keys (distinct, materialised), with the columns of keys. df is narrow: beyond PICKED keys it is shuffled."""
     return df.join(F.broadcast(keys) if keys.count() <= PICKED else keys, on)
 
 
+def may_be_among(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """All rows of df whose id is among ids (one string column), and a few others: those whose hash is marked in a bitmap.
+
+    The bitmap takes the same room however many ids there are; the more of them, the more other rows stay.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(MARKS))
+    marks = ids.select(place(F.col(ids.columns[0])).alias("p")).groupBy(F.expr(f"p div {PART}").alias("_part")).agg(F.bitmap_construct_agg(F.expr(f"p % {PART}")).alias("_marks"))
+    placed = df.withColumn("_p", place(F.col(id_col).cast("string"))).withColumn("_part", F.expr(f"_p div {PART}"))
+    byte = f"CAST(conv(hex(substring(_marks, CAST(_p % {PART} div 8 AS INT) + 1, 1)), 16, 10) AS INT)"
+    return placed.join(F.broadcast(marks), "_part").where(f"shiftright({byte}, CAST(_p % 8 AS INT)) & 1 = 1").drop("_p", "_part", "_marks")
+
+
 def near_pairs(df: DataFrame, id_col: str, text_col: str, order_col: str | None = None, threshold: float = 0.7, min_words: int = 30, run: int = 3, bits: int = PARITY) -> tuple[DataFrame, DataFrame]:
     """(pairs between classes with their similarity, membership of records in classes).
 
@@ -162,17 +214,17 @@ def near_pairs(df: DataFrame, id_col: str, text_col: str, order_col: str | None
     reps = cut_lineage(marked.where("size > 0").groupBy("class").agg(F.first("size").alias("size"), F.first("symbols").alias("symbols"), F.first("parity").alias("parity"), F.min("rid").alias("rid")))
     reps = reps.withColumn("node", F.monotonically_increasing_id())
     least = float(threshold)
-    found = cut_lineage(met(anchors(reps), least))
+    found = cut_lineage(met(anchors(reps, keep=folded(bits)), least))
     nodes = cut_lineage(found.select(F.col("a").alias("node")).union(found.select("b")).distinct())
     odd = pick(reps.select("node", "size", "parity"), nodes, "node")
     each = lambda n: odd.select(F.col("node").alias(n), F.col("size").alias(f"size_{n}"), F.col("parity").alias(f"parity_{n}"))
     found = cut_lineage(found.join(each("a"), "a").join(each("b"), "b").where(may_reach(least, bits)).select("a", "b"))
     nodes = cut_lineage(found.select(F.col("a").alias("node")).union(found.select("b")).distinct())
     involved = cut_lineage(pick(reps.select("node", "class", "rid"), nodes, "node"))
-    rids = involved.select(F.col("rid").alias("_rid")).distinct()
-    again = pick(df.withColumn("_rid", F.col(id_col).cast("string")), rids, "_rid").drop("_rid")
-    read = fingerprint(again, id_col, text_col, order_col, min_words, run, with_runs=True).where("size > 0").select("class", "runs")
-    sets = cut_lineage(pick(read, involved.select("node", "class"), "class").groupBy("node").agg(F.first("class").alias("class"), F.first("runs").alias("runs")))
+    rids = involved.select("rid")
+    again = may_be_among(df, id_col, rids)
+    read = fingerprint(again, id_col, text_col, order_col, min_words, run, with_runs=True).where("size > 0")
+    sets = cut_lineage(pick(read.groupBy("class").agg(F.first("runs").alias("runs")), involved.select("node", "class"), "class"))
     side = lambda n: sets.select(F.col("node").alias(n), F.col("class").alias(f"class_{n}"), F.col("runs").alias(f"runs_{n}"))
     both = found.join(side("a"), "a").join(side("b"), "b")
     shared = F.size(F.array_intersect("runs_a", "runs_b"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quernstone.llm import knn, names, neardup, queries
 from quernstone.llm.wordhash import words
+from quernstone.session import cut_lineage
 
 
 def test_words():
@@ -97,6 +98,56 @@ def test_a_template_alone_makes_few_candidates(spark):
     assert met < 40_000  # 8 million pairs
 
 
+def test_chance_meetings_are_not_written(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(f"r{i:04}", "this page was last changed by the team " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(40))) for i in range(4000)]
+    rows += [(f"s{i:04}", rows[i][1] + " more") for i in range(100)]
+    written = []
+    monkeypatch.setattr(neardup, "cut_lineage", lambda df: written.append(cut_lineage(df)) or written[-1])
+    got = {tuple(r) for r in neardup.near_duplicates(spark.createDataFrame(rows, "id string, text string"), "id", "text").collect()}
+    assert got == {(f"r{i:04}", f"s{i:04}") for i in range(100)}
+    assert max(df.count() for df in written if df.columns == ["a", "b"]) < 500  # about 7,000 pairs meet
+
+
+def test_folded_parities_lose_no_pair(spark):
+    rng = random.Random(6)
+    rows = []
+    for k in range(60):
+        n = rng.choice((32, 60, 66, 68, 90, 150, 270, 400))
+        w = [f"v{rng.randrange(300)}" for _ in range(n)]
+        rows += [(f"{k}-{e}", " ".join([*w[: n - e], *(f"{k}y{i}" for i in range(rng.randint(0, e)))])) for e in (0, 1, n // 12, n // 6)]
+    texts = dict(rows)
+    for bits in (192, 640):
+        marked = neardup.fingerprint(spark.createDataFrame(rows, "id string, text string"), "id", "text", None, 30, bits=bits).where("size > 0")
+        keyed = marked.select(F.col("rid").alias("node"), "size", *neardup.folded(bits), F.lit(1).alias("anchor"))
+        got = {tuple(r) for r in neardup.met(keyed, 0.7).collect()}
+        each = sorted(r.rid for r in marked.select("rid").collect())
+        want = {(a, b) for k, a in enumerate(each) for b in each[k + 1 :] if similarity(texts[a], texts[b]) >= 0.7}
+        assert want <= got and len(want) > 100
+
+
+def test_broadcasts_are_bounded(spark, monkeypatch):
+    assert neardup.PICKED <= 100_000
+    rows = texts(random.Random(3))
+    df = spark.createDataFrame([(f"r{i:03}", t) for i, t in enumerate(rows)], "id string, text string")
+    want = {tuple(r) for r in neardup.near_duplicates(df, "id", "text").collect()}
+    sent, plain = [], F.broadcast
+    monkeypatch.setattr(neardup, "PICKED", 10)
+    monkeypatch.setattr(neardup, "MARKS", 4 * neardup.PART)
+    monkeypatch.setattr(F, "broadcast", lambda d: sent.append(d) or plain(d))
+    got = neardup.near_duplicates(df, "id", "text")
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 100
+    assert max(d.count() for d in sent) <= 10 and any("_marks" in d.columns for d in sent)
+
+
+def test_bitmap_keeps_every_id(spark):
+    df = spark.range(200_000).selectExpr("CASE WHEN id % 1000 = 999 THEN null ELSE concat('k', id) END AS id", "id AS v")
+    ids = spark.range(0, 200_000, 20).selectExpr("concat('k', id) AS rid")
+    got = neardup.may_be_among(df, "id", ids)
+    assert got.columns == ["id", "v"] and got.join(ids, got.id == ids.rid).count() == 10_000 and got.count() < 10_500
+    assert neardup.may_be_among(df, "id", ids.where("false")).count() == 0
+
+
 def test_pairs_at_the_threshold_are_kept(spark):
     rows = []
     for k in range(3000):
